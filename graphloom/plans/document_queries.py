@@ -158,7 +158,7 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT doc_id, lower(text) AS t, lang, source FROM documents), s AS (SELECT doc_id, (CASE WHEN contains(t, 'the') THEN 0.2 ELSE 0 END + CASE WHEN contains(t, 'idiot') THEN 0.2 ELSE 0 END)
 + least(0.15, 0.03 * len(list_distinct(list_filter(string_split_regex(t, '\\s+'), lambda x: x IN ('where', 'is', 'the', 'thing')))))
 + CASE WHEN contains(source, 'src1') THEN 0.0 ELSE 0.0 END + CASE WHEN lang = 'en' THEN 0.05 ELSE 0 END AS more FROM d)
-SELECT doc_id, round(least(1.0, 0.5 * 0.7 + more * 0.3), 6) AS score FROM s""".replace("\\\\", "\\"))
+SELECT doc_id, round(CAST(least(1.0, 0.5 * 0.7 + more * 0.3) AS DOUBLE), 6) AS score FROM s""".replace("\\\\", "\\"))
 def rerank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kind = F.when(F.col("lang") == "en", "NPC").otherwise("ITEM")

@@ -1,0 +1,133 @@
+"""Registered queries of ordered and windowed state."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.operators import combat
+from graphloom.plans.fixtures import table
+from graphloom.plans.registry import query
+from graphloom.streaming import events as streams
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select((F.col("user_id") % 20).alias("combat_id"), F.col("event_type").alias("target"), F.col("user_id").alias("attacker"), F.col("event_id").alias("seq"), F.floor("value").alias("amount"))
+
+
+_HITS = "h AS (SELECT user_id % 20 AS combat_id, event_type AS target, user_id AS attacker, event_id AS seq, CAST(floor(value) AS BIGINT) AS amount FROM events)"
+
+
+@query(f"WITH {_HITS} SELECT seq, CAST(sum(amount) OVER (PARTITION BY combat_id, target ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS taken FROM h")
+def running_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combat.running_damage(_hits(spark, sf_dir)).select("seq", "taken")
+
+
+@query(f"WITH {_HITS} SELECT attacker, seq, target FROM (SELECT *, row_number() OVER (PARTITION BY attacker ORDER BY seq DESC) AS n FROM h) WHERE n <= 5")
+def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combat.last_events(_hits(spark, sf_dir), "attacker", 5).select("attacker", "seq", "target")
+
+
+@query(f"""WITH {_HITS}, d AS (SELECT target, attacker, sum(amount) AS a, min(seq) AS first FROM h GROUP BY target, attacker)
+SELECT target, attacker, CAST(a AS BIGINT) AS amount FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY a DESC, first) AS n FROM d) WHERE n = 1""")
+def grudge_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combat.grudges(_hits(spark, sf_dir)).select("target", "attacker", F.col("amount").cast("long").alias("amount"))
+
+
+@query("SELECT c_nationkey AS combat_id, c_custkey AS seq, row_number() OVER (PARTITION BY c_nationkey ORDER BY floor(c_acctbal / 100) DESC, c_custkey) - 1 AS turn FROM customer")
+def turn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("combat_id"), F.col("c_custkey").alias("seq"), F.floor(F.col("c_acctbal") / 100).alias("initiative"))
+    return combat.turn_order(rows).select("combat_id", "seq", F.col("turn").cast("long").alias("turn"))
+
+
+@query()
+def clamped_hit_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    change = F.when(F.col("event_id") % 3 == 0, F.col("value")).otherwise(-F.col("value"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), change.alias("change"))
+    return combat.clamped(rows, 50.0, 100.0)
+
+
+@query()
+def combat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_id") % 7 == 0, "join").when(F.col("event_id") % 2 == 0, "hit").otherwise("end")
+    return combat.fold_turns(e.select((F.col("user_id") % 20).alias("combat_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_type").alias("target"), F.col("value").alias("amount")))
+
+
+@query("""WITH w AS (SELECT l_partkey AS item, l_orderkey * 10 + l_linenumber AS seq, CAST(l_quantity AS BIGINT) AS wanted FROM lineitem),
+b AS (SELECT *, coalesce(sum(wanted) OVER (PARTITION BY item ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w),
+s AS (SELECT item, seq, least(wanted, greatest(0, 100 - before)) AS sold, greatest(0, 100 - before) AS had FROM b)
+SELECT item, seq, CAST(sold AS BIGINT) AS sold, CAST(had - sold AS BIGINT) AS "left" FROM s""")
+def item_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").cast("long").alias("wanted"))
+    stock = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.lit(100).cast("long").alias("stock"))
+    return combat.sales(orders, stock)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, floor(length(text) * 0.25) AS k FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS z,
+sum(k) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM t), m AS (SELECT *, sum(CASE WHEN a <= 2 THEN k ELSE 0 END) OVER (PARTITION BY conv_id) AS head FROM n)
+SELECT conv_id, turn FROM m WHERE a <= 2 OR z <= 2 OR head + rest <= 400""")
+def conversation_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combat.conversation_budget(table(spark, sf_dir, "conversations"), 400)
+
+
+@query()
+def working_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.element_at(F.split("text", " "), 1)
+    rows = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull()).select(
+        "conv_id", F.col("turn").alias("seq"), word.alias("name"), F.when(F.col("role") == "user", "named").otherwise("found").alias("how"), "turn"
+    )
+    return combat.working_sets(rows, 4)
+
+
+@query("""WITH c AS (SELECT c_nationkey AS combat_id, c_custkey % 2 = 0 AS p, c_acctbal - 4000 AS hp FROM customer), g AS (SELECT combat_id, count(CASE WHEN hp > 0 AND p THEN 1 END) AS players, count(CASE WHEN hp > 0 AND NOT p THEN 1 END) AS foes FROM c GROUP BY combat_id)
+SELECT *, CASE WHEN players = 0 AND foes = 0 THEN 'nobody' WHEN players = 0 THEN 'defeat' WHEN foes = 0 THEN 'victory' END AS reason FROM g""")
+def combat_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("combat_id"), (F.col("c_custkey") % 2 == 0).alias("is_player"), (F.col("c_acctbal") - 4000).alias("hp"))
+    return combat.combat_end(rows)
+
+
+@query("""WITH c AS (SELECT s_nationkey AS k, s_suppkey AS id, s_suppkey % 17 AS x, s_suppkey % 13 AS y FROM supplier)
+SELECT a.k AS combat_id, a.id AS a, b.id AS b, greatest(abs(a.x - b.x), abs(a.y - b.y)) * 5 AS distance FROM c a JOIN c b ON a.k = b.k AND a.id < b.id WHERE greatest(abs(a.x - b.x), abs(a.y - b.y)) * 5 <= 30""")
+def within_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("combat_id"), key.alias("id"), (key % 17).alias("x"), (key % 13).alias("y"))
+    return combat.within_reach(rows, 30)
+
+
+@query("""SELECT hp_band, count(*) AS n FROM (SELECT CASE WHEN c_acctbal <= 0 THEN 'down' WHEN c_acctbal / 10000 <= 0.25 THEN 'critical' WHEN c_acctbal / 10000 <= 0.5 THEN 'bloodied' WHEN c_acctbal / 10000 < 1.0 THEN 'hurt' ELSE 'healthy' END AS hp_band FROM customer) GROUP BY 1""")
+def hp_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    band = combat.hp_band(F.col("c_acctbal"), F.lit(10000.0)).alias("hp_band")
+    return table(spark, sf_dir, "customer").groupBy(band).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_orderkey AS id, CAST(sum(CASE WHEN r = 20 THEN d * 2 WHEN r <> 1 AND r + 3 >= 14 THEN d ELSE 0 END) AS BIGINT) AS damage FROM (SELECT l_orderkey, 1 + (l_partkey % 20) AS r, CAST(l_quantity AS BIGINT) AS d FROM lineitem) GROUP BY 1""")
+def attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damage = combat.attack(1 + F.col("l_partkey") % 20, F.lit(3), F.lit(14), F.col("l_quantity").cast("long"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum(damage).alias("damage"))
+
+
+@query("""SELECT l_orderkey AS id, CAST(floor(sum(CAST(l_quantity AS BIGINT)) * CASE WHEN count(*) <= 1 THEN 1.0 WHEN count(*) = 2 THEN 1.5 WHEN count(*) <= 6 THEN 2.0 ELSE 2.5 END) AS BIGINT) AS xp FROM lineitem GROUP BY 1""")
+def encounter_xp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum(F.col("l_quantity").cast("long")).alias("total"), F.count("*").alias("n"))
+    return found.select("id", combat.encounter_xp(F.col("total"), F.col("n")).alias("xp"))
+
+
+@query("SELECT epoch_ms(CAST(floor(epoch_ms(ts) / 3600000) * 3600000 AS BIGINT)) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = streams.tumbling(table(spark, sf_dir, "events"), "1 hour")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS cut FROM events),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = streams.sessions(table(spark, sf_dir, "events"), "30 minutes")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""SELECT w.start + INTERVAL (k.k) MINUTE AS start, count(*) AS n FROM (SELECT epoch_ms(CAST(floor(epoch_ms(ts) / 3600000) * 3600000 AS BIGINT)) AS start, ts FROM events) w, (VALUES (-30), (0), (30)) k(k)
+WHERE ts >= w.start + INTERVAL (k.k) MINUTE AND ts < w.start + INTERVAL (k.k + 60) MINUTE GROUP BY 1""")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.sliding(table(spark, sf_dir, "events"), "60 minutes", "30 minutes").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
