@@ -1,3 +1,68 @@
-"""DuckDB SQL for the rows of the queries that SQL can express."""
+"""DuckDB SQL for the rows of the queries that SQL can express.
+
+The others have none: trained models (1, 4, 6), rolling hashes over bytes (2), byte-pair merges (5) and XXH64 (10) are held
+against brute force, an exact round trip or held-out accuracy in the tests.
+"""
+
+from graphloom.llm import mixing, quality
+
+_SPACE = r"[\x20\x09-\x0D]+"
+_WORDS = rf"list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '')"
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op3_chat"] = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t') AS t, replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':', '\c') AS r FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+CAST(sum(length('### ' || r || ': ' || t || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+ORACLES["op8_substrings"] = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13),
+s AS (SELECT doc_id, i, list_aggregate(list_slice(w, i, i + 12), 'string_agg', ' ') AS s FROM p),
+f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS k FROM s JOIN f USING (s) WHERE first < doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS k FROM d),
+y AS (SELECT x.doc_id, count(*) - count(g.k) AS n_kept, string_agg(CASE WHEN g.k IS NULL THEN word END, ' ' ORDER BY x.k) AS kept FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.k = x.k GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)"""
+
+_WEIGHT = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mixing.WEIGHTS)) + " END"
+ORACLES["op9_mixing"] = f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS k, md5(coalesce(text, '')) AS tie FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST({_WEIGHT} AS DOUBLE) AS weight FROM d GROUP BY source),
+m AS (SELECT *, CAST(source_size * {mixing.CAP} AS DOUBLE) AS most, CAST(sum(source_size) OVER () AS DOUBLE) AS whole FROM s),
+r AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped,
+sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS nth FROM m),
+l AS (SELECT arg_min((whole - stopped) / open, nth) AS level FROM r WHERE (whole - stopped) / open <= most / weight),
+t AS (SELECT source, source_size, least(most, coalesce(level, 0.0) * weight) AS target FROM r CROSS JOIN l),
+j AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS budget, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(CAST(floor(budget / greatest(source_size, 1)) AS BIGINT) * size + greatest(0, least(size, budget - CAST(floor(budget / greatest(source_size, 1)) AS BIGINT) * source_size - before)) AS BIGINT) AS taken FROM j"""
+
+_RATES = {
+    "symbols_per_word": "n_symbols / n_words",
+    "exclamations_per_word": "n_ex / n_words",
+    "repeated_line_share": "n_dup_lines / n_lines",
+    "repeated_word_share": "n_repeat_words / n_words",
+    "long_words": "word_chars / n_words",
+    "short_words": "-(word_chars / n_words)",
+}
+_GRID = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, {_RATES[r]} AS rate, {c!r} AS cutoff FROM m" for r, cuts in quality.RULES.items() for c in cuts)
+_ALPHA = quality.ALPHA / len(quality.RULES)
+ORACLES["op7_quality"] = f"""WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5),
+s AS (SELECT doc_id, i, list_aggregate(list_slice(w, i, i + 4), 'string_agg', ' ') AS s FROM p),
+t AS (SELECT doc_id, s FROM s GROUP BY doc_id, s HAVING count(*) > 1),
+g AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT s.doc_id, unnest(generate_series(i, i + 4)) AS k FROM s JOIN t ON s.doc_id = t.doc_id AND s.s = t.s) GROUP BY doc_id),
+b AS (SELECT d.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(length(list_aggregate(w, 'string_agg', '')), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+CAST(len(regexp_extract_all(text, '!')) AS BIGINT) AS n_ex, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN g ON g.doc_id = d.doc_id),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
+grid AS ({_GRID}),
+c AS (SELECT stratum, rule, cutoff, count(CASE WHEN quality = 1 THEN 1 END) AS n, count(CASE WHEN quality = 1 AND rate > cutoff THEN 1 END) AS k, count(CASE WHEN quality <> 1 AND rate > cutoff THEN 1 END) AS bad
+FROM grid JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND NOT base_failed GROUP BY stratum, rule, cutoff),
+q AS (SELECT *, (SELECT count(DISTINCT stratum) FROM c) * {len(quality.RULES)} AS tests FROM c WHERE n > 0 AND k <= n * {_ALPHA!r}),
+u AS (SELECT stratum, rule, cutoff, any_value(bad) AS bad, any_value(k) AS k, any_value(tests) AS tests, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_ALPHA!r}) + (n - j) * ln(1 - {_ALPHA!r}))) AS chance
+FROM (SELECT *, unnest(generate_series(0, k)) AS j FROM q) GROUP BY stratum, rule, cutoff),
+v AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM u WHERE chance <= {quality.DELTA!r} / tests AND bad > k GROUP BY stratum, rule),
+z AS (SELECT DISTINCT g.doc_id FROM grid g JOIN v ON g.stratum = v.stratum AND g.rule = v.rule AND g.cutoff = v.cutoff WHERE g.rate > v.cutoff)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND z.doc_id IS NULL AS kept FROM m LEFT JOIN z ON z.doc_id = m.doc_id"""
