@@ -134,7 +134,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 at = _places(text)
                 sums.append(start + float(weights[at].sum()) * _scale(squares[at]))
-            chance = 1.0 / (1.0 + np.exp(-np.clip(np.array(sums, np.float64), -500, 500)))
+            with np.errstate(over="ignore"):
+                chance = 1.0 / (1.0 + np.exp(-np.array(sums, np.float64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chance), pa.array((chance >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(batches, "doc_id long, score double, predicted int")
