@@ -11,7 +11,7 @@ def value(spark, column):
 
 def test_names(spark):
     lit = F.lit
-    assert value(spark, text.alias_key(lit("  Van­Richten’s ")) ) == "vanrichten's"
+    assert value(spark, text.alias_key(lit("  Mal­lory’s ")) ) == "mallory's"
     assert value(spark, text.grade_key(lit("The  Blue-Water Inn!"))) == "blue water inn"
     assert value(spark, text.duplicate_key(lit("The Abbey"))) == "abbey"
     assert value(spark, text.slug(lit("  Krezk: Gate & Wall "))) == "krezk-gate-wall"
@@ -31,7 +31,7 @@ def test_terms(spark):
 
 def test_fuzzy(spark):
     assert fuzzy.ratio("abcd", "abxd") == 75.0 and fuzzy.ratio("", "") == 100.0 and fuzzy.ratio("a", "") == 0.0
-    assert fuzzy.partial_ratio("vex", "vexahlia") == 100.0 and fuzzy.partial_ratio("abc", "xxabyxx") > 60
+    assert fuzzy.partial_ratio("kor", "koranthis") == 100.0 and fuzzy.partial_ratio("abc", "xxabyxx") > 60
     frame = spark.createDataFrame([("kitten", "sitting"), (None, "a")], "a string, b string")
     assert [round(r[0], 2) for r in frame.select(fuzzy.ratio_of("a", "b")).collect()] == [61.54, 0.0]
 
