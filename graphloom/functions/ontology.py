@@ -11,15 +11,36 @@ LAYERS = {
     "social": ("KNOWS", "ALLIED_WITH", "HOSTILE_TO", "ENEMY_OF", "MEMBER_OF", "SERVES", "RELATED_TO", "OWNS", "GUARDS", "WIELDS"),
     "narrative": ("SEEKS", "OPPOSES", "RESOLVES_TO", "PREREQUISITE_OF", "IDENTITY_OF", "THREATENS", "GAVE_QUEST", "COMPLETED", "OBJECTIVE_AT"),
 }
+#: Groups of types that the constraints name.
+_ANIMATE = "NPC MONSTER"
+_AGENT = f"{_ANIMATE} FACTION"
+_PHYSICAL = f"{_ANIMATE} ITEM LOCATION"
+_CONTAINER = "LOCATION ITEM"
 #: Source types and target types that a relation allows.
 ALLOWED = {
     "CONNECTED_TO": ("LOCATION", "LOCATION"),
-    "CONTAINS": ("LOCATION SETTING", "PC NPC MONSTER ITEM LOCATION"),
-    "LOCATED_IN": ("PC NPC MONSTER ITEM LOCATION FACTION", "LOCATION SETTING"),
-    "OWNS": ("PC NPC MONSTER FACTION", "ITEM LOCATION"),
-    "SERVES": ("PC NPC MONSTER", "PC NPC MONSTER FACTION"),
-    "KNOWS": ("PC NPC MONSTER", "PC NPC MONSTER"),
-    "MEMBER_OF": ("PC NPC MONSTER", "FACTION"),
+    "CONTAINS": (_CONTAINER, _PHYSICAL),
+    "LOCATED_IN": (f"{_PHYSICAL} FACTION", _CONTAINER),
+    "TRAVELED_TO": (_AGENT, "LOCATION"),
+    "ALLIED_WITH": (_AGENT, _AGENT),
+    "ENEMY_OF": (_AGENT, _AGENT),
+    "GUARDS": (_AGENT, _PHYSICAL),
+    "HOSTILE_TO": (_AGENT, _AGENT),
+    "KNOWS": (_ANIMATE, _ANIMATE),
+    "MEMBER_OF": (_ANIMATE, "FACTION"),
+    "OWNS": (_AGENT, "ITEM LOCATION"),
+    "RELATED_TO": ("NPC", "NPC"),
+    "SERVES": (_ANIMATE, _AGENT),
+    "WIELDS": (_ANIMATE, "ITEM"),
+    "COMPLETED": (_AGENT, "QUEST"),
+    "GAVE_QUEST": (_AGENT, "QUEST"),
+    "IDENTITY_OF": (_ANIMATE, _ANIMATE),
+    "OBJECTIVE_AT": ("QUEST", "LOCATION"),
+    "OPPOSES": (_AGENT, _AGENT),
+    "PREREQUISITE_OF": ("QUEST EVENT", "QUEST EVENT"),
+    "RESOLVES_TO": ("ITEM QUEST EVENT", "LOCATION NPC ITEM"),
+    "SEEKS": (_AGENT, f"{_PHYSICAL} QUEST LORE"),
+    "THREATENS": (_AGENT, f"{_PHYSICAL} FACTION"),
 }
 #: Relations that exclude each other between the same ordered endpoints.
 EXCLUSIVE = (("IDENTITY_OF", "RELATED_TO"), ("CONTAINS", "LOCATED_IN"))

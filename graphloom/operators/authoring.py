@@ -68,10 +68,13 @@ def seeded_choice(items: DataFrame, keys: list[str], k: int, seed: str) -> DataF
     return items.where("weight > 0").withColumn("nth", rank).where(F.col("nth") <= k).drop("nth")
 
 
-def retreats(hp: Column, most: Column, threshold: Column, style: Column, allies: Column) -> Column:
-    """Whether a combatant leaves: never if fearless, with no ally left if loyal, else once its share of hit points is low enough."""
-    low = hp / most <= threshold
-    return F.when(style == "fearless", False).when(style == "loyal", low & (allies == 0)).otherwise(low)
+def retreats(hp: Column, most: Column, threshold: Column, style: Column, standing: Column) -> Column:
+    """Whether a combatant leaves once its share of hit points is at the threshold: a berserker never, a coward always, others alone.
+
+    ``standing`` counts the living of its side, itself included.
+    """
+    low = F.when(most > 0, hp / most).otherwise(0.0) <= threshold
+    return low & (style != "berserker") & ((style == "cowardly") | (standing <= 1))
 
 
 def stepped(x: Column, y: Column, to_x: Column, to_y: Column, speed: Column, reach: Column) -> Column:

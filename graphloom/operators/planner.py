@@ -70,8 +70,9 @@ def keywords(question: Column, most: int = 10) -> Column:
 
 def strategies(spark: SparkSession) -> DataFrame:
     """(query_type, use_vector, use_graph, depth, vector_k, graph_k): one row a class."""
+    # Fixed values.
     rows = [
-        ("rules_lookup", True, False, 0, 8, 0), ("campaign_state", False, True, 2, 0, 10), ("campaign_history", True, True, 2, 5, 5),
-        ("encounter_generation", True, True, 1, 5, 5), ("npc_generation", True, True, 1, 3, 5), ("entity_info", True, True, 2, 3, 8), ("unknown", True, True, 2, 5, 5),
+        ("rules_lookup", True, False, 2, 7, 0), ("campaign_state", False, True, 2, 0, 10), ("campaign_history", True, True, 2, 5, 5),
+        ("entity_info", True, True, 3, 3, 8), ("encounter_generation", True, False, 2, 10, 0), ("npc_generation", False, True, 1, 0, 5), ("unknown", True, True, 2, 5, 5),
     ]
     return spark.createDataFrame(rows, "query_type string, use_vector boolean, use_graph boolean, depth int, vector_k int, graph_k int")

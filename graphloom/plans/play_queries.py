@@ -25,9 +25,9 @@ def shop_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return authoring.shop_values(stock.select(F.col("l_suppkey").alias("shop_id"), F.col("p_retailprice").alias("price"), F.col("l_quantity").cast("int").alias("quantity")))
 
 
-@query("""SELECT leaves, count(*) AS n FROM (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN false WHEN 'MACHINERY' THEN c_acctbal / 10000 <= 0.25 AND c_nationkey = 0 ELSE c_acctbal / 10000 <= 0.25 END AS leaves FROM customer) GROUP BY leaves""")
+@query("""SELECT leaves, count(*) AS n FROM (SELECT c_acctbal / 10000 <= 0.25 AND c_mktsegment <> 'BUILDING' AND (c_mktsegment = 'MACHINERY' OR c_nationkey <= 1) AS leaves FROM customer) GROUP BY leaves""")
 def retreats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    style = F.when(F.col("c_mktsegment") == "BUILDING", "fearless").when(F.col("c_mktsegment") == "MACHINERY", "loyal").otherwise("wary")
+    style = F.when(F.col("c_mktsegment") == "BUILDING", "berserker").when(F.col("c_mktsegment") == "MACHINERY", "cowardly").otherwise("tactical")
     leaves = authoring.retreats(F.col("c_acctbal"), F.lit(10000.0), F.lit(0.25), style, F.col("c_nationkey"))
     return table(spark, sf_dir, "customer").groupBy(leaves.alias("leaves")).agg(F.count("*").alias("n"))
 

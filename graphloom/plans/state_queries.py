@@ -96,7 +96,7 @@ def within_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combat.within_reach(rows, 30)
 
 
-@query("""SELECT hp_band, count(*) AS n FROM (SELECT CASE WHEN c_acctbal <= 0 THEN 'down' WHEN c_acctbal / 10000 <= 0.25 THEN 'critical' WHEN c_acctbal / 10000 <= 0.5 THEN 'bloodied' WHEN c_acctbal / 10000 < 1.0 THEN 'hurt' ELSE 'healthy' END AS hp_band FROM customer) GROUP BY 1""")
+@query("""SELECT hp_band, count(*) AS n FROM (SELECT CASE WHEN floor(c_acctbal * 100 / 10000) >= 90 THEN 'healthy' WHEN floor(c_acctbal * 100 / 10000) >= 70 THEN 'lightly wounded' WHEN floor(c_acctbal * 100 / 10000) >= 50 THEN 'wounded' WHEN floor(c_acctbal * 100 / 10000) >= 25 THEN 'badly wounded' ELSE 'critical' END AS hp_band FROM customer) GROUP BY 1""")
 def hp_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     band = combat.hp_band(F.col("c_acctbal"), F.lit(10000.0)).alias("hp_band")
     return table(spark, sf_dir, "customer").groupBy(band).agg(F.count("*").alias("n"))

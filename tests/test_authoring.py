@@ -48,8 +48,8 @@ def test_records(spark):
     lit = F.lit
     at = spark.range(1).select(authoring.stepped(lit(0), lit(0), lit(5), lit(-2), lit(15), lit(1)).alias("p")).first().p
     assert tuple(at) == (3, -2)
-    gone = spark.range(1).select(*(authoring.retreats(lit(2), lit(10), lit(0.25), lit(s), lit(1)) for s in ("fearless", "loyal", "wary"))).first()
-    assert tuple(gone) == (False, False, True)
+    gone = spark.range(1).select(*(authoring.retreats(lit(2), lit(10), lit(0.25), lit(s), lit(n)) for s, n in (("berserker", 1), ("cowardly", 3), ("tactical", 1), ("tactical", 2)))).first()
+    assert tuple(gone) == (False, True, True, False)
     stock = spark.createDataFrame([("s", 1.5, 2), ("s", 2.0, 1)], "shop_id string, price double, quantity int")
     assert rows(authoring.shop_values(stock)) == [("s", 2, 5.0)]
 
