@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import durable, text_of, word_array, word_count
 
-WEIGHTS, CAP, BUCKET_ROWS = (5, 2, 1), 3, 20_000
+WEIGHTS, CAP, BUCKET_ROWS = (5, 2, 1), 3, 500
 _KEY_DIGITS = 13
 
 
