@@ -31,7 +31,7 @@ from graphloom.llm.common import durable, sample_rate, text_of
 from graphloom.llm.ngrams import counted
 
 ORDERS, BITS, SMOOTH = (3, 4, 5), 18, 20.0
-MOST_TOXIC, MOST_OTHER, STEP, EPOCHS = 3_000, 6_000, 8.0, 8
+MOST_TOXIC, MOST_OTHER, STEP, EPOCHS = 1_400, 2_800, 8.0, 8
 THRESHOLD = 0.7
 
 
