@@ -39,8 +39,9 @@ from graphloom.llm.common import hash_sampled, sample_rate, text_of
 SAMPLE_ROWS, TREES, DEPTH, SHRINK, PRECISION = 8_000, 30, 3, 0.2, 0.98
 KINDS = ("email", "ip", "card", "phone")
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -55,16 +56,26 @@ def _luhn(digits: str) -> bool:
 
 
 def _base_emails(text: str) -> Iterator[tuple[int, int]]:
-    """An address's local part cannot cross an at sign, so each stretch before one is scanned once, whatever its length."""
-    if "@" in text:
-        yield from ((m.start(), m.end()) for m in _EMAIL.finditer(text))
+    """Leftmost matches of local part, at sign and dotted domain.
+
+    A local part cannot cross an at sign, so it is the run of its letters before one: each stretch is looked at once, however
+    long it is.
+    """
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = done + len(text[done:at].rstrip(_LOCAL))
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            yield start, domain.end()
+        done = domain.end() if domain else at + 1
+        at = text.find("@", done)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost non-overlapping matches of each kind that pass the kind's check, by kind, then start."""
     out = [("email", a, b) for a, b in _base_emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:

@@ -306,3 +306,24 @@ def test_toxicity_learns(spark):
     high = [s for i, s in scores.items() if i >= 180 and i % 3 == 0]
     low = [s for i, s in scores.items() if i >= 180 and i % 3]
     assert np.mean([h > x for h in high for x in low]) > 0.95
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab@.-+_ 1250()\n", max_size=60))
+def test_pii_base_spans_match_the_patterns(text):
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    patterns = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(re.sub("[^0-9]", "", s)) <= 19 and luhn(re.sub("[^0-9]", "", s))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15),
+    }
+    want = [(k, *m.span()) for k, (p, ok) in patterns.items() for m in re.finditer(p, text) if ok(m.group())]
+    assert pii.base_spans(text) == want
+
+
+def test_pii_long_runs_are_linear():
+    assert pii.base_spans("1" * 200_000 + "a@" + "b" * 200_000 + " x" * 1000) == []
+    assert pii.base_spans("0" * 10_000 + "1.2.3.4") == [("ip", 0, 10_007)]
