@@ -97,31 +97,34 @@ def _pairs(frequent: frozenset[int]):  # noqa: ANN202
 
 
 def _packed(frequent: frozenset[int]):  # noqa: ANN202
-    """Rows (key, text, shared minimisers) to super-k-mers (bucket, key, start, words)."""
+    """Rows (key, text, shared minimisers) to super-k-mers (bucket, key, starts, words)."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
         for batch in source:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                rows: list[tuple[int, int, int, bytes]] = []
+                rows: list[tuple[int, int, list[int], bytes]] = []
                 for key, text, shared in zip(*(c.to_pylist() for c in part.columns)):
                     words = text.encode("utf-8", "replace").split()
                     found = minimisers(hasher(words))
                     edges = np.flatnonzero(np.diff(found)) + 1
                     starts, stops = np.append(0, edges), np.append(edges, len(found))
+                    # What a document repeats travels once, with all its places.
+                    places: dict[tuple[int, bytes], list[int]] = {}
                     for a, b in zip(*(x[np.isin(found[starts], shared)].tolist() for x in (starts, stops))):
                         bucket = int(found[a])
                         if bucket in frequent:
                             for i in range(a, b):
                                 window = b" ".join(words[i : i + WINDOW])
-                                rows.append((xxhash.xxh64_intdigest(window) - (1 << 63), key, i, window))
+                                places.setdefault((xxhash.xxh64_intdigest(window) - (1 << 63), window), []).append(i)
                         else:
-                            rows.append((bucket, key, a, b" ".join(words[a : b + WINDOW - 1])))
+                            places.setdefault((bucket, b" ".join(words[a : b + WINDOW - 1])), []).append(a)
+                    rows += [(bucket, key, at_, packed) for (bucket, packed), at_ in places.items()]
                 if rows:
                     columns = list(zip(*rows))
                     texts = pa.array(columns[3], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), texts], names=["bucket", "key", "start", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32())), texts], names=["bucket", "key", "starts", "words"])
 
     return batches
 
@@ -140,14 +143,14 @@ def repeated_windows(texts: DataFrame, frequent: frozenset[int]) -> DataFrame:
     bucket = Window.partitionBy("minimiser", "salt")
     matched = pairs.withColumn("low", F.min("key").over(bucket)).withColumn("high", F.max("key").over(bucket))
     shared = matched.where((F.col("low") < F.col("high")) | (F.col("salt") >= 0)).groupBy("key").agg(F.collect_list("minimiser").alias("shared"))
-    packed = texts.join(shared, "key").select("key", "text", "shared").mapInArrow(_packed(frequent), "bucket long, key long, start int, words string")
+    packed = texts.join(shared, "key").select("key", "text", "shared").mapInArrow(_packed(frequent), "bucket long, key long, starts array<int>, words string")
     words = F.split("words", " ")
     spread = packed.repartition("bucket").withColumn("list", words).select(
-        "bucket", "key", "start", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("list") - (WINDOW - 1)), lambda i: F.array_join(F.slice("list", i, WINDOW), " "))).alias("place", "window")
+        "bucket", "key", "starts", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("list") - (WINDOW - 1)), lambda i: F.array_join(F.slice("list", i, WINDOW), " "))).alias("place", "window")
     )
     equal = Window.partitionBy("bucket", "window")
     first = spread.withColumn("first", F.min("key").over(equal)).where(F.col("first") < F.col("key"))
-    return first.select("key", (F.col("start") + F.col("place")).alias("start"))
+    return first.select("key", "place", F.explode("starts").alias("start")).select("key", (F.col("start") + F.col("place")).alias("start"))
 
 
 def _kept(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
