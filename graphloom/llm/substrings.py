@@ -5,7 +5,7 @@ windows that share a minimiser are one super-k-mer: it travels as one packed str
 windows meet there, since they have equal minimisers. Sorting a bucket's windows brings equal ones together; the smallest
 document id of a window decides who keeps it.
 
-Two exact savings keep the shuffle below a few times the input:
+Three exact savings keep the shuffle below a few times the input:
 
 * Only minimisers that occur in two documents or more can hold a repeated window, so (minimiser, document) pairs are matched
   first and only super-k-mers of shared minimisers are packed.
@@ -13,10 +13,13 @@ Two exact savings keep the shuffle below a few times the input:
   their windows travel one by one to a bucket of the window's own hash, so no bucket has to hold a frequent passage's
   surroundings. The sample only chooses the route; windows of either route are all compared.
 
-Texts are shuffled once, by id, and that exchange serves both the packing and the removal.
+* Later copies of a whole text are known by its MD5: all their windows start in the first copy, so they are left out of the
+  search and lose every word (of 13 or more).
+
+Texts are shuffled once, by id, and that exchange serves the search, the packing and the removal.
 
 Edge cases: a null or empty text has no words and keeps an empty text. Documents of fewer than WINDOW words keep all. A null
-id counts as larger than any. Rows that repeat an id are one document for the comparison, and each has its own result. Other
+id counts as larger than any. Rows that repeat an id do not count against each other, and each has the result of its own text. Other
 columns are not read. An empty table gives an empty result.
 """
 
@@ -31,100 +34,121 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import hash_sampled, sample_rate, text_of
+from graphloom.llm.common import durable, hash_sampled, sample_rate, text_of
 
 WINDOW, MER = 13, 4
 SAMPLE_ROWS, FREQUENT, SALTS = 20_000, 40, 64
 _LAST = (1 << 63) - 1
-_REMEMBERED = 300_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hasher:
-    """64-bit hashes of words, remembered for a bounded number of words."""
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Words:
+    """A text's words on one line, their places in its bytes, and a 64-bit hash of each.
 
-    def __init__(self) -> None:
-        self.seen: dict[bytes, int] = {}
+    The hash of a word is a polynomial in its bytes, modulo 2^64, taken from prefix sums over the whole line; the inverse of
+    the odd base takes the word's place out of it. Equal words have equal hashes; that others may too costs time only, since
+    windows are compared by their words.
+    """
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        found = list(map(seen.get, words))
-        if None in found:
-            for i, h in enumerate(found):
-                if h is None:
-                    if len(seen) >= _REMEMBERED:
-                        seen.clear()
-                    found[i] = seen[words[i]] = xxhash.xxh64_intdigest(words[i])
-        return np.array(found, dtype=np.uint64)
+    _base = 0x9E3779B97F4A7C15
+    _up, _down = _powers(_base, 1 << 12), _powers(pow(_base, -1, 1 << 64), 1 << 12)
+
+    def __init__(self, text: str) -> None:
+        parts = text.encode("utf-8", "replace").split()
+        self.line, self.count = b" ".join(parts), len(parts)
+        if self.count < WINDOW:
+            return
+        size = len(self.line)
+        if len(Words._up) <= size:
+            Words._up, Words._down = _powers(self._base, 2 * size), _powers(pow(self._base, -1, 1 << 64), 2 * size)
+        letters = np.frombuffer(self.line, np.uint8)
+        gaps = np.flatnonzero(letters == 32)
+        self.starts, self.ends = np.append(0, gaps + 1), np.append(gaps, size)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((letters + np.uint64(1)) * Words._up[:size], out=sums[1:])
+        self.hashes = (sums[self.ends] - sums[self.starts]) * Words._down[self.starts]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(29))
 
 
-def minimisers(hashes: np.ndarray) -> np.ndarray:
+def minimisers(words: Words) -> np.ndarray:
     """The minimiser of each window, as a signed long."""
-    if len(hashes) < WINDOW:
+    if words.count < WINDOW:
         return np.zeros(0, np.int64)
-    size = len(hashes) - MER + 1
-    mers = hashes[:size].copy()
+    size = words.count - MER + 1
+    mers = words.hashes[:size].copy()
     for k in range(1, MER):
-        mers = mers * _MULTIPLIER + hashes[k : k + size]
-    span = WINDOW - MER + 1
-    return np.lib.stride_tricks.sliding_window_view(_mix(mers), span).min(axis=1).view(np.int64)
+        mers = mers * _MULTIPLIER + words.hashes[k : k + size]
+    least, span, whole = _mix(mers), 1, WINDOW - MER + 1
+    while span < whole:  # minima over twice the span, then over the whole
+        step = min(span, whole - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    return least.view(np.int64)
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column as arrays; null is empty."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
 def _pairs(frequent: frozenset[int]):  # noqa: ANN202
     held = np.array(sorted(frequent), np.int64)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher()
         for batch in source:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                keys, ids = [], []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = np.unique(minimisers(hasher(text.encode("utf-8", "replace").split())))
-                    keys.append(found)
-                    ids.append(np.full(len(found), key, np.int64))
-                minimiser, doc = np.concatenate(keys), np.concatenate(ids)
-                known = np.isin(minimiser, held)
-                salt = np.where(known, doc % SALTS, -1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(minimiser), pa.array(salt), pa.array(doc)], names=["minimiser", "salt", "key"])
+                found = [np.unique(minimisers(Words(t))) for t in part.column(1).to_pylist()]
+                minimiser = np.concatenate(found)
+                doc = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
+                salt = np.where(np.isin(minimiser, held), doc % SALTS, -1).astype(np.int32)
+                tie = np.repeat(part.column(2).to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(minimiser), pa.array(salt), pa.array(doc), pa.array(tie)], names=["minimiser", "salt", "key", "tie"])
 
     return batches
 
 
 def _packed(frequent: frozenset[int]):  # noqa: ANN202
-    """Rows (key, text, shared minimisers) to super-k-mers (bucket, key, starts, words)."""
+    """Rows (key, text, shared minimisers, tie) to super-k-mers (bucket, key, starts, words, tie)."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher()
         for batch in source:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                rows: list[tuple[int, int, list[int], bytes]] = []
-                for key, text, shared in zip(*(c.to_pylist() for c in part.columns)):
-                    words = text.encode("utf-8", "replace").split()
-                    found = minimisers(hasher(words))
-                    edges = np.flatnonzero(np.diff(found)) + 1
-                    starts, stops = np.append(0, edges), np.append(edges, len(found))
+                rows: list[tuple[int, int, list[int], bytes, int]] = []
+                for key, text, shared, tie in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _lists(part.column(2)), part.column(3).to_pylist()):
+                    words = Words(text)
+                    found = minimisers(words)
+                    edges = np.append(0, np.flatnonzero(np.diff(found)) + 1)
+                    wanted = np.isin(found[edges], shared)
+                    starts, stops = edges[wanted], np.append(edges[1:], len(found))[wanted]
                     # What a document repeats travels once, with all its places.
                     places: dict[tuple[int, bytes], list[int]] = {}
-                    for a, b in zip(*(x[np.isin(found[starts], shared)].tolist() for x in (starts, stops))):
-                        bucket = int(found[a])
+                    runs = zip(found[starts].tolist(), starts.tolist(), stops.tolist(), words.starts[starts].tolist(), words.ends[stops + WINDOW - 2].tolist())
+                    for bucket, a, b, low, high in runs:
                         if bucket in frequent:
                             for i in range(a, b):
-                                window = b" ".join(words[i : i + WINDOW])
+                                window = words.line[words.starts[i] : words.ends[i + WINDOW - 1]]
                                 places.setdefault((xxhash.xxh64_intdigest(window) - (1 << 63), window), []).append(i)
                         else:
-                            places.setdefault((bucket, b" ".join(words[a : b + WINDOW - 1])), []).append(a)
-                    rows += [(bucket, key, at_, packed) for (bucket, packed), at_ in places.items()]
+                            places.setdefault((bucket, words.line[low:high]), []).append(a)
+                    rows += [(bucket, key, at_, packed, tie) for (bucket, packed), at_ in places.items()]
                 if rows:
                     columns = list(zip(*rows))
                     texts = pa.array(columns[3], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32())), texts], names=["bucket", "key", "starts", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32())), texts, pa.array(columns[4], pa.int32())], names=["bucket", "key", "starts", "words", "tie"])
 
     return batches
 
@@ -132,44 +156,66 @@ def _packed(frequent: frozenset[int]):  # noqa: ANN202
 def frequent_minimisers(docs: DataFrame) -> frozenset[int]:
     """Minimisers in at least FREQUENT documents of a bounded sample; their number is bounded by the sample's size."""
     rate = sample_rate(docs.count(), SAMPLE_ROWS)
-    sampled = hash_sampled(docs, rate, "key").mapInArrow(_pairs(frozenset()), "minimiser long, salt int, key long")
+    sampled = hash_sampled(docs, rate, "key").withColumn("tie", F.lit(0)).mapInArrow(_pairs(frozenset()), "minimiser long, salt int, key long, tie int")
     found = sampled.groupBy("minimiser").count().where(F.col("count") >= FREQUENT).select("minimiser")
     return frozenset(r[0] for r in found.collect())
 
 
+def later_copies(digests: DataFrame) -> DataFrame:
+    """(key): documents whose whole text a document of a smaller key has too, from (key, digest).
+
+    All their windows start in the first copy, so they lose every word that a window covers, and add nothing to the search.
+    A key whose rows have different texts is never one.
+    """
+    first = digests.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
+    single = digests.groupBy("key").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")).where("digest = other")
+    return single.join(first.select("digest", "first"), "digest").where(F.col("key") > F.col("first")).select("key")
+
+
 def repeated_windows(texts: DataFrame, frequent: frozenset[int]) -> DataFrame:
-    """(key, start): the windows whose words also start in a document of a smaller key, from (key, text)."""
-    pairs = texts.mapInArrow(_pairs(frequent), "minimiser long, salt int, key long")
+    """(key, tie, start): the windows whose words also start in a document of a smaller key, from (key, tie, text)."""
+    pairs = texts.select("key", "text", "tie").mapInArrow(_pairs(frequent), "minimiser long, salt int, key long, tie int")
     bucket = Window.partitionBy("minimiser", "salt")
     matched = pairs.withColumn("low", F.min("key").over(bucket)).withColumn("high", F.max("key").over(bucket))
-    shared = matched.where((F.col("low") < F.col("high")) | (F.col("salt") >= 0)).groupBy("key").agg(F.collect_list("minimiser").alias("shared"))
-    packed = texts.join(shared, "key").select("key", "text", "shared").mapInArrow(_packed(frequent), "bucket long, key long, starts array<int>, words string")
+    shared = matched.where((F.col("low") < F.col("high")) | (F.col("salt") >= 0)).groupBy("key", "tie").agg(F.collect_list("minimiser").alias("shared"))
+    met = _of_text(texts, shared).select("key", "text", "shared", "tie")
+    packed = met.mapInArrow(_packed(frequent), "bucket long, key long, starts array<int>, words string, tie int")
     words = F.split("words", " ")
     spread = packed.repartition("bucket").withColumn("list", words).select(
-        "bucket", "key", "starts", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("list") - (WINDOW - 1)), lambda i: F.array_join(F.slice("list", i, WINDOW), " "))).alias("place", "window")
+        "bucket", "key", "tie", "starts", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("list") - (WINDOW - 1)), lambda i: F.array_join(F.slice("list", i, WINDOW), " "))).alias("place", "window")
     )
     equal = Window.partitionBy("bucket", "window")
     first = spread.withColumn("first", F.min("key").over(equal)).where(F.col("first") < F.col("key"))
-    return first.select("key", "place", F.explode("starts").alias("start")).select("key", (F.col("start") + F.col("place")).alias("start"))
+    return first.select("key", "tie", "place", F.explode("starts").alias("start")).select("key", "tie", (F.col("start") + F.col("place")).alias("start"))
+
+
+def _of_text(texts: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Texts with what was found for them. The join is by key alone, as the texts lie; the tie is compared beside it."""
+    right = found.select(F.col("key").alias("of"), F.col("tie").alias("of_tie"), *(c for c in found.columns if c not in ("key", "tie")))
+    return texts.join(right, (F.col("key") == F.col("of")) & (F.col("tie") - F.col("of_tie") == 0), how).drop("of", "of_tie")
 
 
 def _kept(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, is a later copy, starts) to (doc_id, n_words, n_removed, kept)."""
     for batch in source:
-        ids, totals, removed, texts = [], [], [], []
-        for doc_id, text, starts in zip(*(c.to_pylist() for c in batch.columns)):
+        totals, removed, texts = [], [], []
+        for text, copy, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), _lists(batch.column(3))):
             words = text.encode("utf-8", "replace").split()
-            cover = np.zeros(len(words) + 1, np.int64)
-            if starts:
-                at = np.unique(np.array(starts, np.int64))
-                at = at[at + WINDOW <= len(words)]
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + WINDOW, -1)
-            out = np.cumsum(cover[:-1]) > 0
-            ids.append(doc_id)
+            if copy and len(words) >= WINDOW:
+                out, kept = len(words), b""
+            elif len(starts):
+                cover = np.zeros(len(words) + 1, np.int64)
+                at = np.unique(starts)
+                cover[at] += 1
+                cover[at + WINDOW] -= 1
+                left = np.flatnonzero(np.cumsum(cover[:-1]) == 0).tolist()
+                out, kept = len(words) - len(left), b" ".join([words[i] for i in left])
+            else:
+                out, kept = 0, b" ".join(words)
             totals.append(len(words))
-            removed.append(int(out.sum()))
-            texts.append(b" ".join([w for w, gone in zip(words, out.tolist()) if not gone]).decode())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            removed.append(out)
+            texts.append(kept.decode())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
 def _hashed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +225,18 @@ def _hashed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), text_of().alias("text")).repartition("key")
-    frequent = frequent_minimisers(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), text_of().alias("text")))
-    gone = repeated_windows(texts, frequent).groupBy("key").agg(F.collect_list("start").alias("starts"))
-    return texts.join(gone, "key", "left").select(F.when(F.col("key") != _LAST, F.col("key")).alias("doc_id"), "text", "starts")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), text_of().alias("text"))
+    digests = durable(keyed.select("key", F.md5("text").alias("digest")))
+    copies = later_copies(digests)
+    # Ids with several texts tell them apart by a hash; all others have tie 0, which costs nothing in the shuffles.
+    several = digests.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("key", F.lit(True).alias("several"))
+    tie = F.when(F.col("several"), F.pmod(F.xxhash64("text"), F.lit(1 << 31))).otherwise(0).cast("int")
+    texts = keyed.repartition("key").join(several, "key", "left").select("key", "text", tie.alias("tie"))
+    found = repeated_windows(texts.join(copies, "key", "left_anti"), frequent_minimisers(keyed))
+    gone = found.groupBy("key", "tie").agg(F.collect_list("start").alias("starts"))
+    marked = _of_text(texts.join(copies.withColumn("copy", F.lit(True)), "key", "left"), gone, "left")
+    none = F.array().cast("array<int>")
+    return marked.select(F.when(F.col("key") != _LAST, F.col("key")).alias("doc_id"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("starts", none).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -128,3 +128,11 @@ def test_pipeline(odd, none, spark, tmp_path):
         labels(spark).write.parquet(f"{folder}/labels.parquet")
         rows = corpus_pipeline.run(spark, folder).collect()
         assert ({r.doc_id for r in rows} <= {5, 6, 8}) and (len(rows) > 0) == (name == "odd")
+
+
+def test_substrings_of_ids_with_several_texts(spark):
+    from .conftest import SCHEMA, prose, row
+
+    docs = spark.createDataFrame([row(1, prose(1, 30)), row(2, prose(1, 30)), row(2, prose(2, 30)), row(3, prose(2, 30)), row(None, prose(3, 20)), row(None, prose(3, 20)), row(4, prose(3, 20))], SCHEMA)
+    found = sorted(((r.doc_id is None, r.doc_id, r.n_removed) for r in substrings.remove_repeats(docs).collect()), key=str)
+    assert found == sorted([(False, 1, 0), (False, 2, 30), (False, 2, 0), (False, 3, 30), (True, None, 20), (True, None, 20), (False, 4, 0)], key=str)
