@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What a line of each format looks like.
 DISCORD = r"^(\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}\s*[AP]M\s*)?([^:]+):\s*(.+)$"
 TIMED = r"^\s*[\[\(]?(\d{1,2}:\d{2}(?::\d{2})?)\s*[\]\)]?\s*([^:]+?):\s*(.+)$"
 SIMPLE = r"^()([^:]+?)\s*:\s*(.+)$"
 CHARACTER = r"^(.+?)\s*\(([^)]+)\)$"
+#: Names of the one who leads the game.
 DM_NAMES = ("dm", "dungeon master", "gm", "game master", "narrator")
 
 
