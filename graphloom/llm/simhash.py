@@ -17,17 +17,19 @@ and the result has no component for it. Other columns are not read. An empty tab
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable, text_of
+from graphloom.llm.common import durable, hash_sampled, sample_rate, text_of
 
 MAX_DISTANCE = 3
+ORDER_SAMPLE, NEIGHBOURS = 4_000, 16
 _SLICE = 1 << 16
 
 
@@ -137,9 +139,110 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest id of their component, one row an id; a document without an id stays."""
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """The distinct hashes of the shingles of lower-cased (A-Z) words, ascending; a shorter text is one shingle."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.append(0, ends[:-1] + 1)[: max(1, len(words) - shingle + 1)]
+    stops = ends[min(shingle, len(words)) - 1 :]
+    found = (xxhash.xxh64_intdigest(joined[a:b], 7) for a, b in zip(starts.tolist(), stops.tolist(), strict=True))
+    return np.unique(np.fromiter(found, np.uint64, len(starts)).view(np.int64))
+
+
+def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles that several texts of a bounded sample hold. They only set the order of the prefixes."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t, shingle))], names=["h"])
+
+    sample = hash_sampled(texts, sample_rate(texts.count(), ORDER_SAMPLE), "mark").select("mark", "text").dropDuplicates(["mark"])
+    found = sample.select("text").mapInArrow(batches, "h long").groupBy("h").count().where("count >= 3").orderBy("h").toPandas()
+    return found.h.to_numpy(np.int64), found["count"].to_numpy(np.int64)
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles in one order of all, rare ones first: two sets as similar as that share one of theirs."""
+    at = np.searchsorted(common[0], hashes)
+    at[at == len(common[0])] = 0
+    held = np.where(common[0][at] == hashes, common[1][at], 0) if len(common[0]) else np.zeros(len(hashes), np.int64)
+    return hashes[np.lexsort((hashes, held))][: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
+def similar(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): pairs of ``mark`` of (mark, text) whose shingle sets have at least that Jaccard similarity.
+
+    Texts meet by the shingles of their prefixes, and each candidate is verified on the whole sets. In a shingle's group a
+    text meets the ``NEIGHBOURS`` before it by size, and the first, so that a large group of near copies costs no square;
+    groups up to that size give every pair.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts, shingle))
+
+    def prefixes(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            sets = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
+            sizes = pa.array(map(len, sets), pa.int32())
+            heads = pa.array([prefix(x, similarity, shared.value) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, heads], names=["mark", "n", "heads"])
+
+    heads = texts.select("mark", "text").mapInArrow(prefixes, "mark long, n int, heads array<long>").dropDuplicates(["mark"])
+    me = F.struct("n", "mark", "at")
+    by = Window.partitionBy("h").orderBy("n", "mark")
+    met = heads.select("mark", "n", F.posexplode("heads").alias("at", "h")).select(
+        "mark", "n", "at", F.array_union(F.collect_list(me).over(by.rowsBetween(-NEIGHBOURS, -1)), F.array(F.first(me).over(by))).alias("others")
+    )
+    # What follows the first shingle that two texts share has to hold the rest of what they need to share.
+    most = F.least(F.col("n") - F.col("at"), F.col("o.n") - F.col("o.at"))
+    pairs = met.select("mark", "n", "at", F.explode("others").alias("o")).where(
+        (F.col("o.mark") != F.col("mark")) & (F.col("o.n") >= F.col("n") * similarity - 1e-6)
+        & (most >= (F.col("n") + F.col("o.n")) * (similarity / (1 + similarity)) - 1e-6)
+    )
+    pairs = durable(pairs.select(F.least("mark", "o.mark").alias("a"), F.greatest("mark", "o.mark").alias("b")).distinct())
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("mark"))
+    sent = texts.select("mark", "text").dropDuplicates(["mark"]).join(ends, "mark")
+
+    def verified(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                p, q = shingle_hashes(x, shingle), shingle_hashes(y, shingle)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    read = sent.groupBy("a", "b").agg(F.min("text").alias("x"), F.max("text").alias("y"))
+    return read.mapInArrow(verified, "a long, b long")
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents that are the first of their group, by id, then by a hash of the text; a document without an id stays.
+
+    Texts are linked if their SimHashes are, or if their sets of ``shingle`` words are at least as similar as ``similarity``.
+    Rows that share an id and differ in text are told apart; those that share both are one row.
+    """
+    mark = F.xxhash64(text_of())
+    named = docs.where(F.col("doc_id").isNotNull())
+    texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), text_of().alias("text"))
+    prints = durable(
+        texts.mapInArrow(
+            lambda source: (
+                pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(np.array([simhash64(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64))], names=["doc_id", "mark", "fp"])
+                for b in source
+            ),
+            "doc_id long, mark long, fp long",
+        )
+    )
+    first = durable(prints.groupBy("fp").agg(F.min("mark").alias("first")))
+    close = durable(links(first.select("fp")))
+    by_fp = close.join(first.toDF("a", "a_mark"), "a").join(first.toDF("b", "b_mark"), "b").select(F.col("a_mark").alias("a"), F.col("b_mark").alias("b"))
+    same = prints.select("mark", "fp").distinct().join(first, "fp").where("mark != first").select(F.col("mark").alias("a"), F.col("first").alias("b"))
+    found = components(durable(by_fp.union(same).union(similar(texts, shingle, similarity))))
+    grouped = prints.groupBy("mark").agg(F.min("doc_id").alias("doc_id")).join(found.withColumnRenamed("node", "mark"), "mark", "left")
+    kept = grouped.groupBy(F.coalesce("label", "mark").alias("label")).agg(F.min(F.struct("doc_id", "mark")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.mark").alias("_mark"))
+    marked = named.withColumn("_mark", mark)
+    chosen = marked.join(kept, (marked.doc_id.cast("long") == kept["_id"]) & (marked["_mark"] == kept["_mark"]), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "_mark"]).drop("_mark").unionByName(docs.where(F.col("doc_id").isNull()))
