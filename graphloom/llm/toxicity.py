@@ -4,8 +4,8 @@ Features are the character n-grams a text has (lower case, white space runs as o
 naive Bayes log-count ratio: the log of how much likelier a toxic text is to hold it than another. A logistic regression over
 the scaled features (of unit length in each text, and not standardised again) is the classifier.
 
-Fitting uses a bounded sample of labelled rows, ``MOST_TOXIC`` and ``MOST_OTHER`` in expectation, chosen by a hash of the id:
-one task descends over it, EPOCHS times in a fixed order with falling steps. The score then undoes the sample's class balance
+The ratios are counted over all labelled rows that may be learned from: one vector a task, summed by place. The regression uses
+a bounded sample of them, ``MOST_TOXIC`` and ``MOST_OTHER`` in expectation, chosen by a hash of the id: one task descends over it, EPOCHS times in a fixed order with falling steps. The score then undoes the sample's class balance
 by shifting the intercept. The driver holds vectors of 2^BITS numbers.
 Scoring is one pass over whole texts where they lie; the model is broadcast, its size is fixed.
 
@@ -31,7 +31,7 @@ from graphloom.llm.common import durable, sample_rate, text_of
 from graphloom.llm.ngrams import counted
 
 ORDERS, BITS, SMOOTH = (3, 4, 5), 18, 20.0
-MOST_TOXIC, MOST_OTHER, STEP, EPOCHS = 1_400, 2_800, 8.0, 8
+MOST_TOXIC, MOST_OTHER, STEP, EPOCHS = 3_000, 6_000, 8.0, 8
 THRESHOLD = 0.7
 
 
@@ -84,6 +84,29 @@ def descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tu
     return weights, intercept
 
 
+def _class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(toxic, other, n_toxic, n_other): how many texts of each class hold each place, over every row of (label, text)."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+        for batch in source:
+            for label, text in zip(*(c.to_pylist() for c in batch.columns)):
+                held[int(label)][_places(text)] += 1
+                rows[int(label)] += 1
+        if rows.any():
+            places = np.append(np.flatnonzero(held.any(axis=0)), -1)
+            counts = [pa.array(np.append(held[k][places[:-1]], rows[k])) for k in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(places), *counts], names=["place", "toxic", "other"])
+
+    found = labelled.mapInArrow(batches, "place long, toxic long, other long")
+    sums = found.groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas()
+    toxic, other = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    real = sums[sums.place >= 0]
+    toxic[real.place], other[real.place] = real.toxic, real.other
+    total = sums[sums.place < 0]
+    return toxic, other, float(total.toxic.sum()), float(total.other.sum())
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """From documents (doc_id, text) and labels (doc_id, toxic); pass only the rows that may be learned from."""
     known = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long"), F.col("toxic").cast("double").alias("label")).dropDuplicates(["doc_id"])
@@ -100,14 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = _featured(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(chosen, "doc_id").select("label", "text"))
     rows = durable(rows)
     size = 1 << BITS
-    counts = rows.select("label", F.explode("places").alias("place")).groupBy("place").agg(
-        F.count(F.when(F.col("label") == 1.0, 1)).alias("toxic"), F.count(F.when(F.col("label") == 0.0, 1)).alias("other")
-    ).toPandas()
-    toxic, other = np.zeros(size), np.zeros(size)
-    toxic[counts.place] = counts.toxic
-    other[counts.place] = counts.other
     drawn = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    ratio = log_count_ratios(toxic, other, drawn.get(1.0, 0), drawn.get(0.0, 0))
+    texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(known, "doc_id").select("label", "text")
+    ratio = log_count_ratios(*_class_counts(texts))
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
