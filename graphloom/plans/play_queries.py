@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from graphloom.functions import ontology
 from graphloom.operators import authoring
 from graphloom.plans import chapter
-from graphloom.plans.fixtures import edges, entities, table
+from graphloom.plans.fixtures import GRAPH_SQL, edges, entities, table
 from graphloom.plans.registry import query
 
+#: The types and relations of the vocabulary.
+_TYPES = sorted({t for ends in ontology.ALLOWED.values() for types in ends for t in types.split(" ")})
+_RELATIONS = sorted(r for rs in ontology.LAYERS.values() for r in rs)
+_listed = lambda names: ", ".join(f"'{n}'" for n in names)
+
 
 @query("""WITH a AS (SELECT user_id % 40 AS question_id, event_id AS run, event_type AS text FROM events), c AS (SELECT *, contains(text, 'e') AND NOT contains(text, 'u') AS passed FROM a)
 SELECT question_id, count(*) AS runs, count(CASE WHEN passed THEN 1 END) AS passes, bool_and(passed) AS every, bool_or(passed) AS "any" FROM c GROUP BY question_id""")
@@ -49,11 +54,23 @@ def seeded_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH n AS (SELECT p_type AS entity_type, lower(p_name) AS name, count(*) AS n FROM part GROUP BY 1, 2) SELECT name AS subject, 'name claimed twice' AS problem FROM n WHERE n > 1 GROUP BY name""")
 def seed_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("entity_type"))
-    kinds = [r[0] for r in nodes.select("entity_type").distinct().limit(1000).collect()]
+    kinds = [r[0] for r in nodes.select("entity_type").distinct().collect()]
     links = edges(spark, sf_dir, ("LOCATED_IN",)).where(F.lit(False))
     return authoring.seed_problems(nodes, links, kinds, ["LOCATED_IN"])
 
 
+@query(f"""{GRAPH_SQL}, e AS (SELECT src, rel_type, dst, src || ' ' || rel_type || ' ' || dst AS subject FROM edges)
+SELECT id AS subject, 'doubled id' AS problem FROM entities GROUP BY id HAVING count(*) > 1
+UNION SELECT lower(name), 'name claimed twice' FROM entities GROUP BY entity_type, lower(name) HAVING count(DISTINCT id) > 1
+UNION SELECT id, 'unknown type' FROM entities WHERE entity_type IS NULL OR entity_type NOT IN ({_listed(_TYPES)})
+UNION SELECT subject, 'unknown relation' FROM e WHERE rel_type NOT IN ({_listed(_RELATIONS)})
+UNION SELECT subject, 'self-loop' FROM e WHERE src = dst
+UNION SELECT subject, 'missing end' FROM e WHERE src NOT IN (SELECT id FROM entities) OR dst NOT IN (SELECT id FROM entities)""")
+def graph_seed_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of a seed over the whole graph, against the types and relations of the vocabulary."""
+    return authoring.seed_problems(entities(spark, sf_dir), edges(spark, sf_dir), _TYPES, _RELATIONS)
+
+
 @query("""WITH n AS (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT s_name FROM supplier) SELECT 'node' AS part, 'written' AS outcome, count(DISTINCT lower(name)) AS n FROM n
 UNION ALL SELECT 'edge', 'written', (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier)""")
 def chapter_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
