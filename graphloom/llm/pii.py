@@ -1,8 +1,8 @@
 """Personal data by candidate spans and gradient-boosted trees.
 
 Generators of high recall propose spans, which may overlap: anything around an at sign (also spelt out), runs of digits with
-separators, dotted numbers, and values that follow a credential's name. Each candidate is described by its format (length,
-digits, separators, groups, letters, mixed classes, checks) and its context (what stands on either side, words that
+separators, dotted numbers, and whole values that follow a credential's name, which may end a longer one (``access_token``).
+Each candidate is described by its format (length, digits, separators, groups, letters, mixed classes, checks) and its context (what stands on either side, words that
 announce such data). Boosted trees, one set a family of candidates, give a score; Platt scaling on a held-back fifth makes it
 a chance, and a family's threshold is the lowest chance at which the held-back precision reaches ``PRECISION``. A chosen span
 that overlaps no other chosen one is kept, the likeliest first.
@@ -89,12 +89,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Generators: family, pattern. They overlap on purpose; bounded repeats keep them linear.
+#: Generators: family, pattern. They overlap on purpose; bounded repeats and possessive runs keep them linear.
 GENERATORS = (
     ("address", re.compile(r"[\w.%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[\w-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]{1,63}){0,5}")),
     ("number", re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,24}")),
     ("number", re.compile(r"[0-9]{1,3}(?: ?[.:] ?[0-9]{1,3}){3}")),
-    ("secret", re.compile(r"(?i)\b(?:api[_-]?key|token|secret|passw(?:or)?d|pwd|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{8,128})")),
+    ("secret", re.compile(r"(?i)(?:\b|(?<=_))(?:api[_-]?key|token|secret|passw(?:or)?d|pwd|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{8,}+)")),
 )
 FAMILIES = ("address", "number", "secret")
 _CUES = re.compile(r"(?i)\b(?:tel|phone|call|fax|mobile|card|visa|account|iban|ip|host|server|mail|e-mail|contact|ssn)\b[^\n]{0,12}$")
