@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OPEN, CLOSE, LOSS_ROLE = "### ", " </turn>\n", "assistant"
+OPEN, CLOSE, LOSS_ROLE, PIECE = "### ", " </turn>\n", "assistant", 256
 #: Escape codes: what must not stand in a text, and its letter. The backslash is coded first and decoded last.
 CODES = (("\\", "b"), ("###", "h"), ("</turn>", "t"), (":", "c"))
 
@@ -43,17 +43,14 @@ def fold_events(log: DataFrame) -> DataFrame:
         "seq", F.lower("kind").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role")
     )
     grouped = log.groupBy("conv_id", "turn", "message").agg(F.sort_array(F.collect_list(event)).alias("events"))
-    start = F.struct(F.lit("").alias("role"), F.array().cast("array<string>").alias("pieces"), F.lit(True).alias("gone"))
-
-    def step(state: Column, e: Column) -> Column:
-        kept = F.when(e.kind == "delta", F.concat(state.pieces, F.array(e.text)))
-        whole = kept.when(e.kind.isin("message", "edit"), F.array(e.text)).otherwise(F.array().cast("array<string>"))
-        return F.struct(
-            F.when(e.role != "", e.role).otherwise(state.role).alias("role"), whole.alias("pieces"), (e.kind == "delete").alias("gone")
-        )
-
-    folded = F.aggregate("events", start, step, lambda s: F.struct(s.role.alias("role"), F.array_join(s.pieces, "").alias("text"), s.gone.alias("gone")))
-    return grouped.select("conv_id", "turn", folded.alias("m")).where(~F.col("m.gone")).select("conv_id", "turn", "m.role", "m.text")
+    # The text is what stands from the last event that is no delta on: found once, so that the work is linear in the events.
+    restarts = F.transform("events", lambda e, i: F.when(e.kind != "delta", i))
+    tail = F.slice("events", F.coalesce(F.array_max(restarts), F.lit(0)) + 1, F.size("events"))
+    said = F.transform(F.filter(tail, lambda e: e.kind.isin("message", "edit", "delta")), lambda e: e.text)
+    roles = F.filter(F.transform("events", lambda e: e.role), lambda r: r != "")
+    folded = F.struct(F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), F.array_join(said, "").alias("text"))
+    gone = F.element_at("events", -1).kind == "delete"
+    return grouped.where(~gone).select("conv_id", "turn", folded.alias("m")).select("conv_id", "turn", "m.role", "m.text")
 
 
 def render(turns: DataFrame) -> DataFrame:
@@ -90,9 +87,15 @@ def format_conversations(log: DataFrame) -> DataFrame:
     return assemble(render(fold_events(log)))
 
 
-def as_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as a log: one ``message`` event a row; rows of one turn are messages of their own."""
+def as_events(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
+    """A table of finished turns as the log that a client would have written; rows of one turn are messages of their own.
+
+    What the assistant says is streamed: deltas of ``piece`` code points. Any other turn is one ``message`` event.
+    """
     nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return conversations.select(
-        "conv_id", "turn", nth.alias("message"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text"
-    )
+    said = F.coalesce("text", F.lit(""))
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(said), F.lit(1)), F.lit(piece))
+    pieces = F.when(F.col("role") == LOSS_ROLE, F.transform(starts, lambda i: F.substr(said, i, F.lit(piece)))).otherwise(F.array(said))
+    turns = conversations.select("conv_id", "turn", "role", "text", nth.alias("message"))
+    kind = F.when(F.col("role") == LOSS_ROLE, F.lit("delta")).otherwise(F.lit("message"))
+    return turns.select("conv_id", "turn", "message", "role", kind.alias("kind"), F.posexplode(pieces).alias("seq", "text"))
