@@ -10,7 +10,7 @@ by shifting the intercept. The driver holds vectors of 2^BITS numbers.
 Scoring is one pass over whole texts where they lie; the model is broadcast, its size is fixed.
 
 Edge cases: a null or empty text gets the score of no features but the ends. Rows without a label, or with a null label, are
-scored but not learned from; a label that repeats counts once. With labels of one class only, or none, every score is that
+scored but not learned from; a label that repeats counts once, and of labels that conflict toxic wins. With labels of one class only, or none, every score is that
 class's share (0.0 with none). Rows that repeat an id are scored each. Other columns are not read. An empty table gives an
 empty result.
 """
@@ -109,7 +109,7 @@ def _class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float, f
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """From documents (doc_id, text) and labels (doc_id, toxic); pass only the rows that may be learned from."""
-    known = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long"), F.col("toxic").cast("double").alias("label")).dropDuplicates(["doc_id"])
+    known = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("label"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(sizes.values())
     if len(sizes) < 2:
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rates = {1.0: sample_rate(sizes[1.0], MOST_TOXIC), 0.0: sample_rate(sizes[0.0], MOST_OTHER)}
     chosen = known.where(F.when(F.col("label") == 1.0, draw < rates[1.0] * 1e6).otherwise(draw < rates[0.0] * 1e6))
     # The sample holds at most a fixed number of ids, so sending them to every task saves moving the texts.
-    chosen = F.broadcast(chosen.limit(2 * (MOST_TOXIC + MOST_OTHER)))
+    chosen = F.broadcast(chosen.orderBy(draw, "doc_id").limit(2 * (MOST_TOXIC + MOST_OTHER)))
     rows = _featured(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(chosen, "doc_id").select("label", "text"))
     rows = durable(rows)
     size = 1 << BITS
