@@ -230,7 +230,7 @@ def _written(r: random.Random, pattern: str) -> tuple[str, tuple[int, int] | Non
 
 
 def _same(a: int, b: int, x: int, y: int) -> bool:
-    return abs(a - x) + abs(b - y) <= 1
+    return a == x and b == y
 
 
 def built(text: str, seed: str, rounds: int) -> Iterator[tuple[str, float, bool, list[float]]]:
