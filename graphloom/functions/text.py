@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 #: Words that only shape a question, and words of the game table.
 QUESTION_WORDS = (
-    "who what when where why which how whose whom is are was were be been being am do does did doing done "
-    "can could shall should will would may might must a an the this that these those there here "
-    "i me my we us our you your it its they them their of in on at to for from by with about into onto over under "
-    "and or but if then than as so"
-).split()
-TABLE_WORDS = "character characters pc pcs party player players adventurer adventurers dm gm campaign session game adventure".split()
+    "who", "what", "when", "where", "why", "which", "how", "whose", "whom", "is", "are", "was", "were", "be", "been", "being", "am", "do", "does",
+    "did", "doing", "done", "can", "could", "shall", "should", "will", "would", "may", "might", "must", "a", "an", "the", "this", "that", "these",
+    "those", "there", "here", "i", "me", "my", "we", "us", "our", "you", "your", "it", "its", "they", "them", "their", "of", "in", "on", "at", "to",
+    "for", "from", "by", "with", "about", "into", "onto", "over", "under", "and", "or", "but", "if", "then", "than", "as", "so",
+)
+TABLE_WORDS = (
+    "character", "characters", "pc", "pcs", "party", "player", "players", "adventurer", "adventurers", "dm", "gm", "campaign", "session", "game",
+    "adventure",
+)
 
 
 def alias_key(name: Column) -> Column:

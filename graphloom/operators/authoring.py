@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def seed_problems(nodes: DataFrame, edges: DataFrame, types: list[str], relations: list[str]) -> DataFrame:
-    """(subject, problem): doubled ids, names claimed twice in a type, unknown types and relations, ends that are not there, self-loops."""
+def seed_problems(nodes: DataFrame, edges: DataFrame, types: DataFrame, relations: DataFrame) -> DataFrame:
+    """(subject, problem): doubled ids, names claimed twice in a type, unknown types and relations, ends that are not there, self-loops.
+
+    Types (entity_type) and relations (rel_type) are tables, so a vocabulary of any size is joined.
+    """
     ids = nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("subject"), F.lit("doubled id").alias("problem"))
     names = nodes.groupBy("entity_type", F.lower("name").alias("subject")).agg(F.countDistinct("id").alias("n")).where("n > 1").select("subject", F.lit("name claimed twice").alias("problem"))
-    kinds = nodes.where(~F.col("entity_type").isin(*types) | F.col("entity_type").isNull()).select(F.col("id").alias("subject"), F.lit("unknown type").alias("problem"))
+    kinds = nodes.join(types.select("entity_type").distinct(), "entity_type", "left_anti").select(F.col("id").alias("subject"), F.lit("unknown type").alias("problem"))
     name = F.concat_ws(" ", "src", "rel_type", "dst").alias("subject")
-    rels = edges.where(~F.col("rel_type").isin(*relations)).select(name, F.lit("unknown relation").alias("problem"))
+    rels = edges.join(relations.select("rel_type").distinct(), "rel_type", "left_anti").select(name, F.lit("unknown relation").alias("problem"))
     loops = edges.where("src = dst").select(name, F.lit("self-loop").alias("problem"))
     lost = [edges.join(nodes.select(F.col("id").alias(end)), end, "left_anti").select(name, F.lit("missing end").alias("problem")) for end in ("src", "dst")]
     return reduce(DataFrame.unionByName, [ids, names, kinds, rels, loops, *lost]).distinct()

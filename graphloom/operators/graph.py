@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.plan import durable, small
+
 
 def search(entities: DataFrame, text: str, types: tuple[str, ...] = (), limit: int | None = None, fields: tuple[str, ...] = ("name",)) -> DataFrame:
     """Case-insensitive substring search; prefix matches of the name come first, then ids decide."""
@@ -19,27 +21,29 @@ def search(entities: DataFrame, text: str, types: tuple[str, ...] = (), limit: i
     return ranked.orderBy("prefix_rank", "id").limit(limit) if limit else ranked
 
 
-def symmetrised(edges: DataFrame) -> DataFrame:
-    """(at, rel_type, to, edge): every edge from both of its ends; a self-loop from one."""
-    edge = F.concat_ws("|", "src", "rel_type", "dst").alias("edge")
-    back = edges.where(F.col("src") != F.col("dst")).select(F.col("dst").alias("at"), "rel_type", F.col("src").alias("to"), edge)
-    return edges.select(F.col("src").alias("at"), "rel_type", F.col("dst").alias("to"), edge).unionByName(back)
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(at, to, src, rel_type, dst): every edge from both of its ends, in one scan; a self-loop from one."""
+    ends = F.array(F.struct(F.col("src").alias("at"), F.col("dst").alias("to")), F.when(F.col("src") != F.col("dst"), F.struct(F.col("dst").alias("at"), F.col("src").alias("to"))))
+    return edges.select("src", "rel_type", "dst", F.inline(F.array_compact(ends)))
 
 
 def neighbors(edges: DataFrame, starts: DataFrame, hops: int, directed: bool = False) -> DataFrame:
     """(start, id, path, length): distinct (neighbour, relations passed, length) over trails of up to ``hops`` edges.
 
-    A trail uses an edge once at most; nodes may repeat, so a start can be its own neighbour. Each hop is one join on the
-    frontier's end; only the frontier is carried.
+    A trail uses an edge once at most; nodes may repeat, so a start can be its own neighbour. Each hop is one scan of the edges
+    against the frontier, which is counted: a small one is sent to every task, a large one is shuffled. Edges are named only
+    where the frontier meets them, and the frontier is written after each hop.
     """
-    steps = symmetrised(edges) if not directed else edges.select(F.col("src").alias("at"), "rel_type", F.col("dst").alias("to"), F.concat_ws("|", "src", "rel_type", "dst").alias("edge"))
+    steps = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), "src", "rel_type", "dst") if directed else both_ways(edges)
     none = F.array().cast("array<string>")
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("end"), none.alias("path"), none.alias("used"))
     found = []
-    for _ in range(hops):
-        front = front.join(steps, front.end == steps.at).where(~F.array_contains("used", F.col("edge"))).select(
-            "start", F.col("to").alias("end"), F.concat("path", F.array("rel_type")).alias("path"), F.concat("used", F.array("edge")).alias("used")
-        )
+    for hop in range(hops):
+        edge = F.concat_ws("|", "src", "rel_type", "dst")
+        met = steps.join(small(front), F.col("end") == F.col("at")).where(~F.array_contains("used", edge))
+        front = met.select("start", F.col("to").alias("end"), F.concat("path", F.array("rel_type")).alias("path"), F.concat("used", F.array(edge)).alias("used"))
+        if hop + 1 < hops:
+            front = durable(front)
         found.append(front.select("start", F.col("end").alias("id"), F.array_join("path", ">").alias("path"), F.size("path").alias("length")))
     return reduce(DataFrame.unionByName, found).distinct()
 
@@ -106,17 +110,19 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def ancestors(parents: DataFrame, starts: DataFrame, most: int = 32) -> DataFrame:
-    """(start, id, depth): the chain of parents of each start, cycle-guarded; one join a level until no row is left."""
+def ancestors(parents: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, id, depth): the whole chain of parents of each start, one join a level until no row is left.
+
+    A parent that a chain has passed before ends it, so cycles end too. Each level is written, and counted, once.
+    """
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("seen"))
+    up = parents.where(F.col("parent").isNotNull()).select(F.col("id").alias("at"), "parent")
     found = []
-    for depth in range(1, most + 1):
-        front = front.join(parents.select(F.col("id").alias("at"), "parent"), "at").where(F.col("parent").isNotNull() & ~F.array_contains("seen", F.col("parent"))).select(
-            "start", F.col("parent").alias("at"), F.concat("seen", F.array("parent")).alias("seen")
-        )
+    while True:
+        front = durable(front.join(up, "at").where(~F.array_contains("seen", F.col("parent"))).select("start", F.col("parent").alias("at"), F.concat("seen", F.array("parent")).alias("seen")))
         if front.isEmpty():
             break
-        found.append(front.select("start", F.col("at").alias("id"), F.lit(depth).alias("depth")))
+        found.append(front.select("start", F.col("at").alias("id"), F.lit(len(found) + 1).alias("depth")))
     empty = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).where("false")
     return reduce(DataFrame.unionByName, found, empty)
 

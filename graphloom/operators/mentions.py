@@ -1,10 +1,18 @@
-"""Names in texts: whole-word scan, sentence co-occurrence and counts."""
+"""Names in texts and questions: whole-word scan, sentence co-occurrence and counts.
+
+A name matches where no letter or digit stands on either side of it. Curly apostrophes are straight, soft hyphens within the
+text are passed over, and a full stop of a name need not stand in the text ("St Andral's" is "St. Andral's"), though one that
+stands in the text has to be the name's. The case of a one-word name counts, that of longer ones does not; a question may
+fold the case of all.
+"""
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,15 +21,30 @@ from graphloom.functions import sentences
 
 MOST_NAMES = 2_000_000
 _FOLD = str.maketrans({"’": "'", "‘": "'"})
+_SOFT = "\u00ad"
+_BARE = {ord("."): None, ord(_SOFT): None}
+
+Hit = tuple[int, int, str, str]
+
+
+def _lower(text: str) -> str:
+    """Lower case of equal length, letter by letter where a letter's lower case is longer."""
+    lowered = text.lower()
+    return lowered if len(lowered) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def plain_name(name: str) -> str:
+    return name.translate(_FOLD).replace(_SOFT, "").strip()
 
 
-def _automaton(names: list[tuple[str, str]]):  # noqa: ANN202
-    """One automaton over folded names; each holds its (entity, spelling, whether case matters)."""
-    found: dict[str, list[tuple[str, str, bool]]] = {}
+def automaton(names: list[tuple[str, str]], fold_case: bool = False):  # noqa: ANN201
+    """One automaton over folded names without full stops; each holds its (entity, spelling, plain spelling, whether case matters)."""
+    found: dict[str, list[tuple[str, str, str, bool]]] = {}
     for entity, name in names:
-        plain = name.translate(_FOLD).replace("­", "").strip()
-        if plain:
-            found.setdefault(plain.lower(), []).append((entity, plain, len(plain.split()) == 1))
+        plain = plain_name(name)
+        key = _lower(plain.translate(_BARE))
+        if key.strip():
+            found.setdefault(key, []).append((entity, name, plain, not fold_case and len(plain.split()) == 1))
     machine = ahocorasick.Automaton()
     for key, held in found.items():
         machine.add_word(key, (len(key), held))
@@ -30,61 +53,165 @@ def _automaton(names: list[tuple[str, str]]):  # noqa: ANN202
     return machine if found else None
 
 
-def _spans(text: str, machine) -> list[tuple[int, int, str, str]]:  # noqa: ANN001
-    """(start, end, entity, spelling) of whole-word matches in the text's own offsets; overlaps go to the longest, then the first."""
+def _end(text: str, at: int, name: str, exact: bool) -> int:
+    """Where the name ends that begins at a place of the folded text, or -1: soft hyphens are passed, its full stops optional."""
+    for i, c in enumerate(name):
+        while i and at < len(text) and text[at] == _SOFT:
+            at += 1
+        if c == ".":
+            at += at < len(text) and text[at] == "."
+        elif at < len(text) and (text[at] == c or (not exact and _lower(text[at]) == _lower(c))):
+            at += 1
+        else:
+            return -1
+    return at
+
+
+def hits(text: str, machine) -> list[Hit]:  # noqa: ANN001
+    """(start, end, entity, spelling) of every whole-word match, overlapping ones too, in the text's own offsets."""
     if machine is None:
         return []
-    places = None
     folded = text.translate(_FOLD)
-    if "­" in folded:
-        places = [i for i, c in enumerate(folded) if c != "­"]
-        folded = folded.replace("­", "")
-    lowered = folded.lower()
-    if len(lowered) != len(folded):  # a letter whose lower case is longer: fold letter by letter
-        lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in folded)
-    found = []
-    for last, (size, held) in machine.iter(lowered):
-        start, end = last - size + 1, last + 1
-        if (start and lowered[start - 1].isalnum()) or (end < len(lowered) and lowered[end].isalnum()):
-            continue
-        found += [(start, end, entity, name) for entity, name, exact in held if not exact or folded[start:end] == name]
+    bare, places = folded, None
+    if "." in folded or _SOFT in folded:
+        places = [i for i, c in enumerate(folded) if c != "." and c != _SOFT]
+        bare = folded.translate(_BARE)
+    out = []
+    for last, (size, held) in machine.iter(_lower(bare)):
+        start = last - size + 1
+        start = places[start] if places is not None else start
+        for entity, name, plain, exact in held:
+            low = start - 1 if plain.startswith(".") and start and folded[start - 1] == "." else start
+            end = _end(folded, low, plain, exact)
+            if end >= 0 and not (low and folded[low - 1].isalnum()) and not (end < len(folded) and folded[end].isalnum()):
+                out.append((low, end, entity, name))
+    return out
+
+
+def without_overlaps(found: list[Hit]) -> list[Hit]:
+    """Overlaps go to the longest, then the first; equal spans all stay. Taken spans are disjoint and in order."""
     kept, taken = [], []
-    for start, end, entity, name in sorted(found, key=lambda x: (x[0] - x[1], x[0], x[2])):
-        if all(end <= a or b <= start or (a, b) == (start, end) for a, b in taken):
-            taken.append((start, end))
+    for start, end, entity, name in sorted(found, key=lambda x: (x[0] - x[1], x[0], x[2], x[3])):
+        at = bisect.bisect_left(taken, (start, end))
+        if at < len(taken) and taken[at] == (start, end):
+            kept.append((start, end, entity, name))
+        elif (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+            taken.insert(at, (start, end))
             kept.append((start, end, entity, name))
-    if places is not None:
-        kept = [(places[a], places[b - 1] + 1, e, n) for a, b, e, n in kept]
     return sorted(kept)
 
 
-def scan(sections: DataFrame, names: DataFrame) -> DataFrame:
+_SCANNED = "section_id long, entity_id string, name string, start int, low int, high int"
+
+
+def scan(sections: DataFrame, names: DataFrame, most: int = MOST_NAMES) -> DataFrame:
     """(section_id, entity_id, name, start, low, high): each mention and the bounds of its sentence.
 
-    ``names`` (entity_id, name) becomes one automaton that every task gets, so its size is checked first; split a larger
-    list and union the scans.
+    ``names`` (entity_id, name) becomes one automaton that every task gets. Its size is counted first: a list of more than
+    ``most`` names is dealt into several by a hash, whose hits meet again by section before overlaps are settled.
     """
-    held = [(r[0], r[1]) for r in names.select("entity_id", "name").distinct().limit(MOST_NAMES + 1).collect()]
-    if len(held) > MOST_NAMES:
-        raise ValueError(f"over {MOST_NAMES} names: scan them in parts")
-    shared = sections.sparkSession.sparkContext.broadcast(sorted(held))
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _automaton(shared.value)
-        for batch in source:
-            rows = []
-            for section, text in zip(*(c.to_pylist() for c in batch.columns)):
-                known: dict[int, tuple[int, int]] = {}
-                for start, _, entity, name in _spans(text, machine):
-                    if start not in known:
-                        known[start] = sentences.bounds(text, start)
-                    rows.append((section, entity, name, start, *known[start]))
-            if rows:
-                columns = [pa.array(c) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([columns[0].cast(pa.int64()), *columns[1:3], *(c.cast(pa.int32()) for c in columns[3:])], names=["section_id", "entity_id", "name", "start", "low", "high"])
-
+    held = names.select("entity_id", "name").distinct()
+    parts = max(1, -(-held.count() // most))
     texts = sections.select(F.col("section_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(batches, "section_id long, entity_id string, name string, start int, low int, high int")
+
+    def batches(shared, settle: bool):  # noqa: ANN001, ANN202
+        def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = automaton(shared.value)
+            for batch in source:
+                rows = []
+                for section, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    known: dict[int, tuple[int, int]] = {}
+                    found = hits(text, machine)
+                    for start, end, entity, name in without_overlaps(found) if settle else found:
+                        if start not in known:
+                            known[start] = sentences.bounds(text, start)
+                        rows.append((section, entity, name, start, *known[start], end))
+                if rows:
+                    columns = [pa.array(c) for c in zip(*rows)]
+                    kinds = ("section_id", "entity_id", "name", "start", "low", "high", "end")
+                    yield pa.RecordBatch.from_arrays([columns[0].cast(pa.int64()), *columns[1:3], *(c.cast(pa.int32()) for c in columns[3:])], names=list(kinds))
+
+        return run
+
+    found = []
+    for i in range(parts):
+        part = held.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == i) if parts > 1 else held
+        shared = sections.sparkSession.sparkContext.broadcast(sorted((r[0], r[1]) for r in part.collect()))
+        found.append(texts.mapInArrow(batches(shared, parts == 1), f"{_SCANNED}, end int"))
+    if parts == 1:
+        return found[0].drop("end")
+
+    def settled(group: pd.DataFrame) -> pd.DataFrame:
+        kept = set(without_overlaps(list(zip(group.start, group.end, group.entity_id, group.name))))
+        return group[[x in kept for x in zip(group.start, group.end, group.entity_id, group.name)]].drop(columns="end")
+
+    every = found[0]
+    for other in found[1:]:
+        every = every.union(other)
+    return every.groupBy("section_id").applyInPandas(settled, _SCANNED)
+
+
+def once_each(found: list[Hit]) -> list[Hit]:
+    """The spellings that a question holds: the longest first, each once, and none over another's span."""
+    by_name: dict[str, list[Hit]] = {}
+    for h in found:
+        by_name.setdefault(h[3], []).append(h)
+    out: list[Hit] = []
+    taken: list[tuple[int, int]] = []
+    for name in sorted(by_name, key=lambda n: (-len(n), n)):
+        for start, end, entity, _ in sorted(by_name[name]):
+            at = bisect.bisect_left(taken, (start, end))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                taken.insert(at, (start, end))
+                out.append((start, end, entity, name))
+                break
+    return out
+
+
+_NAMED = "query_id long, surface string, start int, loose boolean"
+
+
+def names_in_questions(questions: DataFrame, spellings: DataFrame, most: int = MOST_NAMES) -> DataFrame:
+    """(query_id, surface, start, loose) of questions (query_id, text): the recorded spellings (name) that each holds.
+
+    The case of one-word names counts first; a question that names nothing then is matched with all case folded, and its
+    names are ``loose``. More than ``most`` spellings are dealt into several automata, whose hits meet again by question.
+    """
+    held = spellings.select("name").where(F.col("name").isNotNull()).distinct()
+    parts = max(1, -(-held.count() // most))
+    asked = questions.select(F.col("query_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def batches(shared):  # noqa: ANN001, ANN202
+        def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            exact, folded = (automaton([("", n) for n in shared.value], fold) for fold in (False, True))
+            for batch in source:
+                rows = []
+                for query, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    strict = hits(text, exact)
+                    rows += [(query, name, start, end, False) for start, end, _, name in strict]
+                    rows += [(query, name, start, end, True) for start, end, _, name in hits(text, folded)] if parts > 1 or not strict else []
+                if rows:
+                    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["query_id", "surface", "start", "end", "loose"])
+
+        return run
+
+    found = []
+    for i in range(parts):
+        part = held.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == i) if parts > 1 else held
+        shared = questions.sparkSession.sparkContext.broadcast(sorted(r[0] for r in part.collect()))
+        found.append(asked.mapInArrow(batches(shared), f"{_NAMED.replace('start int', 'start int, end int')}"))
+    every = found[0]
+    for other in found[1:]:
+        every = every.union(other)
+
+    def settled(group: pd.DataFrame) -> pd.DataFrame:
+        loose = bool(group.loose.all())
+        rows = group if loose else group[~group.loose]
+        kept = once_each([(a, b, "", n) for a, b, n in zip(rows.start, rows.end, rows.surface)])
+        return pd.DataFrame({"query_id": [group.query_id.iloc[0]] * len(kept), "surface": [k[3] for k in kept], "start": [k[0] for k in kept], "loose": [loose] * len(kept)})
+
+    return every.groupBy("query_id").applyInPandas(settled, _NAMED)
 
 
 def mentions(scanned: DataFrame) -> DataFrame:
@@ -97,10 +224,16 @@ def mention_counts(scanned: DataFrame) -> DataFrame:
 
 
 def same_sentence(scanned: DataFrame) -> DataFrame:
-    """(section_id, a, b): different entities of which one stands within the other's sentence; a row an ordered pair."""
-    left = scanned.select("section_id", F.col("entity_id").alias("a"), "low", "high")
-    right = scanned.select("section_id", F.col("entity_id").alias("b"), F.col("start").alias("at"))
-    one = left.join(right, "section_id").where((F.col("a") != F.col("b")) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))).select("section_id", "a", "b")
+    """(section_id, a, b): different entities of which one stands within the other's sentence; a row an ordered pair.
+
+    A sentence's bounds are at most ``sentences.MOST`` characters apart, so mentions meet in bins of that width, of which a
+    sentence touches two: the work is linear in a section's length, however many mentions it has.
+    """
+    bin_ = lambda c: F.floor(c / sentences.MOST)
+    low, high = F.col("low"), F.greatest(F.col("high") - 1, F.col("low"))
+    left = scanned.select("section_id", F.col("entity_id").alias("a"), "low", "high", F.explode(F.sequence(bin_(low), bin_(high))).alias("bin")).distinct()
+    right = scanned.select("section_id", F.col("entity_id").alias("b"), F.col("start").alias("at"), bin_(F.col("start")).alias("bin"))
+    one = left.join(right, ["section_id", "bin"]).where((F.col("a") != F.col("b")) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))).select("section_id", "a", "b").distinct()
     return one.union(one.select("section_id", F.col("b"), F.col("a"))).distinct()
 
 

@@ -30,12 +30,14 @@ PHRASES: dict[str, tuple[float, tuple[str, ...]]] = {
 MAKING, FIGHTING = PHRASES["encounter_generation"][1][:5], PHRASES["encounter_generation"][1][5:]
 #: Words that are no keywords.
 STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might must shall can need dare "
-    "to of in for on with at by from as into through during before after above below between under again further then once here there "
-    "when where why how all each few more most other some such no nor not only own same so than too very just and but if or because "
-    "until while about against what which who whom this that these those am i me my myself we our ours you your he him his she her it "
-    "its they them their"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "must", "shall", "can", "need", "dare", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into",
+    "through", "during", "before", "after", "above", "below", "between", "under", "again", "further", "then", "once", "here", "there", "when",
+    "where", "why", "how", "all", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than",
+    "too", "very", "just", "and", "but", "if", "or", "because", "until", "while", "about", "against", "what", "which", "who", "whom", "this", "that",
+    "these", "those", "am", "i", "me", "my", "myself", "we", "our", "ours", "you", "your", "he", "him", "his", "she", "her", "it", "its", "they",
+    "them", "their",
+)
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:

@@ -30,7 +30,10 @@ def earliest_first(spans: list[tuple[int, int, float]]) -> list[int]:
 
 
 def without_overlaps(matches: DataFrame) -> DataFrame:
-    """Matches (doc_id, start, end, confidence, ...) without overlaps; the running end is a fold a document."""
+    """Matches (doc_id, start, end, confidence, ...) without overlaps; the running end is a fold a document.
+
+    A document's matches are one task's rows, so a document has to fit a task; documents are spread over all tasks.
+    """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.reset_index(drop=True)
@@ -61,7 +64,8 @@ def clusters(names: list[str], least: float) -> list[int]:
 def resolved(entities: DataFrame, least: float = 0.85) -> DataFrame:
     """(doc_id, entity_type, name, confidence, source, merged): clusters of a document's entities of one type.
 
-    A gazetteer member gives the name, and more sources raise the confidence by 0.1 each, 0.2 at most.
+    A gazetteer member gives the name, and more sources raise the confidence by 0.1 each, 0.2 at most. Seeds take others in
+    order, so a document's entities of one type are folded in one task, in time of their square at worst.
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
@@ -94,6 +98,31 @@ def linked(found: DataFrame, known: DataFrame, least: float = 85.0) -> DataFrame
     return first_by(scored.unionByName(alias).where(F.col("score") >= least), ["name", "entity_type"], F.desc("score"), "id")
 
 
+def new_only(more: DataFrame, held: DataFrame, least: float = 85.0) -> DataFrame:
+    """Entities of ``more`` (doc_id, name, entity_type, ...) that no entity of the same document and type is more than so like."""
+    pairs = more.select("doc_id", "entity_type", "name").distinct().join(held.select("doc_id", "entity_type", F.col("name").alias("known")).distinct(), ["doc_id", "entity_type"])
+    # A ratio over the bound needs lengths within that share of their sum.
+    close = F.least(F.length("name"), F.length("known")) * 200 >= least * (F.length("name") + F.length("known"))
+    alike = pairs.where(close).where(fuzzy.ratio_of(F.lower("name"), F.lower("known")) > least).select("doc_id", "entity_type", "name").distinct()
+    return more.join(alike, ["doc_id", "entity_type", "name"], "left_anti")
+
+
+def extracted(matches: DataFrame, tagged: DataFrame, answered: DataFrame, known: DataFrame, least: float = 0.5) -> DataFrame:
+    """(doc_id, name, entity_type, confidence, source, id): gazetteer matches and a tagger's spans without overlaps, resolved a
+    document, a model's entities where they are new, linked to what is known, and what is confident enough.
+
+    Matches and tagged are (doc_id, name, entity_type, confidence, source, start, end), answered (doc_id, name, entity_type,
+    confidence); the tagger and the model run elsewhere, their rows are inputs. Known is (id, name, entity_type, aliases).
+    """
+    columns = ("doc_id", "name", "entity_type", "confidence", "source", "start", "end")
+    spans = without_overlaps(matches.select(*columns).unionByName(tagged.select(*columns)))
+    held = resolved(spans).select("doc_id", "name", "entity_type", "confidence", "source")
+    fresh = new_only(answered, held).select("doc_id", "name", "entity_type", "confidence", F.lit("llm").alias("source"))
+    every = held.unionByName(fresh)
+    ids = linked(every, known).select("name", "entity_type", "id")
+    return every.join(ids, ["name", "entity_type"], "left").where(F.col("confidence") >= least).select("doc_id", "name", "entity_type", "confidence", "source", "id")
+
+
 def graded(golden: DataFrame, candidates: DataFrame) -> DataFrame:
     """(id, hits): golden names of a type against candidate names whose words are the same, or a proper part either way.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,11 +88,16 @@ def golden_subset(nodes: DataFrame, edges: DataFrame, sources: tuple[str, ...])
     return chosen, kept
 
 
-def gazetteer_patterns(texts: DataFrame, patterns: DataFrame, most: int = 5_000) -> DataFrame:
-    """(doc_id, id, match): matches of each entry's patterns (id, pattern). Patterns are hand-written, so their number is checked."""
-    held = patterns.select("id", "pattern").limit(most + 1).collect()
-    if len(held) > most:
-        raise ValueError(f"over {most} patterns: match them in parts")
+def gazetteer_patterns(texts: DataFrame, patterns: DataFrame, most: int = 2_000) -> DataFrame:
+    """(doc_id, id, match): matches of each entry's patterns (id, pattern).
+
+    Patterns are hand-written and become one expression; more than ``most`` are dealt into several, each a scan of its own.
+    """
+    parts = max(1, -(-patterns.count() // most))
+    if parts > 1:
+        dealt = [patterns.where(F.pmod(F.xxhash64("id", "pattern"), F.lit(parts)) == i) for i in range(parts)]
+        return reduce(DataFrame.unionByName, (gazetteer_patterns(texts, part, 1 << 62) for part in dealt))
+    held = patterns.select("id", "pattern").collect()
 
     def matches(entry: str, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all("text", F.lit(f"(?i){pattern}"), F.lit(0)), lambda m: F.struct(F.lit(entry).alias("id"), m.alias("match")))

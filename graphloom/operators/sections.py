@@ -8,10 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FIT, BUDGET = 0.75, 1_000
-HEADING = r"^(#{1,6}) +(.+?) *#*$"
-KEYED = r"^([A-Za-z]{0,2}[0-9]{0,3}[a-zA-Z]?)\. +(.+)$"
+from graphloom.operators.graph import ancestors
+
+FIT, BUDGET, PREAMBLE = 0.75, 1_000, "(preamble)"
+#: A heading's line, the key and name at its head, and how a chapter refers to its keys.
+HEADING = r"^(#{1,6})[ \t]+(?!#)(.+?)[ \t]*$"
+KEYED = r"^([^\s.]{1,4})\.\s+(\S.*)$"
 REFERENCE = r"\b(?:area|areas|room|rooms)\s+([A-Za-z][0-9]{0,2}[a-z]?|[0-9]{1,3}[A-Za-z]?)\b"
+CHAPTER_PREFIX = r"(?i)^(chapter\s+\d+|appendix\s+[a-z])\s*[:.]\s*"
 
 
 def tokens(text: Column) -> Column:
@@ -20,8 +24,9 @@ def tokens(text: Column) -> Column:
 
 
 def key_shape(token: Column) -> Column:
-    """Runs of digits, capitals and small letters as one sign each."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[0-9]+", "#"), "[A-Z]+", "A"), r"\p{Ll}+", "a")
+    """Runs of digits, capitals and anything else as one sign each: ``K85`` is ``A#``, ``E5g`` ``A#a``, ``St`` ``Aa``."""
+    signs = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, r"[^\p{Nd}\p{Lu}]+", "\u0001"), r"\p{Nd}+", "#"), r"\p{Lu}+", "A")
+    return F.replace(signs, F.lit("\u0001"), F.lit("a"))
 
 
 def headings(chapters: DataFrame) -> DataFrame:
@@ -35,16 +40,15 @@ def headings(chapters: DataFrame) -> DataFrame:
 def spans(found: DataFrame, chapters: DataFrame) -> DataFrame:
     """Headings with ``stop``: where the next heading of the same depth or a shallower one starts, or the text ends.
 
-    A chapter's headings are one array, as many as it has.
+    For each of the six depths, the next heading at most so deep is one window's first value from below; a heading then reads
+    that of its own depth. A chapter's headings are sorted once.
     """
-    row = F.struct("start", "depth", "heading", "line_no")
-    held = found.groupBy("chapter").agg(F.array_sort(F.collect_list(row)).alias("h")).join(chapters.select("chapter", F.length("text").alias("size")), "chapter")
-
-    def stop(x: Column, i: Column) -> Column:
-        later = F.filter(F.slice(F.col("h"), i + 2, F.size("h")), lambda y: y.depth <= x.depth)
-        return F.struct(x.start.alias("start"), x.depth.alias("depth"), x.heading.alias("heading"), F.coalesce(F.get(later, F.lit(0)).getField("start"), F.col("size")).alias("stop"))
-
-    return held.select("chapter", F.posexplode(F.transform("h", stop)).alias("nth", "x")).select("chapter", "nth", "x.*")
+    after = Window.partitionBy("chapter").orderBy("start").rowsBetween(1, Window.unboundedFollowing)
+    following = F.array(*(F.first(F.when(F.col("depth") <= d, F.col("start")), ignorenulls=True).over(after) for d in range(1, 7)))
+    order = Window.partitionBy("chapter").orderBy("start")
+    laid = found.select("chapter", (F.row_number().over(order) - 1).alias("nth"), "start", "depth", "heading", following.alias("following"))
+    sized = laid.join(chapters.select("chapter", F.length("text").alias("size")), "chapter")
+    return sized.select("chapter", "nth", "start", "depth", "heading", F.coalesce(F.get("following", F.col("depth") - 1), "size").alias("stop"))
 
 
 def depth_table(spanned: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -65,36 +69,74 @@ def key_shapes(chapters: DataFrame) -> DataFrame:
 
 
 def keyed(found: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Headings with key and name where their prefix has a shape that the chapter refers to; else null."""
-    token = F.regexp_extract("heading", KEYED, 1)
-    known = (token != "") & F.array_contains("shapes", key_shape(token))
-    return found.join(shapes, "chapter", "left").select(*found.columns, F.when(known, F.lower(token)).alias("key"), F.when(known, F.regexp_extract("heading", KEYED, 2)).alias("name"))
+    """Headings with key, stem, suffix and name where their prefix has a shape that the chapter refers to; else null.
+
+    A letter after digits is a sub-area's suffix; a chapter that refers to nothing has no keys.
+    """
+    plain = F.trim("heading")
+    token = F.regexp_extract(plain, KEYED, 1)
+    known = F.coalesce((token != "") & F.array_contains("shapes", key_shape(token)), F.lit(False))
+    of = lambda c: F.when(known, c)
+    suffix = F.regexp_extract(token, "^.*[0-9]([A-Za-z])$", 1)
+    stem = F.when(suffix != "", F.expr("substring(token, 1, length(token) - 1)")).otherwise(F.col("token"))
+    held = found.join(shapes, "chapter", "left").withColumn("token", token)
+    return held.select(*found.columns, of(F.lower("token")).alias("key"), of(stem).alias("stem"), of(suffix).alias("suffix"), of(F.trim(F.regexp_extract(plain, KEYED, 2))).alias("name"))
+
+
+def key_split(chapters: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(chapter, section, depth, heading, body): cut at every keyed heading of any level and at unkeyed ones of level two.
+
+    Levels are noise where this mode is used, so each section's depth is 0; the text before the first cut is the preamble.
+    """
+    found = keyed(headings(chapters), shapes)
+    cuts = found.where((F.col("depth") == 2) | F.col("key").isNotNull()).select("chapter", "start", "heading")
+    return _pieces(chapters, cuts.select("chapter", "start", F.lit(0).alias("depth"), "heading"))
+
+
+def _pieces(chapters: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The texts between cuts (chapter, start, depth, heading), and before the first one unless that is blank."""
+    first = chapters.select("chapter", F.lit(0).alias("start"), F.lit(0).alias("depth"), F.lit(PREAMBLE).alias("heading"), F.lit(True).alias("before"))
+    all_cuts = cuts.withColumn("before", F.lit(False)).unionByName(first.join(cuts.where("start = 0").select("chapter"), "chapter", "left_anti"))
+    stop = F.lead("start").over(Window.partitionBy("chapter").orderBy("start"))
+    ranged = all_cuts.withColumn("stop", stop).join(chapters.select("chapter", "text"), "chapter")
+    body = F.regexp_replace(F.substr("text", F.col("start") + 1, F.coalesce(F.col("stop"), F.length("text")) - F.col("start")), r"^\s+|\s+$", "")
+    pieces = ranged.select("chapter", "start", "depth", F.trim("heading").alias("heading"), "before", body.alias("body")).where(~F.col("before") | (F.col("body") != ""))
+    return pieces.withColumn("section", F.row_number().over(Window.partitionBy("chapter").orderBy("start")) - 1).drop("start", "before")
+
+
+def place_of_title(title: Column) -> Column:
+    """The place that a chapter's title names: without its number, the article kept; null if nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(title, CHAPTER_PREFIX, "")), F.lit(""))
+
+
+def ancestor_places(sections: DataFrame, links: DataFrame) -> DataFrame:
+    """(chapter, section, place): the nearest enclosing section's place, walking outwards; none where no ancestor has one.
+
+    Sections (chapter, section, place) and links (chapter, section, parent; -1 at the top). The walk is ``graph.ancestors``.
+    """
+    mark = lambda c: F.concat_ws("#", "chapter", F.col(c).cast("string"))
+    parents_ = links.where("parent >= 0").select(mark("section").alias("id"), mark("parent").alias("parent"))
+    chain = ancestors(parents_, sections.select(mark("section").alias("id")))
+    named = sections.where(F.col("place").isNotNull()).select(mark("section").alias("id"), "place")
+    near = chain.join(named, "id").groupBy("start").agg(F.min_by("place", "depth").alias("near"))
+    return sections.select("chapter", "section").withColumn("start", mark("section")).join(near, "start", "left").select("chapter", "section", F.col("near").alias("place"))
 
 
 def split(chapters: DataFrame, depths: DataFrame, spanned: DataFrame) -> DataFrame:
     """(chapter, section, depth, heading, body): cut at headings of the area depth or shallower; text before is a preamble."""
-    tops = spanned.join(depths, "chapter").where(F.col("depth") <= F.col("area_depth")).select("chapter", "start", "depth", "heading")
-    first = chapters.select("chapter", F.lit(0).alias("start"), F.lit(0).alias("depth"), F.lit("Preamble").alias("heading"))
-    cuts = tops.unionByName(first.join(tops.where("start = 0").select("chapter"), "chapter", "left_anti"))
-    stop = F.lead("start").over(Window.partitionBy("chapter").orderBy("start"))
-    ranged = cuts.withColumn("stop", stop).join(chapters.select("chapter", "text"), "chapter")
-    body = F.trim(F.substr("text", F.col("start") + 1, F.coalesce(F.col("stop"), F.length("text")) - F.col("start")))
-    pieces = ranged.select("chapter", "start", "depth", "heading", body.alias("body")).where((F.col("depth") > 0) | (F.col("body") != ""))
-    return pieces.withColumn("section", F.row_number().over(Window.partitionBy("chapter").orderBy("start")) - 1).drop("start")
+    tops = spanned.join(depths, "chapter").where(F.col("depth") <= F.col("area_depth"))
+    return _pieces(chapters, tops.select("chapter", "start", "depth", "heading"))
 
 
 def parents(sections: DataFrame) -> DataFrame:
-    """(chapter, section, parent): the nearest section before of a strictly smaller depth; depth 0 has and is no parent (-1)."""
-    held = sections.groupBy("chapter").agg(F.array_sort(F.collect_list(F.struct("section", "depth"))).alias("s"))
-    none = F.array().cast("array<struct<section:int,depth:int>>")
+    """(chapter, section, parent): the nearest section before of a strictly smaller depth; depth 0 has and is no parent (-1).
 
-    def parent(x: Column, i: Column) -> Column:
-        above = F.filter(F.slice(F.col("s"), 1, i), lambda y: (y.depth > 0) & (y.depth < x.depth))
-        # The last one before that is shallower: whatever stands between it and here is as deep or deeper.
-        return F.struct(x.section.alias("section"), F.when((x.depth <= 0) | (F.size(F.coalesce(above, none)) == 0), -1).otherwise(F.element_at(above, -1).section).alias("parent"))
-
-    indexed = F.transform("s", lambda x, i: F.when(i >= 0, parent(x, i)))
-    return held.select("chapter", F.explode(indexed).alias("x")).select("chapter", "x.section", "x.parent")
+    For each depth, the last section so shallow is a window's last value; a section reads that of the depth above its own.
+    """
+    before = Window.partitionBy("chapter").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.array(*(F.last(F.when(F.col("depth").between(1, d), F.col("section")), ignorenulls=True).over(before) for d in range(1, 6)))
+    found = sections.select("chapter", "section", "depth", last.alias("last"))
+    return found.select("chapter", "section", F.when(F.col("depth") <= 1, -1).otherwise(F.coalesce(F.get("last", F.col("depth") - 2), F.lit(-1))).alias("parent"))
 
 
 def containment(sections: DataFrame, links: DataFrame) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 #: What a line of each format looks like.
 DISCORD = r"^(\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}\s*[AP]M\s*)?([^:]+):\s*(.+)$"
 TIMED = r"^\s*[\[\(]?(\d{1,2}:\d{2}(?::\d{2})?)\s*[\]\)]?\s*([^:]+?):\s*(.+)$"
-SIMPLE = r"^()([^:]+?)\s*:\s*(.+)$"
-CHARACTER = r"^(.+?)\s*\(([^)]+)\)$"
+SIMPLE = r"^([^:\n]+?)(?:\s*\(([^)]+)\))?\s*:\s*(.+)$"
 #: Names of the one who leads the game.
 DM_NAMES = ("dm", "dungeon master", "gm", "game master", "narrator")
 
@@ -44,13 +43,16 @@ def parse_lines(transcripts: DataFrame) -> DataFrame:
     """(transcript_id, index, speaker, role, character, timestamp, text) of line formats; other texts are one segment."""
     held = transcripts.select("transcript_id", "content", format_of(F.col("content")).alias("format"))
     lines = held.where(F.col("format").isin("discord", "timestamped", "simple")).select("transcript_id", "format", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    part = lambda i: F.trim(F.when(F.col("format") == "discord", F.regexp_extract("line", DISCORD, i)).when(F.col("format") == "timestamped", F.regexp_extract("line", TIMED, i)).otherwise(F.regexp_extract("line", SIMPLE, i)))
-    cut = lines.select("transcript_id", "line_no", "format", part(1).alias("timestamp"), part(2).alias("who"), part(3).alias("text")).where((F.col("text") != "") & (F.length("who") <= 50))
-    named = F.rlike("who", F.lit(CHARACTER)) & (F.col("format") != "discord")
+    of = lambda i: F.when(F.col("format") == "discord", F.regexp_extract("line", DISCORD, i)).when(F.col("format") == "timestamped", F.regexp_extract("line", TIMED, i))
+    # A speaker's part of a timed line is read as the head of a simple line is.
+    head = F.when(F.col("format") == "simple", F.col("line")).when(F.col("format") == "timestamped", F.concat(of(2), F.lit(": .")))
+    who = F.trim(F.when(F.col("format") == "discord", of(2)).otherwise(F.regexp_extract(head, SIMPLE, 1)))
+    text = F.trim(F.coalesce(of(3), F.regexp_extract("line", SIMPLE, 3)))
+    character = F.nullif(F.trim(F.when(F.col("format") != "discord", F.regexp_extract(head, SIMPLE, 2))), F.lit(""))
+    cut = lines.select("transcript_id", "line_no", F.trim(of(1)).alias("timestamp"), who.alias("who"), character.alias("character"), text.alias("text")).where((F.col("text") != "") & (F.length("who") <= 50))
     said = cut.select(
         "transcript_id", (F.row_number().over(Window.partitionBy("transcript_id").orderBy("line_no")) - 1).alias("index"),
-        F.when(named, F.trim(F.regexp_extract("who", CHARACTER, 1))).otherwise(F.col("who")).alias("speaker"),
-        F.when(named, F.trim(F.regexp_extract("who", CHARACTER, 2))).alias("character"), F.nullif("timestamp", F.lit("")).alias("timestamp"), "text",
+        F.col("who").alias("speaker"), "character", F.nullif("timestamp", F.lit("")).alias("timestamp"), "text",
     )
     rest = held.where("format = 'plain'").select("transcript_id", F.lit(0).alias("index"), F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("string").alias("character"), F.lit(None).cast("string").alias("timestamp"), F.trim("content").alias("text"))
     both = said.unionByName(rest).withColumn("role", F.coalesce(role_of(F.col("speaker")), F.lit("unknown")))

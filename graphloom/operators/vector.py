@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.plan import small
 from graphloom.operators.retrieval import top
 
-BLOCK = 2_048
+BLOCK, MOST_BLOCKS = 2_048, 64
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -32,7 +33,9 @@ def _blocks(rows: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k rows most alike to each query, from (id, vector) of one length.
 
-    Blocks of the query set meet blocks of the rows, one matrix product a pair; k rows a query and block leave the task.
+    Every query meets every row: blocks of the query set meet blocks of the rows, one matrix product a pair, and k rows a query
+    and block leave the task. The query blocks, some megabyte each, are counted: up to ``MOST_BLOCKS`` are sent to every task, more
+    are paired partition by partition. The work is queries times rows, so the query set is what a caller keeps small.
     """
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,5 +53,5 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2])], names=["query_id", "id", "score"])
 
     left = _blocks(queries).toDF("query_ids", "query_values")
-    pairs = left.crossJoin(_blocks(rows)).mapInArrow(batches, "query_id long, id long, score double")
+    pairs = _blocks(rows).crossJoin(small(left, MOST_BLOCKS)).select("query_ids", "query_values", "ids", "values").mapInArrow(batches, "query_id long, id long, score double")
     return top(pairs, ["query_id"], k, F.desc("score"), F.col("id"))

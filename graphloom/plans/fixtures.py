@@ -51,11 +51,9 @@ def edges(spark: SparkSession, sf_dir: str, relations: tuple[str, ...] | None =
     for t, source, skey, rel, target, tkey in EDGES:
         if relations and rel not in relations:
             continue
-        found = table(spark, sf_dir, t).select(
-            F.concat(F.lit(f"{source}:"), F.col(skey).cast("string")).alias("src"), F.lit(rel).alias("rel_type"),
-            F.concat(F.lit(f"{target}:"), F.col(tkey).cast("string")).alias("dst"),
-        )
-        parts.append(found.distinct() if t == "lineitem" else found)
+        keys = table(spark, sf_dir, t).select(F.col(skey).alias("s"), F.col(tkey).alias("d"))
+        keys = keys.distinct() if t == "lineitem" else keys  # numbers are made distinct, not the names that are made of them
+        parts.append(keys.select(F.concat(F.lit(f"{source}:"), F.col("s").cast("string")).alias("src"), F.lit(rel).alias("rel_type"), F.concat(F.lit(f"{target}:"), F.col("d").cast("string")).alias("dst")))
     return reduce(DataFrame.unionByName, parts)
 
 

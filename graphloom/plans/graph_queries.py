@@ -67,12 +67,13 @@ def neighbors_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbors(edges(spark, sf_dir), starts, 2, directed=True)
 
 
-@query(f"""{GRAPH_SQL}, hit AS (SELECT id FROM entities WHERE kind = 'nation' AND contains(lower(name), 'a') ORDER BY CASE WHEN starts_with(lower(name), 'a') THEN 0 ELSE 1 END, id LIMIT 1)
-SELECT h.id AS start, e.rel_type, CASE WHEN e.src = h.id THEN e.dst ELSE e.src END AS other FROM hit h JOIN edges e ON e.src = h.id OR e.dst = h.id""")
+@query(f"""{GRAPH_SQL}, rel AS (SELECT * FROM edges), {_SYM}, hit AS (SELECT id FROM entities WHERE kind = 'nation' AND contains(lower(name), 'a') ORDER BY CASE WHEN starts_with(lower(name), 'a') THEN 0 ELSE 1 END, id LIMIT 1)
+SELECT DISTINCT start, path, length, count(DISTINCT id) AS n FROM (SELECT h.id AS start, x.b AS id, x.rel_type AS path, 1 AS length FROM hit h JOIN sym x ON x.a = h.id
+UNION SELECT h.id, y.b, x.rel_type || '>' || y.rel_type, 2 FROM hit h JOIN sym x ON x.a = h.id JOIN sym y ON y.a = x.b AND x.e <> y.e) GROUP BY start, path, length""")
 def entity_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = graph.search(entities(spark, sf_dir, ("nation",)), "a", limit=1).select("id")
-    found = graph.neighbors(edges(spark, sf_dir), hit, 1)
-    return found.select("start", F.col("path").alias("rel_type"), F.col("id").alias("other"))
+    found = graph.neighbors(edges(spark, sf_dir), hit, 2)
+    return found.groupBy("start", "path", F.col("length").cast("long").alias("length")).agg(F.countDistinct("id").alias("n"))
 
 
 @query(f"""{GRAPH_SQL}, kept AS (SELECT id FROM entities WHERE kind IN ('nation', 'region', 'supplier') ORDER BY id LIMIT 60)
@@ -101,10 +102,11 @@ def overlay_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.overlay(base.drop("c_custkey"), patches, ("name", "segment")).select("id", "name", "segment", "patched")
 
 
-@query("""SELECT 'customer:' || c_custkey AS id FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""")
+@query("""SELECT 'customer:' || c_custkey AS id FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')""")
 def campaign_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id")
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(key)
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(key)
 
 
 @query(f"""WITH {EDGES_SQL}, camp AS (SELECT src, dst, rel_type FROM edges WHERE rel_type = 'LOCATED_IN' AND src LIKE 'supplier:%' AND length(src) % 2 = 0)

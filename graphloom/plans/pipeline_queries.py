@@ -30,7 +30,7 @@ def vote_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rule(rel: str, side: int, column: str) -> str:
-    words = ", ".join(f"'{w}'" for w in ontology.ALLOWED[rel][side].split(" "))
+    words = ", ".join(f"'{w}'" for w in ontology.ALLOWED[rel][side])
     return f"WHEN '{rel}' THEN coalesce({column}, '') IN ({words}) OR {column} IS NULL"
 
 

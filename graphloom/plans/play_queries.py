@@ -12,7 +12,7 @@ from graphloom.plans.fixtures import GRAPH_SQL, edges, entities, table
 from graphloom.plans.registry import query
 
 #: The types and relations of the vocabulary.
-_TYPES = sorted({t for ends in ontology.ALLOWED.values() for types in ends for t in types.split(" ")})
+_TYPES = sorted({t for ends in ontology.ALLOWED.values() for types in ends for t in types})
 _RELATIONS = sorted(r for rs in ontology.LAYERS.values() for r in rs)
 _listed = lambda names: ", ".join(f"'{n}'" for n in names)
 
@@ -54,9 +54,8 @@ def seeded_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH n AS (SELECT p_type AS entity_type, lower(p_name) AS name, count(*) AS n FROM part GROUP BY 1, 2) SELECT name AS subject, 'name claimed twice' AS problem FROM n WHERE n > 1 GROUP BY name""")
 def seed_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("entity_type"))
-    kinds = [r[0] for r in nodes.select("entity_type").distinct().collect()]
     links = edges(spark, sf_dir, ("LOCATED_IN",)).where(F.lit(False))
-    return authoring.seed_problems(nodes, links, kinds, ["LOCATED_IN"])
+    return authoring.seed_problems(nodes, links, nodes.select("entity_type"), ontology.relation_types(spark))
 
 
 @query(f"""{GRAPH_SQL}, e AS (SELECT src, rel_type, dst, src || ' ' || rel_type || ' ' || dst AS subject FROM edges)
@@ -68,7 +67,8 @@ UNION SELECT subject, 'self-loop' FROM e WHERE src = dst
 UNION SELECT subject, 'missing end' FROM e WHERE src NOT IN (SELECT id FROM entities) OR dst NOT IN (SELECT id FROM entities)""")
 def graph_seed_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every check of a seed over the whole graph, against the types and relations of the vocabulary."""
-    return authoring.seed_problems(entities(spark, sf_dir), edges(spark, sf_dir), _TYPES, _RELATIONS)
+    types = spark.createDataFrame([(t,) for t in _TYPES], "entity_type string")
+    return authoring.seed_problems(entities(spark, sf_dir), edges(spark, sf_dir), types, ontology.relation_types(spark))
 
 
 @query("""WITH n AS (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT s_name FROM supplier) SELECT 'node' AS part, 'written' AS outcome, count(DISTINCT lower(name)) AS n FROM n

@@ -74,11 +74,10 @@ def conversation_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def working_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    word = F.element_at(F.split("text", " "), 1)
-    rows = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull()).select(
-        "conv_id", F.col("turn").alias("seq"), word.alias("name"), F.when(F.col("role") == "user", "named").otherwise("found").alias("how"), "turn"
-    )
-    return combat.working_sets(rows, 4)
+    named = F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{L}{3,})"), F.lit(1))
+    rows = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull()).select("conv_id", "turn", "role", F.posexplode(named).alias("nth", "name"))
+    seen = rows.select("conv_id", (F.col("turn") * 1_000_000 + F.col("nth")).alias("seq"), "name", F.when(F.col("role") == "user", "named").otherwise("found").alias("how"), "turn")
+    return combat.working_sets(seen, 4)
 
 
 @query("""WITH c AS (SELECT c_nationkey AS combat_id, c_custkey % 2 = 0 AS p, c_acctbal - 4000 AS hp FROM customer), g AS (SELECT combat_id, count(CASE WHEN hp > 0 AND p THEN 1 END) AS players, count(CASE WHEN hp > 0 AND NOT p THEN 1 END) AS foes FROM c GROUP BY combat_id)

@@ -25,7 +25,7 @@ def test_wiki(spark):
 def test_seed(spark):
     nodes = spark.createDataFrame([("a", "Ann", "NPC"), ("a", "Ann", "NPC"), ("b", "ann", "NPC"), ("c", "Cid", "GHOST")], "id string, name string, entity_type string")
     edges = spark.createDataFrame([("a", "KNOWS", "a"), ("a", "LIKES", "b"), ("a", "KNOWS", "z")], "src string, rel_type string, dst string")
-    found = rows(authoring.seed_problems(nodes, edges, ["NPC"], ["KNOWS"]))
+    found = rows(authoring.seed_problems(nodes, edges, spark.createDataFrame([("NPC",)], "entity_type string"), spark.createDataFrame([("KNOWS",)], "rel_type string")))
     assert found == [("a", "doubled id"), ("a KNOWS a", "self-loop"), ("a KNOWS z", "missing end"), ("a LIKES b", "unknown relation"), ("ann", "name claimed twice"), ("c", "unknown type")]
 
 

@@ -87,7 +87,7 @@ def test_sections(spark):
     depths = sections.area_depth(sections.depth_table(spanned, budget=10))
     assert rows(depths, "area_depth", "qualified") == [(2, True)]
     cut = sections.split(chapters, depths, spanned)
-    assert rows(cut, "section", "depth", "heading") == [(0, 0, "Preamble"), (1, 1, "One"), (2, 2, "E5. Hall"), (3, 2, "Note. Other")]
+    assert rows(cut, "section", "depth", "heading") == [(0, 0, "(preamble)"), (1, 1, "One"), (2, 2, "E5. Hall"), (3, 2, "Note. Other")]
     links = sections.parents(cut)
     assert rows(links, "section", "parent") == [(0, -1), (1, -1), (2, 1), (3, 1)]
     keyed = sections.keyed(cut, sections.key_shapes(chapters))
