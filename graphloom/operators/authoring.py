@@ -91,3 +91,17 @@ def stepped(x: Column, y: Column, to_x: Column, to_y: Column, speed: Column, rea
 def shop_values(items: DataFrame) -> DataFrame:
     """(shop_id, items, value): lines and worth of each shop's stock."""
     return items.groupBy("shop_id").agg(F.count("*").alias("items"), F.round(F.sum(F.col("price") * F.col("quantity")), 2).alias("value"))
+
+
+def generated_stock(shops: DataFrame, items: DataFrame, k: int, seed: str) -> DataFrame:
+    """(shop_id, item_id, name, price, quantity): k items for each shop from its specialty's list, drawn by a hash of shop, item and seed.
+
+    Items (item_id, name, specialty, weight, price) are a catalogue; a shop meets only its specialty's part of it. Weightier items
+    are likelier, and a quantity of one to four follows from the same hash.
+    """
+    both = shops.join(items.where("weight > 0"), "specialty")
+    h = F.xxhash64("shop_id", "item_id", F.lit(seed))
+    u = (F.pmod(h, F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    rank = F.row_number().over(Window.partitionBy("shop_id").orderBy(F.desc(F.log(u) / F.col("weight")), "item_id"))
+    quantity = (F.pmod(F.shiftrightunsigned(h, 41), F.lit(4)) + 1).cast("int")
+    return both.withColumn("nth", rank).where(F.col("nth") <= k).select("shop_id", "item_id", "name", "price", quantity.alias("quantity"))

@@ -25,12 +25,12 @@ def _npcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         key.alias("id"), F.col("c_name").alias("name"), F.when(key % 5 != 0, F.lower("c_mktsegment")).alias("description"), F.when(key % 10 == 9, "PC").otherwise("NPC").alias("entity_type"),
         F.when(F.col("c_nationkey") % 3 == 0, "hostile").when(F.col("c_nationkey") % 3 == 1, "friendly").alias("disposition"), F.when(key % 2 == 0, "{}").alias("stat_block"), (key % 7 != 0).alias("active"),
-        F.array(F.concat(F.lit("g"), (key % 4).cast("string"))).alias("guilds"),
+        F.array(F.concat(F.lit("g"), (key % 4).cast("string")), F.concat(F.lit("g"), ((key + 2) % 4).cast("string"))).alias("guilds"),
     )
 
 
 @query("""SELECT c_custkey AS id FROM customer WHERE c_custkey % 10 <> 9 AND (contains(lower(c_name), 'build') OR (c_custkey % 5 <> 0 AND contains(lower(c_mktsegment), 'build')))
-AND c_nationkey % 3 = 0 AND c_custkey % 2 = 0 AND c_custkey % 7 <> 0 AND c_custkey % 4 = 2""")
+AND c_nationkey % 3 = 0 AND c_custkey % 2 = 0 AND c_custkey % 7 <> 0 AND c_custkey % 4 IN (0, 2)""")
 def npc_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.found_npcs(_npcs(spark, sf_dir), "BUILD", hostile=True, with_stats=True, active=True, guild="g2").select("id")
 
