@@ -1,6 +1,6 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-``with_measures`` computes measures of each whole text where it lies. The base rule fails documents of under ten words, or
+``measured`` computes measures of each whole text where it lies. The base rule fails documents of under ten words, or
 with over a fifth of their words in five-word windows that occur twice or more in the text.
 
 The method adds rules ``measure > cutoff``. For each stratum (language), rule and cutoff of a fixed grid, the labelled good
@@ -57,18 +57,14 @@ def _words(text: Column) -> Column:
 def _repeats(words: Column) -> Column:
     """How many words stand in windows of SPAN words that occur twice or more.
 
-    Windows are 64-bit hashes. Where some are equal, each is packed with its place into one long (the hash's low bits make
-    way for the place), so that sorting brings equal windows together; neighbours are then compared by their whole hashes.
+    Windows are 64-bit hashes. Where some are equal, they are sorted with their places, so that equal ones are neighbours.
     """
 
     def covered(w: Column) -> Column:
-        bits = F.ceil(F.log2(F.size(w) + 1)).cast("int")
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        packed = F.transform(w, lambda h, i: h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))
-        ordered = F.transform(F.sort_array(packed), lambda x: x.bitwiseAND(mask).cast("int"))
+        ordered = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def starts(o: Column) -> Column:
-            pairs = F.zip_with(o, F.slice(o, 2, F.size(o)), lambda i, j: F.when(F.get(w, i) == F.get(w, j), F.array(i, j)))
+            pairs = F.zip_with(o, F.slice(o, 2, F.size(o)), lambda x, y: F.when(x.h == y.h, F.array(x.i, y.i)))
             return F.array_distinct(F.flatten(F.array_compact(pairs)))
 
         places = _let(ordered, starts)
@@ -195,10 +191,13 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that are kept, columns as given. Each row is judged where it lies: no text is moved."""
-    chosen = thresholds(measured(docs), labels).collect()
-    columns = docs.columns
-    own = docs.select("*", _stratum().alias("__stratum"), text_of().alias("__text")).select(
-        *columns, "__stratum", measures(F.col("__text")).alias("__m")
-    )
-    return own.where(~base_failed(F.col("__m")) & ~_rejected(F.col("__stratum"), F.col("__m"), chosen)).select(*columns)
+    """The rows that are kept, columns as given.
+
+    Every text is measured once: rows and measures are written to the shared checkpoint folder, thresholds are found from what
+    was written, and so are the rows that pass. No text is shuffled.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    given = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _stratum().alias("stratum"), text_of().alias("text"))
+    found = durable(given.select("row", "doc_id", "stratum", measures(F.col("text")).alias("m")))
+    chosen = thresholds(found.select("doc_id", "stratum", "m"), labels).collect()
+    return found.where(~base_failed(F.col("m")) & ~_rejected(F.col("stratum"), F.col("m"), chosen)).select("row.*")
