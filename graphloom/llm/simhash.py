@@ -11,8 +11,8 @@ membership table keeps a row a document. Components come from min-label propagat
 between distinct fingerprints, each round cut off in the shared checkpoint folder.
 
 Edge cases: a null or empty text and one without words have fingerprint zero, and are linked like any other. One or two
-words are hashed as one shingle. Rows that repeat a document id share its component. A null id is left out of the index
-and the result has no component for it. Other columns are not read. An empty table gives an empty result.
+words are hashed as one shingle. Rows that repeat a document id share its component. A row with a null
+id has its fingerprint, a null component and no part in the links of others. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,12 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import durable, hash_sampled, sample_rate, text_of
 
 MAX_DISTANCE = 3
-ORDER_SAMPLE, NEIGHBOURS = 4_000, 16
+ORDER_SAMPLE, SHARE = 4_000, 0.005
+#: Bits of the wide SimHash. At a similarity of 0.8 two texts differ in 39 of its 256 bits, give or take 6, and in 10 of the first
+#: 64, give or take 3: the bounds lose such a pair with a chance under one in a million.
+WIDE, MOST_APART, MOST_APART_FIRST = 4, 68, 26
+#: Ends of candidate pairs that are sent to every task at most: four longs each.
+MOST_SENT = 400_000
 _SLICE = 1 << 16
 
 
@@ -123,16 +128,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id reachable over links, the document's own included."""
-    prints = durable(fingerprints(docs).where(F.col("doc_id").isNotNull()))
+    every = durable(fingerprints(docs))
+    prints = every.where(F.col("doc_id").isNotNull())
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     marked = durable(links(distinct.select("fp")))
     first = distinct.select("fp", "first_id")
     by_id = marked.join(first.toDF("a", "a_id"), "a").join(first.toDF("b", "b_id"), "b")
     found = components(by_id.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    classes = first.join(found, first.first_id == found.node, "left").select(
-        "fp", F.coalesce("label", "first_id").alias("component_id")
-    )
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    # Written, so that both sides of the last join are plain exchanges, which AQE splits where one fingerprint is hot.
+    classes = durable(first.join(found, first.first_id == found.node, "left").select("fp", F.coalesce("label", "first_id").alias("component_id")))
+    unnamed = every.where(F.col("doc_id").isNull()).select("doc_id", "fp", F.lit(None).cast("long").alias("component_id"))
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id").union(unnamed)
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -152,60 +158,104 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(found, np.uint64, len(starts)).view(np.int64))
 
 
-def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of shingles that several texts of a bounded sample hold. They only set the order of the prefixes."""
+def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, shares) of shingles that several texts of a bounded sample hold, from (mark, text).
+
+    They only set the order of the prefixes and spread what is frequent over tasks; pairs do not depend on them.
+    """
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for t in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t, shingle))], names=["h"])
 
-    sample = hash_sampled(texts, sample_rate(texts.count(), ORDER_SAMPLE), "mark").select("mark", "text").dropDuplicates(["mark"])
+    sample = durable(hash_sampled(docs, sample_rate(docs.count(), ORDER_SAMPLE), "mark").select("mark", "text").dropDuplicates(["mark"]))
     found = sample.select("text").mapInArrow(batches, "h long").groupBy("h").count().where("count >= 3").orderBy("h").toPandas()
-    return found.h.to_numpy(np.int64), found["count"].to_numpy(np.int64)
+    return found.h.to_numpy(np.int64), found["count"].to_numpy(np.float64) / max(1, sample.count())
 
 
-def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles in one order of all, rare ones first: two sets as similar as that share one of theirs."""
+def prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, shares) of the first shingles in one order of all, rare ones first: two sets as similar as that share one of theirs."""
     at = np.searchsorted(common[0], hashes)
     at[at == len(common[0])] = 0
-    held = np.where(common[0][at] == hashes, common[1][at], 0) if len(common[0]) else np.zeros(len(hashes), np.int64)
-    return hashes[np.lexsort((hashes, held))][: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
-
-
-def similar(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): pairs of ``mark`` of (mark, text) whose shingle sets have at least that Jaccard similarity.
-
-    Texts meet by the shingles of their prefixes, and each candidate is verified on the whole sets. In a shingle's group a
-    text meets the ``NEIGHBOURS`` before it by size, and the first, so that a large group of near copies costs no square;
-    groups up to that size give every pair.
+    share = np.where(common[0][at] == hashes, common[1][at], 0.0) if len(common[0]) else np.zeros(len(hashes))
+    order = np.lexsort((hashes, share))[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+    return hashes[order], share[order]
+
+
+def wide_simhash(hashes: np.ndarray) -> np.ndarray:
+    """A SimHash of WIDE 64-bit words over a set of hashes; a shingle's further words are mixed from its hash."""
+    out = np.zeros(WIDE, np.uint64)
+    for k in range(WIDE if len(hashes) else 0):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), _SLICE):
+            h = hashes[at : at + _SLICE].view(np.uint64) + np.uint64((k * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def _sketched(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(mark, doc_id, n, fp, wide, heads), a row a different text: the first id, the size of its set, its SimHashes and its prefix.
+
+    A shingle that is frequent in the sample has salts over 0, which spread it over tasks, a few thousandths of all texts each.
+    Their number is a power of two, so that near copies, whose shingles are about as frequent, are spread alike by all of them.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts, shingle))
+    shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, shingle))
 
-    def prefixes(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            sets = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
-            sizes = pa.array(map(len, sets), pa.int32())
-            heads = pa.array([prefix(x, similarity, shared.value) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, heads], names=["mark", "n", "heads"])
-
-    heads = texts.select("mark", "text").mapInArrow(prefixes, "mark long, n int, heads array<long>").dropDuplicates(["mark"])
-    me = F.struct("n", "mark", "at")
-    by = Window.partitionBy("h").orderBy("n", "mark")
-    met = heads.select("mark", "n", F.posexplode("heads").alias("at", "h")).select(
-        "mark", "n", "at", F.array_union(F.collect_list(me).over(by.rowsBetween(-NEIGHBOURS, -1)), F.array(F.first(me).over(by))).alias("others")
-    )
+            for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+                sizes, wides, heads, salts = [], [], [], []
+                for mark, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    hashes = shingle_hashes(text, shingle)
+                    found, share = prefix(hashes, similarity, shared.value) if len(hashes) else (hashes, np.zeros(0))
+                    sizes.append(len(hashes))
+                    wides.append(wide_simhash(hashes))
+                    heads.append(found)
+                    salts.append(np.where(share > SHARE, 1 + mark % np.exp2(np.ceil(np.log2(np.maximum(share, SHARE) / SHARE))).astype(np.int64), 0).astype(np.int32))
+                wide = np.array(wides, np.uint64).reshape(-1, WIDE).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], pa.array(sizes, pa.int32()), pa.array(np.ascontiguousarray(wide[:, 0])), pa.array(list(wide[:, 1:]), pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))],
+                    names=["doc_id", "mark", "n", "fp", "wide", "heads", "salts"],
+                )
+
+    rows = docs.mapInArrow(batches, "doc_id long, mark long, n int, fp long, wide array<long>, heads array<long>, salts array<int>")
+    return durable(rows.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "fp", "wide", "heads", "salts"))))
+
+
+def _alike(similarity: float) -> Column:
+    """Whether two texts (n, at) and (o_n, o_at) that share a shingle there can be so similar, by the sizes of their sets."""
     # What follows the first shingle that two texts share has to hold the rest of what they need to share.
-    most = F.least(F.col("n") - F.col("at"), F.col("o.n") - F.col("o.at"))
-    pairs = met.select("mark", "n", "at", F.explode("others").alias("o")).where(
-        (F.col("o.mark") != F.col("mark")) & (F.col("o.n") >= F.col("n") * similarity - 1e-6)
-        & (most >= (F.col("n") + F.col("o.n")) * (similarity / (1 + similarity)) - 1e-6)
-    )
-    pairs = durable(pairs.select(F.least("mark", "o.mark").alias("a"), F.greatest("mark", "o.mark").alias("b")).distinct())
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("mark"))
-    sent = texts.select("mark", "text").dropDuplicates(["mark"]).join(ends, "mark")
+    most = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))
+    least, greatest = F.least("n", "o_n"), F.greatest("n", "o_n")
+    return (least >= greatest * similarity - 1e-6) & (most >= (F.col("n") + F.col("o_n")) * (similarity / (1 + similarity)) - 1e-6)
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _neighbours(groups: DataFrame, by: list[str], similarity: float) -> DataFrame:
+    """(a, b): in each group, a text with the one before it by size, and with the first."""
+    order = Window.partitionBy(*by).orderBy("n", "mark")
+    me = F.struct(F.col("mark").alias("o_mark"), F.col("n").alias("o_n"), F.col("at").alias("o_at"))
+    met = groups.select("mark", "n", "at", F.array_distinct(F.array_compact(F.array(F.lag(me).over(order), F.first(me).over(order)))).alias("others"))
+    return met.select("mark", "n", "at", F.inline("others")).where((F.col("mark") != F.col("o_mark")) & _alike(similarity)).select(*_pair("mark", "o_mark"))
+
 
-    def verified(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of marks whose sets are so similar: far ones go by their wide SimHashes, the rest is held on whole texts."""
+    side = lambda c: sketches.select(F.col("mark").alias(c), F.col("doc_id").alias(f"{c}_id"), F.concat(F.array("fp"), "wide").alias(f"{c}_wide"), F.col("n").alias(f"{c}_n"))
+    apart = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where((F.least("a_n", "b_n") < 20) | (apart <= MOST_APART))
+    near = durable(near.select("a", "b", "a_id", "b_id"))
+    ends = near.select("a", "b", F.inline(F.array(F.struct(F.col("a").alias("mark"), F.col("a_id").alias("doc_id")), F.struct(F.col("b").alias("mark"), F.col("b_id").alias("doc_id")))))
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -214,34 +264,75 @@ def similar(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 good.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    read = sent.groupBy("a", "b").agg(F.min("text").alias("x"), F.max("text").alias("y"))
-    return read.mapInArrow(verified, "a long, b long")
+    # Up to a counted number of ends the texts stay where they lie and only those asked for move; beyond it both sides are shuffled.
+    few = ends.limit(MOST_SENT + 1).count() <= MOST_SENT
+    texts = docs.join(F.broadcast(ends) if few else ends, ["doc_id", "mark"]).groupBy("a", "b").agg(F.min("text").alias("x"), F.max("text").alias("y"))
+    return durable(texts.mapInArrow(batches, "a long, b long"))
+
+
+def similar(docs: DataFrame, sketches: DataFrame, linked: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, label): the components of texts whose shingle sets have that Jaccard similarity or more, joined with links (a, b).
+
+    Two such texts share a shingle of their prefixes. First a text meets the one before it and the first in each shingle's
+    group; that joins most of a large group of near copies. Then every pair of the same group in different components is tried,
+    so none is left out; texts of a group's largest component do not meet one another.
+    """
+    heads = sketches.select("mark", "n", F.posexplode(F.arrays_zip("heads", "salts")).alias("at", "head")).select("mark", "n", "at", F.col("head.heads").alias("h"), F.col("head.salts").alias("salt"))
+    order = Window.partitionBy("h", "salt").orderBy("n", "mark")
+    several = (F.col("salt") > 0) | F.lag("mark").over(order).isNotNull() | F.lead("mark").over(order).isNotNull()
+    groups = durable(heads.withColumn("several", several).withColumn("nth", F.row_number().over(order)).where("several").drop("several"))
+    tops = groups.where("nth = 1")  # a spread shingle has one first text a salt, any other shingle only one
+    near = _neighbours(groups, ["h", "salt"], similarity).union(_neighbours(tops, ["h"], similarity)).distinct()
+    sure = durable(linked.select("a", "b").union(_verified(docs, sketches, near, shingle, similarity)))
+    labels = components(sure).withColumnRenamed("node", "mark")
+    known = durable(sketches.select("mark", "fp").join(labels, "mark", "left").select("mark", "fp", F.coalesce("label", "mark").alias("label")))
+    split = _split(groups, known)
+    other = split.select("h", *(F.col(c).alias(f"o_{c}") for c in ("mark", "n", "at", "label", "fp", "main")))
+    aside = split.where(F.col("label") != F.col("main")).join(other, "h").where(
+        (F.col("label") != F.col("o_label")) & ((F.col("o_label") == F.col("o_main")) | (F.col("mark") < F.col("o_mark"))) & _near_enough() & _alike(similarity)
+    )
+    known = _merged(known, _verified(docs, sketches, aside.select(*_pair("mark", "o_mark")).distinct(), shingle, similarity))
+    return known.select(F.col("mark").alias("node"), "label")
+
+
+def _near_enough() -> Column:
+    """Whether the first SimHashes of two texts let them be similar; sets of under twenty shingles are let through."""
+    return (F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp"))) <= MOST_APART_FIRST) | (F.least("n", "o_n") < 20)
+
+
+def _split(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of groups with several components, each with its component and the group's largest one."""
+    marked = durable(groups.select("h", "mark", "n", "at").join(known, "mark"))
+    sizes = marked.groupBy("h", "label").agg(F.count("*").alias("rows"))
+    largest = sizes.groupBy("h").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    return durable(marked.join(largest.select("h", "main"), "h"))
+
+
+def _merged(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(mark, fp, label) with the components that the pairs (a, b) join as one; only components meet, not texts."""
+    side = lambda c: known.select(F.col("mark").alias(c), F.col("label").alias(f"{c}_label"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).where("a <> b").distinct()
+    over = components(joined).select(F.col("node").alias("label"), F.col("label").alias("over"))
+    return durable(known.join(over, "label", "left").select("mark", "fp", F.coalesce("over", "label").alias("label")))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents that are the first of their group, by id, then by a hash of the text; a document without an id stays.
 
-    Texts are linked if their SimHashes are, or if their sets of ``shingle`` words are at least as similar as ``similarity``.
-    Rows that share an id and differ in text are told apart; those that share both are one row.
+    Texts are linked if SimHashes of their ``shingle``-word sets are at most MAX_DISTANCE bits apart, or if the sets are at least
+    as similar as ``similarity``; texts without words are one. Rows that share an id and differ in text are told apart; those that
+    share both are one row.
     """
     mark = F.xxhash64(text_of())
     named = docs.where(F.col("doc_id").isNotNull())
     texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), text_of().alias("text"))
-    prints = durable(
-        texts.mapInArrow(
-            lambda source: (
-                pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(np.array([simhash64(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64))], names=["doc_id", "mark", "fp"])
-                for b in source
-            ),
-            "doc_id long, mark long, fp long",
-        )
-    )
-    first = durable(prints.groupBy("fp").agg(F.min("mark").alias("first")))
-    close = durable(links(first.select("fp")))
+    sketches = _sketched(texts, shingle, similarity)
+    first = durable(sketches.groupBy("fp").agg(F.min("mark").alias("first")))
+    close = links(first.select("fp"))
     by_fp = close.join(first.toDF("a", "a_mark"), "a").join(first.toDF("b", "b_mark"), "b").select(F.col("a_mark").alias("a"), F.col("b_mark").alias("b"))
-    same = prints.select("mark", "fp").distinct().join(first, "fp").where("mark != first").select(F.col("mark").alias("a"), F.col("first").alias("b"))
-    found = components(durable(by_fp.union(same).union(similar(texts, shingle, similarity))))
-    grouped = prints.groupBy("mark").agg(F.min("doc_id").alias("doc_id")).join(found.withColumnRenamed("node", "mark"), "mark", "left")
+    same = sketches.select("mark", "fp").join(first, "fp").where("mark != first").select(F.col("mark").alias("a"), F.col("first").alias("b"))
+    found = similar(texts, sketches, durable(by_fp.union(same)), shingle, similarity)
+    grouped = sketches.select("mark", "doc_id").join(found.withColumnRenamed("node", "mark"), "mark", "left")
     kept = grouped.groupBy(F.coalesce("label", "mark").alias("label")).agg(F.min(F.struct("doc_id", "mark")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.mark").alias("_mark"))
     marked = named.withColumn("_mark", mark)
     chosen = marked.join(kept, (marked.doc_id.cast("long") == kept["_id"]) & (marked["_mark"] == kept["_mark"]), "left_semi")
