@@ -4,9 +4,11 @@ Every document gets a hash-random key. Within its source, documents lie in the o
 of sizes say how many words stand before each; the source's budget cuts that order at exactly its number of words, after as
 many whole epochs as the budget holds. No text is moved: only (id, source, size, key) is shuffled.
 
-The order is made of buckets of the uniform keys, about ``BUCKET_ROWS`` rows each, however large a source is: a sum a
-bucket, a running sum over a source's buckets, and a running sum within each bucket. So a source with a third of all rows
-spreads over as many tasks as its size asks for.
+The order is made of buckets of the uniform keys, about ``BUCKET_ROWS`` rows each, however large a source is, and of blocks
+of ``BLOCK`` buckets: running sums over a source's blocks, over a block's buckets and within each bucket. So a source with a
+third of all rows spreads over as many tasks as its size asks for, and no task sees more than a list of blocks (one for some
+two million rows). Rows without an id all have one key, and lie in the order of a hash of their texts: its first digits part
+that key's bucket into ``PARTS``.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share the sum of all sizes; a target stops at
 ``CAP`` times its source's size and the excess is shared again by weight. That is the level L at which targets
@@ -24,14 +26,24 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import durable, text_of, word_array, word_count
 
-WEIGHTS, CAP, BUCKET_ROWS = (5, 2, 1), 3, 500
+WEIGHTS, CAP, BUCKET_ROWS, BLOCK, PARTS = (5, 2, 1), 3, 500, 4096, 4096
 _KEY_DIGITS = 13
 
 
-def _key(seed: str) -> Column:
+def _key_of(name: Column, seed: str) -> Column:
     """Uniform in [0, 2^52): exact in a double, and the same from any engine that has md5."""
-    name = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(name), 1, _KEY_DIGITS), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, _KEY_DIGITS), 16, 10).cast("long")
+
+
+def _key(seed: str) -> Column:
+    return _key_of(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)
+
+
+def _part(seed: str) -> Column:
+    """The place within a bucket that keeps the order of key, then text hash: only the key of rows without an id has several."""
+    shared = _key_of(F.lit(""), seed)
+    nth = F.when(F.col("doc_id").isNull(), 1 + F.conv(F.substring("tie", 1, 3), 16, 10).cast("int")).otherwise(PARTS + 1)
+    return F.when(F.col("key") < shared, 0).when(F.col("key") == shared, nth).otherwise(PARTS + 1)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -73,14 +85,21 @@ def allotments(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WE
     facts = targets.withColumnRenamed("source", "of")
     buckets = F.ceil(F.col("rows") / BUCKET_ROWS)
     placed = sized.join(facts, same).drop("of").withColumn("bucket", F.floor(F.col("key") / float(1 << 52) * buckets).cast("long"))
-    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        F.col("source").alias("of"), F.col("bucket").alias("in"), F.coalesce(F.sum("words").over(over), F.lit(0)).alias("before_bucket")
+    placed = placed.withColumn("part", _part(seed)).withColumn("block", F.floor(F.col("bucket") / BLOCK))
+    place = ["source", "block", "bucket", "part"]
+    sums = durable(placed.groupBy(*place).agg(F.sum("size").alias("words")))
+    running = lambda over, of: F.coalesce(F.sum(of).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("source", "block").agg(F.sum("words").alias("words")).withColumn(
+        "before_block", running(Window.partitionBy("source").orderBy("block"), "words")
+    )
+    within = sums.withColumn("before_part", running(Window.partitionBy("source", "block").orderBy("bucket", "part"), "words"))
+    at_block = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
+    starts = within.join(blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), "before_block"), at_block).select(
+        F.col("source").alias("of"), F.col("bucket").alias("in"), F.col("part").alias("nth"), (F.col("before_block") + F.col("before_part")).alias("before_bucket")
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket", "part").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     laid = placed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = laid.join(starts, same & (F.col("bucket") == F.col("in")))
+    joined = laid.join(starts, same & (F.col("bucket") == F.col("in")) & (F.col("part") == F.col("nth")))
     budget = F.round("target").cast("long")
     size = F.greatest(F.col("source_size"), F.lit(1))
     epochs = F.floor(budget / size)
@@ -100,8 +119,11 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     taken = allotments(docs, seed, weights, cap).groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(
         F.max("size").alias("__size"), F.sum("taken").alias("__taken")
     )
-    # Rows that repeat an id and a text stand for one document here; their shares add up.
-    left = docs.withColumn("__tie0", F.md5(text_of())).dropDuplicates(["doc_id", "__tie0"])
+    # Rows that repeat an id and a text stand for one document here; their shares add up. Of rows that differ in other columns
+    # that of the smallest hash of them stays.
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    rows = docs.groupBy(F.col("doc_id").alias("__doc"), F.md5(text_of()).alias("__tie0")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in columns)), F.xxhash64(*hashed)).alias("__row"))
+    left = rows.select("__tie0", "__row.*")
     pairs = left.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tie0") == F.col("__tie")))
     size, words = F.col("__size"), F.col("__taken")
     whole = F.when(size > 0, F.floor(words / size)).otherwise(0)
