@@ -9,14 +9,19 @@ Three exact savings keep the shuffle below a few times the input:
 
 * Only minimisers that occur in two documents or more can hold a repeated window, so (minimiser, document) pairs are matched
   first and only super-k-mers of shared minimisers are packed.
-* Minimisers that are frequent in a sample of documents are known to be shared. Their pairs are salted by document, and
-  their windows travel one by one to a bucket of the window's own hash, so no bucket has to hold a frequent passage's
-  surroundings. The sample only chooses the route; windows of either route are all compared.
+* Minimisers that are frequent in a sample of documents are taken as shared without a match. Their windows travel one by one
+  to a bucket of the window's own hash, so no bucket has to hold a frequent passage's surroundings, and are spread by
+  document over as many salts as their count in the sample asks for. Within a salt the smallest id decides; then the salts'
+  smallest ids, one a salt and window, are compared. The sample only chooses the route; windows of either route are all compared.
 
 * Later copies of a whole text are known by its MD5: all their windows start in the first copy, so they are left out of the
-  search and lose every word (of 13 or more).
+  search and lose every word (of 13 or more). Only the first id of each text is sent back, however many copies there are.
 
-Texts are shuffled once, by id, and that exchange serves the search, the packing and the removal.
+So a bucket or salt holds at most about FREQUENT of SAMPLE_ROWS documents (a five-hundredth of all), and what is gathered beyond
+that is summed up before it is shuffled.
+
+Texts are shuffled once, by id (those without an id by a hash of the text), and that exchange serves the search, the packing
+and the removal.
 
 Edge cases: a null or empty text has no words and keeps an empty text. Documents of fewer than WINDOW words keep all. A null
 id counts as larger than any. Rows that repeat an id do not count against each other, and each has the result of its own text. Other
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import durable, hash_sampled, sample_rate, text_of
 
 WINDOW, MER = 13, 4
-SAMPLE_ROWS, FREQUENT, SALTS = 20_000, 40, 64
+SAMPLE_ROWS, FREQUENT = 20_000, 40
 _LAST = (1 << 63) - 1
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,8 +108,9 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def _pairs(frequent: frozenset[int]):  # noqa: ANN202
-    held = np.array(sorted(frequent), np.int64)
+def _pairs(left_out: frozenset[int] | dict[int, int]):  # noqa: ANN202
+    """Rows (key, text, tie) to each document's different minimisers, but for those left out."""
+    held = np.array(sorted(left_out), np.int64)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -112,87 +118,91 @@ def _pairs(frequent: frozenset[int]):  # noqa: ANN202
                 part = batch.slice(at, 1000)
                 found = [np.unique(minimisers(Words(t))) for t in part.column(1).to_pylist()]
                 minimiser = np.concatenate(found)
-                doc = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
-                salt = np.where(np.isin(minimiser, held), doc % SALTS, -1).astype(np.int32)
-                tie = np.repeat(part.column(2).to_numpy(), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(minimiser), pa.array(salt), pa.array(doc), pa.array(tie)], names=["minimiser", "salt", "key", "tie"])
+                wanted = ~np.isin(minimiser, held)
+                key, tie = (np.repeat(part.column(i).to_numpy(), [len(x) for x in found])[wanted] for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(minimiser[wanted]), pa.array(key), pa.array(tie)], names=["minimiser", "key", "tie"])
 
     return batches
 
 
-def _packed(frequent: frozenset[int]):  # noqa: ANN202
-    """Rows (key, text, shared minimisers, tie) to super-k-mers (bucket, key, starts, words, tie)."""
+def _packed(frequent: dict[int, int]):  # noqa: ANN202
+    """Rows (key, text, shared minimisers, tie) to super-k-mers (bucket, salt, key, starts, words, tie); salt 0 is not spread."""
+    often = np.array(sorted(frequent), np.int64)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                rows: list[tuple[int, int, list[int], bytes, int]] = []
+                rows: list[tuple[int, int, int, list[int], bytes, int]] = []
                 for key, text, shared, tie in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _lists(part.column(2)), part.column(3).to_pylist()):
                     words = Words(text)
                     found = minimisers(words)
                     edges = np.append(0, np.flatnonzero(np.diff(found)) + 1)
-                    wanted = np.isin(found[edges], shared)
+                    if not len(found):
+                        continue
+                    wanted = np.isin(found[edges], shared) | np.isin(found[edges], often)
                     starts, stops = edges[wanted], np.append(edges[1:], len(found))[wanted]
                     # What a document repeats travels once, with all its places.
-                    places: dict[tuple[int, bytes], list[int]] = {}
+                    places: dict[tuple[int, int, bytes], list[int]] = {}
                     runs = zip(found[starts].tolist(), starts.tolist(), stops.tolist(), words.starts[starts].tolist(), words.ends[stops + WINDOW - 2].tolist())
                     for bucket, a, b, low, high in runs:
                         if bucket in frequent:
+                            salt = 1 + (key ^ tie) % frequent[bucket]
                             for i in range(a, b):
                                 window = words.line[words.starts[i] : words.ends[i + WINDOW - 1]]
-                                places.setdefault((xxhash.xxh64_intdigest(window) - (1 << 63), window), []).append(i)
+                                places.setdefault((xxhash.xxh64_intdigest(window) - (1 << 63), salt, window), []).append(i)
                         else:
-                            places.setdefault((bucket, words.line[low:high]), []).append(a)
-                    rows += [(bucket, key, at_, packed, tie) for (bucket, packed), at_ in places.items()]
+                            places.setdefault((bucket, 0, words.line[low:high]), []).append(a)
+                    rows += [(bucket, salt, key, at_, packed, tie) for (bucket, salt, packed), at_ in places.items()]
                 if rows:
                     columns = list(zip(*rows))
-                    texts = pa.array(columns[3], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32())), texts, pa.array(columns[4], pa.int32())], names=["bucket", "key", "starts", "words", "tie"])
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int32())
+                    arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
+                    arrays[4] = arrays[4].cast(pa.string())
+                    yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "salt", "key", "starts", "words", "tie"])
 
     return batches
 
 
-def frequent_minimisers(docs: DataFrame) -> frozenset[int]:
-    """Minimisers in at least FREQUENT documents of a bounded sample; their number is bounded by the sample's size."""
+def frequent_minimisers(docs: DataFrame) -> dict[int, int]:
+    """Minimisers in at least FREQUENT documents of a bounded sample, and their salts; the sample's size bounds their number."""
     rate = sample_rate(docs.count(), SAMPLE_ROWS)
-    sampled = hash_sampled(docs, rate, "key").withColumn("tie", F.lit(0)).mapInArrow(_pairs(frozenset()), "minimiser long, salt int, key long, tie int")
-    found = sampled.groupBy("minimiser").count().where(F.col("count") >= FREQUENT).select("minimiser")
-    return frozenset(r[0] for r in found.collect())
-
-
-def later_copies(digests: DataFrame) -> DataFrame:
-    """(key): documents whose whole text a document of a smaller key has too, from (key, digest).
-
-    All their windows start in the first copy, so they lose every word that a window covers, and add nothing to the search.
-    A key whose rows have different texts is never one.
-    """
-    first = digests.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
-    single = digests.groupBy("key").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")).where("digest = other")
-    return single.join(first.select("digest", "first"), "digest").where(F.col("key") > F.col("first")).select("key")
+    sampled = hash_sampled(docs, rate, "key").select("key", "text", F.lit(0).alias("tie")).mapInArrow(_pairs(frozenset()), "minimiser long, key long, tie int")
+    found = sampled.groupBy("minimiser").count().where(F.col("count") >= FREQUENT)
+    return {r["minimiser"]: -(-r["count"] // FREQUENT) for r in found.collect()}
 
 
-def repeated_windows(texts: DataFrame, frequent: frozenset[int]) -> DataFrame:
+def repeated_windows(texts: DataFrame, frequent: dict[int, int]) -> DataFrame:
     """(key, tie, start): the windows whose words also start in a document of a smaller key, from (key, tie, text)."""
-    pairs = texts.select("key", "text", "tie").mapInArrow(_pairs(frequent), "minimiser long, salt int, key long, tie int")
-    bucket = Window.partitionBy("minimiser", "salt")
-    matched = pairs.withColumn("low", F.min("key").over(bucket)).withColumn("high", F.max("key").over(bucket))
-    shared = matched.where((F.col("low") < F.col("high")) | (F.col("salt") >= 0)).groupBy("key", "tie").agg(F.collect_list("minimiser").alias("shared"))
-    met = _of_text(texts, shared).select("key", "text", "shared", "tie")
-    packed = met.mapInArrow(_packed(frequent), "bucket long, key long, starts array<int>, words string, tie int")
-    words = F.split("words", " ")
-    spread = packed.repartition("bucket").withColumn("list", words).select(
-        "bucket", "key", "tie", "starts", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("list") - (WINDOW - 1)), lambda i: F.array_join(F.slice("list", i, WINDOW), " "))).alias("place", "window")
+    # One exchange serves the count and what it is joined to.
+    pairs = texts.select("key", "text", "tie").mapInArrow(_pairs(frequent), "minimiser long, key long, tie int").repartition("minimiser")
+    met = pairs.groupBy("minimiser").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("minimiser")
+    shared = pairs.join(met, "minimiser").groupBy("key", "tie").agg(F.collect_list("minimiser").alias("shared"))
+    rows = _of_text(texts, shared, "left").select("key", "text", "shared", "tie")
+    packed = rows.mapInArrow(_packed(frequent), "bucket long, salt int, key long, starts array<int>, words string, tie int")
+    windows = F.transform(F.sequence(F.lit(1), F.size("list") - (WINDOW - 1)), lambda i: F.array_join(F.slice("list", i, WINDOW), " "))
+    spread = packed.repartition("bucket", "salt").withColumn("list", F.split("words", " ")).select(
+        "bucket", "salt", "key", "tie", "starts", F.posexplode(windows).alias("place", "window")
     )
-    equal = Window.partitionBy("bucket", "window")
-    first = spread.withColumn("first", F.min("key").over(equal)).where(F.col("first") < F.col("key"))
-    return first.select("key", "tie", "place", F.explode("starts").alias("start")).select("key", "tie", (F.col("start") + F.col("place")).alias("start"))
+    # A bucket and salt holds a bounded share of the documents; the second window sees one row a salt.
+    low = spread.withColumn("low", F.min("key").over(Window.partitionBy("bucket", "salt", "window")))
+    open_ = F.col("low") == F.col("key")
+    found = durable(low.where((F.col("low") < F.col("key")) | (open_ & (F.col("salt") > 0))).select("key", "tie", "place", "starts", *(F.when(open_, F.col(c)).alias(c) for c in ("bucket", "window"))))
+    tops = found.where(F.col("bucket").isNotNull()).withColumn("low", F.min("key").over(Window.partitionBy("bucket", "window")))
+    later = found.where(F.col("bucket").isNull()).select("key", "tie", "place", "starts").union(tops.where("low < key").select("key", "tie", "place", "starts"))
+    return later.select("key", "tie", "place", F.explode("starts").alias("start")).select("key", "tie", (F.col("start") + F.col("place")).alias("start"))
+
+
+def _spot() -> Column:
+    """Where a text lies: by its key, or, without an id, by its tie."""
+    return F.when(F.col("key") == _LAST, F.col("tie").cast("long")).otherwise(F.col("key"))
 
 
 def _of_text(texts: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
-    """Texts with what was found for them. The join is by key alone, as the texts lie; the tie is compared beside it."""
-    right = found.select(F.col("key").alias("of"), F.col("tie").alias("of_tie"), *(c for c in found.columns if c not in ("key", "tie")))
-    return texts.join(right, (F.col("key") == F.col("of")) & (F.col("tie") - F.col("of_tie") == 0), how).drop("of", "of_tie")
+    """Texts with what was found for them. The join is by spot alone, as the texts lie; key and tie are compared beside it."""
+    right = found.select(_spot().alias("of"), F.col("key").alias("of_key"), F.col("tie").alias("of_tie"), *(c for c in found.columns if c not in ("key", "tie")))
+    beside = (F.col("key") - F.col("of_key") == 0) & (F.col("tie") - F.col("of_tie") == 0)
+    return texts.join(right, (F.col("spot") == F.col("of")) & beside, how).drop("of", "of_key", "of_tie")
 
 
 def _kept(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,18 +235,28 @@ def _hashed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), text_of().alias("text"))
-    digests = durable(keyed.select("key", F.md5("text").alias("digest")))
-    copies = later_copies(digests)
-    # Ids with several texts tell them apart by a hash; all others have tie 0, which costs nothing in the shuffles.
-    several = digests.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("key", F.lit(True).alias("several"))
-    tie = F.when(F.col("several"), F.pmod(F.xxhash64("text"), F.lit(1 << 31))).otherwise(0).cast("int")
-    texts = keyed.repartition("key").join(several, "key", "left").select("key", "text", tie.alias("tie"))
-    found = repeated_windows(texts.join(copies, "key", "left_anti"), frequent_minimisers(keyed))
+    text = text_of()
+    tie = F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int")
+    # Texts without an id are told apart by a hash, which also says where they lie.
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), text.alias("text"), F.when(F.col("doc_id").isNull(), tie).otherwise(0).alias("tie"))
+    keyed = keyed.select("key", "text", _spot().alias("spot"))
+    digests = durable(keyed.select("key", "spot", F.md5("text").alias("digest")))
+    named = digests.where(F.col("key") != _LAST)
+    # Ids with several texts tell them apart by a hash too; all others have tie 0, which costs nothing in the shuffles.
+    several = named.groupBy(F.col("key").alias("spot")).agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("spot", F.lit(True).alias("several"))
+    first = digests.groupBy(F.col("digest").alias("of_digest")).agg(F.min(F.struct("key", "spot")).alias("f")).select("of_digest", F.col("f.key").alias("of_key"), F.col("f.spot").alias("spot"))
+    apart = F.coalesce("several", F.lit(False)) | (F.col("key") == _LAST)
+    tied = keyed.repartition("spot").join(several, "spot", "left").select("spot", "key", "text", F.when(apart, F.pmod(F.xxhash64("text"), F.lit(1 << 31))).otherwise(0).cast("int").alias("tie"), "several")
+    # The first id of a text is not a copy; neither are texts of an id with several, which are searched as they are.
+    firsts = first.select(F.col("spot").alias("of"), "of_key", "of_digest")
+    texts = tied.join(firsts, (F.col("spot") == F.col("of")) & (F.col("key") - F.col("of_key") == 0) & (F.position("of_digest", F.md5("text")) == 1), "left").select(
+        "spot", "key", "text", "tie", (F.col("of_key").isNull() & F.col("several").isNull() & (F.col("key") != _LAST)).alias("copy")
+    )
+    found = repeated_windows(texts.where(~F.col("copy")).select("spot", "key", "text", "tie"), frequent_minimisers(keyed))
     gone = found.groupBy("key", "tie").agg(F.collect_list("start").alias("starts"))
-    marked = _of_text(texts.join(copies.withColumn("copy", F.lit(True)), "key", "left"), gone, "left")
+    marked = _of_text(texts, gone, "left")
     none = F.array().cast("array<int>")
-    return marked.select(F.when(F.col("key") != _LAST, F.col("key")).alias("doc_id"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("starts", none).alias("starts"))
+    return marked.select(F.when(F.col("key") != _LAST, F.col("key")).alias("doc_id"), "text", "copy", F.coalesce("starts", none).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
