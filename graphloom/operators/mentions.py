@@ -54,14 +54,22 @@ def automaton(names: list[tuple[str, str]], fold_case: bool = False):  # noqa: A
 
 
 def _end(text: str, at: int, name: str, exact: bool) -> int:
-    """Where the name ends that begins at a place of the folded text, or -1: soft hyphens are passed, its full stops optional."""
+    """Where the name ends that begins at a place of the folded text, or -1: soft hyphens are passed, its full stops optional.
+
+    A last full stop is the name's unless a letter follows it; what follows the end may not be one.
+    """
     for i, c in enumerate(name):
-        while i and at < len(text) and text[at] == _SOFT:
-            at += 1
+        here = at
+        while i and here < len(text) and text[here] == _SOFT:
+            here += 1
         if c == ".":
-            at += at < len(text) and text[at] == "."
-        elif at < len(text) and (text[at] == c or (not exact and _lower(text[at]) == _lower(c))):
-            at += 1
+            after = here + 1
+            if here < len(text) and text[here] == "." and not (i == len(name) - 1 and after < len(text) and text[after].isalnum()):
+                at = after
+            elif not (here < len(text) and text[here].isalnum() and i == len(name) - 1):
+                at = here
+        elif here < len(text) and (text[here] == c or (not exact and _lower(text[here]) == _lower(c))):
+            at = here + 1
         else:
             return -1
     return at

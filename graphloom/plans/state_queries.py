@@ -41,7 +41,8 @@ def turn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combat.turn_order(rows).select("combat_id", "seq", F.col("turn").cast("long").alias("turn"))
 
 
-@query()
+@query("""WITH c AS (SELECT user_id AS key, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN value ELSE -value END AS change FROM events), l AS (SELECT key, list(change ORDER BY seq) AS cs FROM c GROUP BY key),
+n AS (SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM c) SELECT n.key, n.seq, list_reduce(list_prepend(CAST(50 AS DOUBLE), cs[1:i]), lambda a, x: least(CAST(100 AS DOUBLE), greatest(CAST(0 AS DOUBLE), a + x))) AS hp FROM n JOIN l ON l.key = n.key""")
 def clamped_hit_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     change = F.when(F.col("event_id") % 3 == 0, F.col("value")).otherwise(-F.col("value"))
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), change.alias("change"))

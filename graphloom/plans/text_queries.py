@@ -89,7 +89,9 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.chunks(pages, 200, 30).select("chunk_id", "page", "chunk_index", F.length("content").alias("chars"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT page_id, string_split_regex(html, '(?i)<h1[^>]*>') AS ps FROM pages), e AS (SELECT page_id, unnest(ps) AS part, unnest(generate_series(0, len(ps) - 1)) AS section FROM p),
+b AS (SELECT page_id, section, trim(regexp_extract(part, '(?is)^(.*?)</h1>', 1), ' ') AS title, trim(regexp_replace(regexp_replace(regexp_replace(part, '(?is)^.*?</h1>', ''), '(?i)</p>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g'), ' ') AS t FROM e)
+SELECT page_id AS page, section, title, length(t) AS chars FROM b WHERE t <> ''""")
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.page_chunks(table(spark, sf_dir, "pages"), "pages").select("page", "section", "title", F.length("text").alias("chars"))
 
