@@ -89,3 +89,16 @@ def title_case(name: Column) -> Column:
 def clock(seconds: Column) -> Column:
     whole = F.floor(seconds).cast("long")
     return F.format_string("%02d:%02d:%02d", F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60)
+
+
+def section_id(chapter: Column, index: Column) -> Column:
+    return F.concat(F.lit("kb:"), chapter, F.lit("#"), index.cast("string"))
+
+
+def mention_id(entity: Column, section: Column) -> Column:
+    return F.concat(entity, F.lit("@"), section)
+
+
+def diarised_line(seconds: Column, label: Column, text: Column) -> Column:
+    """``[HH:MM:SS] label: text`` of one segment."""
+    return F.concat(F.lit("["), clock(seconds), F.lit("] "), label, F.lit(": "), text)

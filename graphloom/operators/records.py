@@ -131,3 +131,16 @@ def first_command(message: Column, commands: tuple[tuple[str, str], ...]) -> Col
     """The tool of the first prefix, in order, that the message begins with; null if none."""
     text = F.lower(F.trim(message))
     return F.coalesce(*(F.when(F.startswith(text, F.lit(p)), F.lit(tool)) for p, tool in commands))
+
+
+def rejected(answers: DataFrame, types: tuple[str, ...], relations: tuple[str, ...]) -> DataFrame:
+    """(part, kind, n): how many rows of the answers were left out for a type or relation that the vocabulary lacks."""
+    parsed = answers.select(F.from_json("json", _EXTRACTION).alias("p"))
+    each = lambda field, part: parsed.select(F.lit(part).alias("part"), F.explode(f"p.{field}").alias("x")).select("part", F.upper("x.type").alias("kind"))
+    known = F.when(F.col("part") == "entity", F.col("kind").isin(*types)).otherwise(F.col("kind").isin(*relations))
+    return each("entities", "entity").union(each("relationships", "relation")).where(~F.coalesce(known, F.lit(False))).groupBy("part", "kind").agg(F.count("*").alias("n"))
+
+
+def declared_only(artifacts: DataFrame, schema: str) -> DataFrame:
+    """Artifacts (id, json) read by a declared schema and written again: undeclared keys are gone, bad JSON is null."""
+    return artifacts.select("id", F.to_json(F.from_json("json", schema)).alias("json"))

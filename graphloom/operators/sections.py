@@ -221,3 +221,16 @@ def chunks(pages: DataFrame, size: int = 500, overlap: int = 50, count: Callable
             yield pd.DataFrame(rows, columns=["chunk_id", "source", "page", "chunk_index", "content"])
 
     return pages.select("source", F.col("page").cast("long"), "text").mapInPandas(run, "chunk_id string, source string, page long, chunk_index int, content string")
+
+
+def disambiguated(chapters: DataFrame) -> DataFrame:
+    """(book, chapter_index, slug): slugs of a book's chapters (book, chapter_index, slug) in order, each given out once.
+
+    A number that was given to one may be another's own slug, so a book's chapters are folded in order; they are few.
+    """
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chapter_index")
+        return group.assign(slug=unique_slugs(group.slug.tolist()))
+
+    return chapters.select("book", F.col("chapter_index").cast("long").alias("chapter_index"), "slug").groupBy("book").applyInPandas(fold, "book string, chapter_index long, slug string")

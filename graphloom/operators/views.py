@@ -122,3 +122,34 @@ def merged_ranks(lists: list[DataFrame], limit: int) -> DataFrame:
         every = every.unionByName(other)
     best = every.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return bounded(best, ["query_id"], limit, F.desc("score"), F.col("id"))
+
+
+def partners(pairs: DataFrame) -> DataFrame:
+    """(entity_id, partners, sections): with how many others an entity shares a sentence, and in how many sections, from ordered pairs (section_id, a, b)."""
+    return pairs.groupBy(F.col("a").alias("entity_id")).agg(F.countDistinct("b").alias("partners"), F.countDistinct("section_id").alias("sections"))
+
+
+def highlighted(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) one hop around the ids: edges with either end among them, and all their ends."""
+    at = lambda end: edges.join(ids.select(F.col("id").alias(end)).distinct(), end, "left_semi").select("src", "rel_type", "dst")
+    near = at("src").union(at("dst")).distinct()
+    return near.select(F.explode(F.array("src", "dst")).alias("id")).union(ids.select("id")).distinct(), near
+
+
+def with_invented(overlaid: DataFrame, invented: DataFrame) -> DataFrame:
+    """A tenant's view: shared entities with patches, and what the tenant made up; columns that one lacks are null."""
+    return overlaid.unionByName(invented, allowMissingColumns=True)
+
+
+def mention_uses(scanned: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(entity_id, section_id, occurrences, first, names): a row a mention, with the sorted recorded spellings that the section uses."""
+    known = aliases.select("entity_id", "name").distinct().withColumn("known", F.lit(True))
+    held = scanned.join(known, ["entity_id", "name"], "left")
+    used = F.array_join(F.array_sort(F.collect_set(F.when(F.col("known"), F.col("name")))), ",")
+    return held.groupBy("entity_id", "section_id").agg(F.count("*").alias("occurrences"), F.min("start").alias("first"), used.alias("names"))
+
+
+def recall_by(rr: DataFrame, questions: DataFrame, column: str) -> DataFrame:
+    """(column, questions, hits, mrr): reciprocal ranks (query_id, rr) broken down by what a question (query_id, column) needs."""
+    held = rr.join(questions.select("query_id", column), "query_id")
+    return held.groupBy(column).agg(F.count("*").alias("questions"), F.count(F.when(F.col("rr") > 0, 1)).alias("hits"), F.round(F.avg("rr"), 6).alias("mrr"))

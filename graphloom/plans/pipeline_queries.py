@@ -108,7 +108,7 @@ def node_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ENTITIES_SQL}, pairs AS (SELECT a.id AS a, b.id AS b, a.entity_type AS a_type, b.entity_type AS b_type FROM entities a JOIN entities b ON a.kind = 'customer' AND b.kind = 'supplier' AND a.key = b.key),
-rules(rel_type, dom, ran) AS (VALUES {", ".join("('%s', '%s', '%s')" % (r, *v) for r, v in ontology.ALLOWED.items())}),
+rules(rel_type, dom, ran) AS (VALUES {", ".join("('%s', '%s', '%s')" % (r, *map(" ".join, v)) for r, v in ontology.ALLOWED.items())}),
 o AS (SELECT a, b, rel_type, 'out' AS direction FROM pairs, rules WHERE list_contains(string_split(dom, ' '), a_type) AND list_contains(string_split(ran, ' '), b_type)
 UNION ALL SELECT a, b, rel_type, 'in' FROM pairs, rules WHERE list_contains(string_split(dom, ' '), b_type) AND list_contains(string_split(ran, ' '), a_type)) SELECT * FROM o""")
 def legal_options(spark: SparkSession, sf_dir: str) -> DataFrame:

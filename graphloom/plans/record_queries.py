@@ -486,3 +486,24 @@ def written_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda df, name: df.agg(F.count("*").alias(name))
     read = lambda part: spark.read.option("header", True).csv(f"{folder}/{part}")
     return count(read("nodes"), "nodes").crossJoin(count(read("edges"), "edges")).crossJoin(count(spark.read.json(f"{folder}/log"), "log"))
+
+
+@query("""SELECT 'entity' AS part, 'GHOST' AS kind, count(*) AS n FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 4 = 0 UNION ALL SELECT 'relation', 'LIKES', count(*) FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 3 <> 0""")
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.rejected(_answers(spark, sf_dir), ("NPC", "LOCATION"), ("LOCATED_IN",))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 <> 0 THEN '{"name":"' || o_orderpriority || '","votes":' || o_orderkey % 9 || '}' END AS json FROM orders""")
+def declared_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    given = F.to_json(F.struct(F.col("o_orderpriority").alias("name"), (k % 9).alias("votes"), F.lit("x").alias("unknown")))
+    found = records.declared_only(table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 11 == 0, F.lit(None)).otherwise(given).alias("json")), "name string, votes int")
+    return found
+
+
+@query("""SELECT 'r' || n_regionkey AS book, n_nationkey AS chapter_index, CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 THEN 'part' ELSE 'part-' || row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) END AS slug FROM nation""")
+def unique_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators import sections
+
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("book"), F.col("n_nationkey").alias("chapter_index"), F.lit("part").alias("slug"))
+    return sections.disambiguated(rows)

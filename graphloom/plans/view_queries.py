@@ -152,3 +152,57 @@ def edges_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def placements_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = F.when(F.length("src") % 3 == 0, "structural").when(F.length("src") % 3 == 1, "said so")
     return publish.without_derived_placements(edges(spark, sf_dir).withColumn("evidence", evidence)).groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH names(n) AS (VALUES {", ".join(f"('{n}')" for n in NAMES)}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), m AS (SELECT DISTINCT doc_id, line, lower(n) AS e FROM (SELECT doc_id, line, unnest(string_split_regex(line, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM l) JOIN names ON w = n)
+SELECT x.e AS entity_id, count(DISTINCT y.e) AS partners, count(DISTINCT x.doc_id) AS sections FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.line = y.line AND x.e <> y.e GROUP BY 1""")
+def line_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("section_id"), F.explode(F.split("text", "\n")).alias("line"))
+    words = F.array_intersect(F.array_distinct(F.split("line", r"[^\p{L}\p{N}]+")), F.array(*map(F.lit, NAMES)))
+    held = lines.select("section_id", F.transform(words, lambda w: F.lower(w)).alias("names")).where(F.size("names") > 1)
+    pairs = held.select("section_id", F.explode("names").alias("a"), "names").select("section_id", "a", F.explode("names").alias("b")).where("a <> b")
+    return views.partners(pairs)
+
+
+@query(f"WITH {EDGES_SQL}, e AS (SELECT * FROM edges WHERE rel_type = 'LOCATED_IN' AND (src IN {_IDS} OR dst IN {_IDS})) SELECT 'edge' AS part, count(*) AS n FROM e UNION ALL SELECT 'node', count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e UNION SELECT unnest({list(_IDS)}))")
+def highlighted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, near = views.highlighted(edges(spark, sf_dir, ("LOCATED_IN",)), spark.createDataFrame([(i,) for i in _IDS], "id string"))
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    return count(near, "edge").union(count(nodes, "node"))
+
+
+@query("SELECT 'c' || c_custkey AS id, c_name AS name, CAST(NULL AS VARCHAR) AS note FROM customer UNION ALL SELECT 's' || s_suppkey, s_name, 'invented' FROM supplier")
+def tenant_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"))
+    made = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.lit("invented").alias("note"))
+    return views.with_invented(shared, made)
+
+
+@query(f"WITH {_NAMED} SELECT e AS entity_id, doc_id AS section_id, k AS occurrences, upper(e[1]) || e[2:] AS names FROM m")
+def mention_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aliases = spark.createDataFrame([(n.lower(), n) for n in NAMES], "entity_id string, name string")
+    return views.mention_uses(_scan(spark, sf_dir), aliases).select("entity_id", "section_id", "occurrences", "names")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS q, CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE 1.0 / (o_orderkey % 4) END AS rr, o_orderpriority AS needs FROM orders)
+SELECT needs, count(*) AS questions, count(CASE WHEN rr > 0 THEN 1 END) AS hits, round(avg(CAST(rr AS DOUBLE)), 6) AS mrr FROM r GROUP BY needs""")
+def recall_by_need(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rr = F.when(k % 4 == 0, 0.0).otherwise(1.0 / F.greatest(k % 4, F.lit(1)))
+    orders = table(spark, sf_dir, "orders")
+    return views.recall_by(orders.select(k.alias("query_id"), rr.alias("rr")), orders.select(k.alias("query_id"), F.col("o_orderpriority").alias("needs")), "needs")
+
+
+@query("SELECT 'kb:' || source || '#' || doc_id AS section_id, 'e' || lang || '@kb:' || source || '#' || doc_id AS mention_id FROM documents")
+def minted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.functions import text
+
+    section = text.section_id(F.col("source"), F.col("doc_id"))
+    return table(spark, sf_dir, "documents").select(section.alias("section_id"), text.mention_id(F.concat(F.lit("e"), "lang"), section).alias("mention_id"))
+
+
+@query("SELECT event_id AS id, printf('[%02d:%02d:%02d] ', event_id // 3600, (event_id // 60) % 60, event_id % 60) || event_type || ': ' || props AS line FROM events")
+def diarised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.functions import text
+
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), text.diarised_line(F.col("event_id"), F.col("event_type"), F.col("props")).alias("line"))
