@@ -1,7 +1,7 @@
 """Names in texts and questions: whole-word scan, sentence co-occurrence and counts.
 
 A name matches where no letter or digit stands on either side of it. Curly apostrophes are straight, soft hyphens within the
-text are passed over, and a full stop of a name need not stand in the text ("St Andral's" is "St. Andral's"), though one that
+text are passed over, and a full stop of a name need not stand in the text ("St Osric's" is "St. Osric's"), though one that
 stands in the text has to be the name's. The case of a one-word name counts, that of longer ones does not; a question may
 fold the case of all.
 """

@@ -33,10 +33,10 @@ def found(text, names, fold=False):
 @pytest.mark.parametrize(
     ("text", "names", "fold"),
     [
-        ("the St Andral's Church and St. Andral’s church", ["St. Andral's Church"], False),
+        ("the St Osric's Church and St. Osric’s church", ["St. Osric's Church"], False),
         ("Light and light, Lights _Light_", ["Light"], False),
-        ("who is strahd", ["Strahd"], False), ("who is strahd", ["Strahd"], True),
-        ("Kol­yan­ovich here", ["Kolyanovich"], False),
+        ("who is morwen", ["Morwen"], False), ("who is morwen", ["Morwen"], True),
+        ("Ily­an­ovich here", ["Ilyanovich"], False),
         ("A.B. Cee, AB Cee, A.B Cee", ["A.B. Cee"], False),
         ("Mr. X. and Mr X, Mrs. X", ["Mr. X."], False),
         ("a Str b St. b St", ["St"], False),
@@ -70,9 +70,9 @@ def rows(df, *columns):
 
 
 def test_questions_are_anchored_once_a_name(spark):
-    questions = spark.createDataFrame([(1, "why is St Andral's church unsafe, st. andral's CHURCH?"), (2, "who is strahd"), (3, "Ireena Kolyana and Ireena"), (4, None), (5, "nothing")], "query_id long, text string")
-    names = spark.createDataFrame([("St. Andral's Church",), ("Church",), ("Strahd",), ("Ireena",), ("Ireena Kolyana",), (None,)], "name string")
-    want = [(1, "St. Andral's Church", False), (2, "Strahd", True), (3, "Ireena", False), (3, "Ireena Kolyana", False)]
+    questions = spark.createDataFrame([(1, "why is St Osric's church unsafe, st. osric's CHURCH?"), (2, "who is morwen"), (3, "Tamsin Vole and Tamsin"), (4, None), (5, "nothing")], "query_id long, text string")
+    names = spark.createDataFrame([("St. Osric's Church",), ("Church",), ("Morwen",), ("Tamsin",), ("Tamsin Vole",), (None,)], "name string")
+    want = [(1, "St. Osric's Church", False), (2, "Morwen", True), (3, "Tamsin", False), (3, "Tamsin Vole", False)]
     for most in (100, 2):
         assert rows(mentions.names_in_questions(questions, names, most), "query_id", "surface", "loose") == want
 
@@ -106,7 +106,7 @@ Small.
 Gold.
 ## Events
 Things.
-# St. Andral's Feast
+# St. Osric's Feast
 E9 is no heading.
 ###### E12.  Far Room  
 """
@@ -126,8 +126,8 @@ def test_key_mode_sections(spark):
 
 
 def test_places(spark):
-    titles = spark.createDataFrame([("Chapter 3: The Village of Barovia",), ("Appendix B. ",), ("chapter 12.Amber",), ("Introduction",)], "t string").select(sections.place_of_title(sections.F.col("t")).alias("p"))
-    assert [r.p for r in titles.collect()] == ["The Village of Barovia", None, "Amber", "Introduction"]
+    titles = spark.createDataFrame([("Chapter 3: The Village of Karth",), ("Appendix B. ",), ("chapter 12.Amber",), ("Introduction",)], "t string").select(sections.place_of_title(sections.F.col("t")).alias("p"))
+    assert [r.p for r in titles.collect()] == ["The Village of Karth", None, "Amber", "Introduction"]
     held = spark.createDataFrame([("c", 0, "Town"), ("c", 1, None), ("c", 2, None), ("c", 3, "Hall")], "chapter string, section int, place string")
     links = spark.createDataFrame([("c", 0, -1), ("c", 1, 0), ("c", 2, 1), ("c", 3, 3)], "chapter string, section int, parent int")
     assert rows(sections.ancestor_places(held, links), "section", "place") == [(0, None), (1, "Town"), (2, "Town"), (3, None)]

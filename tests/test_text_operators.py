@@ -109,9 +109,9 @@ def test_resolution(spark):
     assert resolution.clusters(["Kor'anthis", "Kor", "Grog"], 0.85) == [0, 0, 2]
     seen = spark.createDataFrame([(1, "NPC", "Kor", 0.6, "spacy", 9), (1, "NPC", "Kor'anthis", 0.95, "gazetteer", 0), (1, "NPC", "Grog", 0.6, "spacy", 3)], "doc_id long, entity_type string, name string, confidence double, source string, start int")
     assert rows(resolution.resolved(seen), "name", "confidence", "source", "merged") == [("Grog", 0.6, "spacy", 1), ("Kor'anthis", 1.0, "hybrid", 2)]
-    known = spark.createDataFrame([("1", "Ireena", "NPC", ["Ash"]), ("2", "Irena", "NPC", []), ("3", "Ireena", "ITEM", [])], "id string, name string, entity_type string, aliases array<string>")
-    asked = spark.createDataFrame([("Ireena", "NPC"), ("ash", "NPC"), ("Zzz", "NPC")], "name string, entity_type string")
-    assert rows(resolution.linked(asked, known), "name", "id", "score") == [("Ireena", "1", 100.0), ("ash", "1", 95.0)]
+    known = spark.createDataFrame([("1", "Tamsin", "NPC", ["Ash"]), ("2", "Tamsen", "NPC", []), ("3", "Tamsin", "ITEM", [])], "id string, name string, entity_type string, aliases array<string>")
+    asked = spark.createDataFrame([("Tamsin", "NPC"), ("ash", "NPC"), ("Zzz", "NPC")], "name string, entity_type string")
+    assert rows(resolution.linked(asked, known), "name", "id", "score") == [("Tamsin", "1", 100.0), ("ash", "1", 95.0)]
     entries = spark.createDataFrame([("Kor", ["Lady"]), ("Lady", [])], "canonical string, aliases array<string>")
     surfaces = spark.createDataFrame([("Lady",), ("kor",), ("lady",)], "surface string")
     assert rows(resolution.lookup_tiers(surfaces, entries)) == [("Lady", "Lady", 0), ("kor", "Kor", 1), ("lady", "Lady", 1)]
