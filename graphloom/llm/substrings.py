@@ -10,15 +10,16 @@ Three exact savings keep the shuffle below a few times the input:
 * Only minimisers that occur in two documents or more can hold a repeated window, so (minimiser, document) pairs are matched
   first and only super-k-mers of shared minimisers are packed.
 * Minimisers that are frequent in a sample of documents are taken as shared without a match. Their windows travel one by one
-  to a bucket of the window's own hash, so no bucket has to hold a frequent passage's surroundings, and are spread by
-  document over as many salts as their count in the sample asks for. Within a salt the smallest id decides; then the salts'
-  smallest ids, one a salt and window, are compared. The sample only chooses the route; windows of either route are all compared.
+  to a bucket of the window's own hash, so no bucket has to hold a frequent passage's surroundings. Those of the most frequent
+  are also spread by document over as many salts as their count in the sample asks for: within a salt the smallest id decides;
+  then the salts' smallest ids, one a salt and window, are compared. The sample only chooses the route; windows of all routes
+  are compared.
 
 * Later copies of a whole text are known by its MD5: all their windows start in the first copy, so they are left out of the
   search and lose every word (of 13 or more). Only the first id of each text is sent back, however many copies there are.
 
-So a bucket or salt holds at most about FREQUENT of SAMPLE_ROWS documents (a five-hundredth of all), and what is gathered beyond
-that is summed up before it is shuffled.
+So a bucket holds at most about FREQUENT of SAMPLE_ROWS documents (a five-hundredth of all), a window or a salt of it at most about
+SPREAD (a hundredth), and what is gathered beyond that is summed up before it is shuffled.
 
 Texts are shuffled once, by id (those without an id by a hash of the text), and that exchange serves the search, the packing
 and the removal.
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import durable, hash_sampled, sample_rate, text_of
 
 WINDOW, MER = 13, 4
-SAMPLE_ROWS, FREQUENT = 20_000, 40
+SAMPLE_ROWS, FREQUENT, SPREAD = 20_000, 40, 200
 _LAST = (1 << 63) - 1
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,6 +109,15 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
+def _among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(held):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(held, values)
+    at[at == len(held)] = 0
+    return held[at] == values
+
+
 def _pairs(left_out: frozenset[int] | dict[int, int]):  # noqa: ANN202
     """Rows (key, text, tie) to each document's different minimisers, but for those left out."""
     held = np.array(sorted(left_out), np.int64)
@@ -118,7 +128,7 @@ def _pairs(left_out: frozenset[int] | dict[int, int]):  # noqa: ANN202
                 part = batch.slice(at, 1000)
                 found = [np.unique(minimisers(Words(t))) for t in part.column(1).to_pylist()]
                 minimiser = np.concatenate(found)
-                wanted = ~np.isin(minimiser, held)
+                wanted = ~_among(minimiser, held)
                 key, tie = (np.repeat(part.column(i).to_numpy(), [len(x) for x in found])[wanted] for i in (0, 2))
                 yield pa.RecordBatch.from_arrays([pa.array(minimiser[wanted]), pa.array(key), pa.array(tie)], names=["minimiser", "key", "tie"])
 
@@ -140,14 +150,14 @@ def _packed(frequent: dict[int, int]):  # noqa: ANN202
                     edges = np.append(0, np.flatnonzero(np.diff(found)) + 1)
                     if not len(found):
                         continue
-                    wanted = np.isin(found[edges], shared) | np.isin(found[edges], often)
+                    wanted = np.isin(found[edges], shared) | _among(found[edges], often)
                     starts, stops = edges[wanted], np.append(edges[1:], len(found))[wanted]
                     # What a document repeats travels once, with all its places.
                     places: dict[tuple[int, int, bytes], list[int]] = {}
                     runs = zip(found[starts].tolist(), starts.tolist(), stops.tolist(), words.starts[starts].tolist(), words.ends[stops + WINDOW - 2].tolist())
                     for bucket, a, b, low, high in runs:
                         if bucket in frequent:
-                            salt = 1 + (key ^ tie) % frequent[bucket]
+                            salt = 1 + (key ^ tie) % frequent[bucket] if frequent[bucket] > 1 else 0
                             for i in range(a, b):
                                 window = words.line[words.starts[i] : words.ends[i + WINDOW - 1]]
                                 places.setdefault((xxhash.xxh64_intdigest(window) - (1 << 63), salt, window), []).append(i)
@@ -169,14 +179,14 @@ def frequent_minimisers(docs: DataFrame) -> dict[int, int]:
     rate = sample_rate(docs.count(), SAMPLE_ROWS)
     sampled = hash_sampled(docs, rate, "key").select("key", "text", F.lit(0).alias("tie")).mapInArrow(_pairs(frozenset()), "minimiser long, key long, tie int")
     found = sampled.groupBy("minimiser").count().where(F.col("count") >= FREQUENT)
-    return {r["minimiser"]: -(-r["count"] // FREQUENT) for r in found.collect()}
+    return {r["minimiser"]: -(-r["count"] // SPREAD) for r in found.collect()}
 
 
 def repeated_windows(texts: DataFrame, frequent: dict[int, int]) -> DataFrame:
     """(key, tie, start): the windows whose words also start in a document of a smaller key, from (key, tie, text)."""
-    # One exchange serves the count and what it is joined to.
+    # One exchange serves the count and what it is joined to: both read all of its columns, so that it is the same for both.
     pairs = texts.select("key", "text", "tie").mapInArrow(_pairs(frequent), "minimiser long, key long, tie int").repartition("minimiser")
-    met = pairs.groupBy("minimiser").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("minimiser")
+    met = pairs.groupBy("minimiser").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("tie").alias("tie")).where("low < high and tie >= 0").select("minimiser")
     shared = pairs.join(met, "minimiser").groupBy("key", "tie").agg(F.collect_list("minimiser").alias("shared"))
     rows = _of_text(texts, shared, "left").select("key", "text", "shared", "tie")
     packed = rows.mapInArrow(_packed(frequent), "bucket long, salt int, key long, starts array<int>, words string, tie int")
@@ -184,12 +194,15 @@ def repeated_windows(texts: DataFrame, frequent: dict[int, int]) -> DataFrame:
     spread = packed.repartition("bucket", "salt").withColumn("list", F.split("words", " ")).select(
         "bucket", "salt", "key", "tie", "starts", F.posexplode(windows).alias("place", "window")
     )
-    # A bucket and salt holds a bounded share of the documents; the second window sees one row a salt.
+    # A bucket and salt holds a bounded share of the documents. Of a spread window only the smallest id of each salt is still
+    # open; those meet by bucket and window, a row a salt, while what is decided goes by its own key.
     low = spread.withColumn("low", F.min("key").over(Window.partitionBy("bucket", "salt", "window")))
     open_ = F.col("low") == F.col("key")
-    found = durable(low.where((F.col("low") < F.col("key")) | (open_ & (F.col("salt") > 0))).select("key", "tie", "place", "starts", *(F.when(open_, F.col(c)).alias(c) for c in ("bucket", "window"))))
-    tops = found.where(F.col("bucket").isNotNull()).withColumn("low", F.min("key").over(Window.partitionBy("bucket", "window")))
-    later = found.where(F.col("bucket").isNull()).select("key", "tie", "place", "starts").union(tops.where("low < key").select("key", "tie", "place", "starts"))
+    held = low.where((F.col("low") < F.col("key")) | (open_ & (F.col("salt") > 0))).select(
+        "key", "tie", "place", "starts", F.when(open_, F.col("bucket")).otherwise(F.xxhash64("key", "place")).alias("group"), F.when(open_, F.col("window")).alias("window")
+    )
+    first = F.min("key").over(Window.partitionBy("group", "window"))
+    later = held.withColumn("first", first).where(F.col("window").isNull() | (F.col("first") < F.col("key")))
     return later.select("key", "tie", "place", F.explode("starts").alias("start")).select("key", "tie", (F.col("start") + F.col("place")).alias("start"))
 
 

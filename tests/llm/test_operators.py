@@ -114,8 +114,9 @@ def brute_removal(docs):
 def test_substrings_match_brute_force(corpus, monkeypatch):
     want = brute_removal(texts(corpus))
     assert sum(n for _, n, _ in want.values()) > 300
-    for frequent in (10**9, 1):  # all by packed super-k-mers, all window by window
+    for frequent, spread in ((10**9, 10**9), (1, 10**9), (1, 1)):  # all by packed super-k-mers, all window by window, all spread
         monkeypatch.setattr(substrings, "FREQUENT", frequent)
+        monkeypatch.setattr(substrings, "SPREAD", spread)
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.removal_digests(corpus).collect()}
         assert got == want
 
