@@ -32,7 +32,7 @@ from graphloom.llm.ngrams import counted
 
 ORDERS, BITS, SMOOTH = (3, 4, 5), 18, 20.0
 MOST_TOXIC, MOST_OTHER, STEP, EPOCHS = 3_000, 6_000, 8.0, 8
-THRESHOLD = 0.7
+THRESHOLD, MOST_SENT = 0.7, 500_000
 
 
 @dataclass
@@ -124,7 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = durable(rows)
     size = 1 << BITS
     drawn = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(known, "doc_id").select("label", "text")
+    # Up to a counted number of labels the texts are counted where they lie; beyond it both sides are shuffled by id.
+    held = F.broadcast(known) if total <= MOST_SENT else known
+    texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(held, "doc_id").select("label", "text")
     ratio = log_count_ratios(*_class_counts(texts))
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
