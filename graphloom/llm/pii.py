@@ -114,12 +114,13 @@ _TOKENS = (
 )
 _SPELT = re.compile(r"(?i)(?<=[\w%+-])(?: ?[(\[] ?at ?[)\]] ?| at )(?=\w)")
 _DOTS = re.compile(r"(?i)[\w-]{1,63}+(?: ?(?:\.|[(\[] ?dot ?[)\]]| dot ) ?[\w-]{1,63}+){0,5}")
+_FIRST = re.compile(r"[\w-]{1,63}(?:\.[\w-]{1,63})?")
 _NAME = re.compile(r"[\w.%+-]{1,64}$")
 
 
 def _addresses(text: str) -> Iterator[tuple[int, int]]:
     """About each at sign or spelt "at": the name and the host with its dots, the host's first part only, and up to the blanks."""
-    found = [(m.start(), m.end()) for m in _SPELT.finditer(text)] if "at" in text or "AT" in text or "At" in text else []
+    found = [(m.start(), m.end()) for m in _SPELT.finditer(text)]
     at = text.find("@")
     while at >= 0:
         found.append((at, at + 1))
@@ -129,7 +130,7 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
         host = _DOTS.match(text, high)
         if name and host:
             yield name.start(), host.end()
-            first = re.compile(r"[\w-]{1,63}(?:\.[\w-]{1,63})?").match(text, high)
+            first = _FIRST.match(text, high)
             if first:
                 yield name.start(), first.end()
             left = text[max(0, low - 80) : low]
@@ -137,14 +138,21 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
             yield low - len(left) + max(left.rfind(c) for c in " \n\t") + 1, host.end() + len(re.split(r"[ \n\t]", right, maxsplit=1)[0])
 
 
+_DIGIT = re.compile("[0-9]")
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """(family, start, end) of every generator's matches, each span once."""
-    found = {("address", a, b) for a, b in _addresses(text)}
-    for pattern in _NUMBERS:
-        found.update(("number", *m.span()) for m in pattern.finditer(text))
-    found.update(("secret", *m.span(1)) for m in _NAMED.finditer(text))
-    for pattern in _TOKENS:
-        found.update(("secret", *m.span()) for m in pattern.finditer(text))
+    """(family, start, end) of every generator's matches, each span once. A generator only runs where its letters stand."""
+    lowered = text.lower()
+    found: set[tuple[str, int, int]] = set()
+    if "@" in text or any(x in lowered for x in (" at ", "at)", "at]", "at )", "at ]")):
+        found.update(("address", a, b) for a, b in _addresses(text))
+    if any(x in lowered for x in ("key", "token", "secret", "passw", "pwd")):
+        found.update(("secret", *m.span(1)) for m in _NAMED.finditer(text))
+    if _DIGIT.search(text):
+        for family, patterns in (("number", _NUMBERS), ("secret", _TOKENS)):
+            for pattern in patterns:
+                found.update((family, *m.span()) for m in pattern.finditer(text))
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
