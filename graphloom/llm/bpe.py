@@ -35,7 +35,7 @@ _NONE = 1 << 60
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _byte_letters() -> dict[str, int]:
+def letters_of_bytes() -> dict[str, int]:
     """The printable letter that stands for each byte in the vocabulary file: itself where printable, else from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -47,7 +47,7 @@ class Vocabulary:
 
     def __init__(self, document: str) -> None:
         data = json.loads(document)
-        letters = _byte_letters()
+        letters = letters_of_bytes()
         ids: dict[str, int] = data["model"]["vocab"]
         self.tokens = {i: bytes(letters[c] for c in t) for t, i in ids.items()}
         self.added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}

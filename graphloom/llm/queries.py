@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, chat, ctph, langid, mixing, pii, quality, simhash, substrings, toxicity
+from graphloom.llm import alignment, bpe, chat, ctph, langid, mixing, phrases, pii, quality, simhash, substrings, toxicity, urls
 from graphloom.llm.common import crc_of_id, table
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, bad): pages whose path ends in the number of a labelled document; bad is of low quality or toxic."""
+    named = F.expr("try_cast(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT)")
+    marks = labels.where("quality is not null or toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(
+        F.max(F.coalesce((F.col("quality") == 0), F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad")
+    )
+    return pages.select("url", named.alias("doc")).join(marks, "doc").select("url", "bad")
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    mined = urls.mine(labelled_urls(pages, table(spark, sf_dir, "labels")))
+    return urls.judged(pages, mined).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_ctph, op3_chat, op4_toxicity, op5_bpe, op6_langid, op7_quality, op8_substrings, op9_mixing, op10_simhash)
+    for f in (op1_pii, op2_ctph, op3_chat, op4_toxicity, op5_bpe, op6_langid, op7_quality, op8_substrings, op9_mixing, op10_simhash, op11_urls, op12_phrases, op13_alignment)
 }
