@@ -1,10 +1,10 @@
 """DuckDB SQL for the rows of the queries that SQL can express.
 
-The others have none: trained models (1, 4, 6), rolling hashes over bytes (2), byte-pair merges (5) and XXH64 (10) are held
+The others have none: trained models (1, 4, 6), rolling hashes over bytes (2), byte-pair merges (5, 13) and XXH64 (10) are held
 against brute force, an exact round trip or held-out accuracy in the tests.
 """
 
-from graphloom.llm import mixing, quality
+from graphloom.llm import mixing, phrases, quality, urls
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORDS = rf"list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '')"
@@ -66,3 +66,48 @@ FROM (SELECT *, unnest(generate_series(0, k)) AS j FROM q) GROUP BY stratum, rul
 v AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM u WHERE chance <= {quality.DELTA!r} / tests AND bad > k GROUP BY stratum, rule),
 z AS (SELECT DISTINCT g.doc_id FROM grid g JOIN v ON g.stratum = v.stratum AND g.rule = v.rule AND g.cutoff = v.cutoff WHERE g.rate > v.cutoff)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND z.doc_id IS NULL AS kept FROM m LEFT JOIN z ON z.doc_id = m.doc_id"""
+
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_HOST = rf"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_FOLD})"
+_REST = rf"regexp_replace(translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(.*)$', 1), {_FOLD}), '[0-9]+', '0', 'g')"
+_CUT = "list_transform(list_filter({}, lambda w: w <> ''), lambda w: '{}' || w)"
+_TOKENS = f"list_distinct(list_concat({_CUT.format(f"string_split({_HOST}, '.')", 'h:')}, {_CUT.format(f"string_split_regex({_REST}, '[/.?&=#]+')", 't:')}))"
+_FITS = [
+    f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN '{rule}'"
+    for rule, _ in sorted(urls.RULES, key=lambda r: (-len(r[0]), r[0]))
+    for name, _, rest in [rule.partition("/")]
+]
+# All combinations of a bad URL's rarest frequent tokens are counted, which are those that FP-growth finds; rules that hold smaller
+# ones change no verdict and stay.
+ORACLES["op11_urls"] = rf"""WITH p AS (SELECT page_id, url, {_HOST} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, {_TOKENS} AS tokens FROM pages),
+r AS (SELECT *, CASE {' '.join(_FITS)} END AS rule FROM p),
+m AS (SELECT doc_id, max(coalesce(quality = 0, FALSE) OR coalesce(toxic = 1, FALSE)) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+k AS (SELECT url, any_value(tokens) AS tokens, CAST(max(bad) AS INTEGER) AS bad FROM p JOIN m ON m.doc_id = try_cast(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) WHERE len(tokens) > 0 GROUP BY url),
+n AS (SELECT greatest({urls.LEAST_COUNT}, ceil(count(*) * {urls.LEAST_SHARE})) AS least FROM k),
+t AS (SELECT url, unnest(tokens) AS token FROM k WHERE bad = 1),
+f AS (SELECT token, count(*) AS n FROM t GROUP BY token HAVING count(*) >= (SELECT least FROM n)),
+o AS (SELECT url, token, row_number() OVER (PARTITION BY url ORDER BY f.n, token) AS nth FROM t JOIN f USING (token)),
+b AS (SELECT url, list_sort(list(token)) AS items FROM o WHERE nth <= {urls.MOST_ITEMS} GROUP BY url),
+x AS (SELECT url, items, unnest(generate_series(1, (1 << len(items)) - 1)) AS mask FROM b),
+c AS (SELECT list_filter(items, lambda w, i: (mask >> (i - 1)) & 1 = 1) AS items FROM x UNION ALL SELECT [token] FROM f),
+s AS (SELECT items FROM c GROUP BY items HAVING count(*) >= (SELECT least FROM n) OR len(items) = 1),
+g AS (SELECT s.items FROM s JOIN k ON list_has_all(k.tokens, s.items) GROUP BY s.items HAVING sum(bad) >= (SELECT least FROM n) AND sum(bad) * 100 >= count(*) * {urls.CONFIDENCE}),
+h AS (SELECT DISTINCT url FROM r WHERE rule IS NULL AND EXISTS (SELECT 1 FROM g WHERE list_has_all(r.tokens, g.items)))
+SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{a}' THEN '{v}'" for a, v in urls.RULES)} WHEN h.url IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM r LEFT JOIN h ON h.url = r.url AND r.rule IS NULL"""
+
+_GRAMS = " UNION ALL ".join(f"SELECT lang, w[i : i + {m - 1}] AS p FROM (SELECT lang, w, unnest(generate_series(1, len(w) - {m - 1})) AS i FROM w WHERE len(w) >= {m})" for m in range(1, phrases.LONGEST + 1))
+_INNER = " UNION ALL ".join(
+    f"SELECT lang, p[{i} : {i + j - 1}] AS p, a FROM f WHERE len(p) = {m}" for m in range(3, phrases.LONGEST + 1) for j in range(2, m) for i in range(1, m - j + 2)
+)
+ORACLES["op12_phrases"] = rf"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_FOLD}), '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS w FROM d),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, p, count(*) AS a FROM ({_GRAMS}) GROUP BY lang, p HAVING count(*) >= {phrases.LEAST}),
+k AS (SELECT lang, p, a, unnest(generate_series(1, len(p) - 1)) AS k FROM f WHERE len(p) > 1),
+s AS (SELECT k.lang, k.p, k.a, x.a AS l, y.a AS r, CAST((2000000 * CAST(k.a AS HUGEINT)) // (x.a + y.a) AS BIGINT) AS score, k.k FROM k JOIN f x ON x.lang = k.lang AND x.p = k.p[1 : k.k] JOIN f y ON y.lang = k.lang AND y.p = k.p[k.k + 1 :]),
+c AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS nth FROM s),
+i AS (SELECT lang, p, max(a) AS cover FROM ({_INNER}) GROUP BY lang, p),
+o AS (SELECT c.lang, array_to_string(c.p, ' ') AS phrase, a, l, r, score FROM c LEFT JOIN i ON i.lang = c.lang AND i.p = c.p WHERE nth = 1 AND (cover IS NULL OR 100 * cover < {phrases.SHARE} * a)),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= {phrases.MOST_RANK}"""

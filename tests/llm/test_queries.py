@@ -20,7 +20,7 @@ from .test_operators import brute_components, brute_measures, brute_simhash
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(MIDDLE), reason="no test tables")
-TABLES = ("documents", "labels", "conversations")
+TABLES = ("documents", "labels", "conversations", "pages")
 LABELS, TURNS = "doc_id long, quality int, toxic int, score double", "conv_id long, turn long, role string, text string, key string, m string"
 
 
@@ -47,7 +47,7 @@ def rows_of(df, columns):
 
 def answer(folder, sql, columns):
     con = duckdb.connect()
-    for t in TABLES:
+    for t in (t for t in TABLES if os.path.exists(f"{folder}/{t}.parquet")):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet{'' if os.path.isfile(f'{folder}/{t}.parquet') else '/*.parquet'}'")
     found = con.sql(sql)
     at = [[d[0] for d in found.description].index(c) for c in columns]
@@ -68,7 +68,7 @@ def test_chat_and_mixing_of_odd_tables_against_their_sql(spark, strange):
         assert rows_of(found, columns) == answer(strange, ORACLES[name], columns)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n != "op3_chat"))
+@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n not in ("op3_chat", "op11_urls", "op12_phrases")))  # a row a document; the others read no documents or give phrases
 def test_query_of_odd_tables(spark, strange, name):
     docs = spark.read.parquet(f"{strange}/documents.parquet")
     found = queries.QUERIES[name](spark, strange).collect()
