@@ -37,7 +37,8 @@ from graphloom.llm.bpe import letters_of_bytes
 from graphloom.llm.common import shared_folder
 
 #: Characters of the texts that are laid out at once, words and characters that a worker remembers, and counts that are sent.
-MOST_CHARS, REMEMBERED, MOST_REMEMBERED_CHARS, MOST_SENT = 4_000_000, 400_000, 16_000_000, 1_000_000
+MOST_CHARS, REMEMBERED, MOST_REMEMBERED_CHARS, MOST_SENT = 1_000_000, 200_000, 4_000_000, 1_000_000
+_AT_ONCE = 5_000
 _SPACE = "▁"
 #: Where a word may not stand alone: white space beside a space, at the start or, a space, at the end; the pieces' own space.
 _WHOLE = re.compile(rf"^\s| \s| $|{_SPACE}").search
@@ -145,15 +146,15 @@ class Aligner:
 
     def _learn(self) -> None:
         fresh = self.numbers.fresh
-        if not fresh:
-            return
-        a = [e.ids for e in self.a_coder.encode_batch_fast([" " + w for w in fresh], add_special_tokens=False)]
-        b = self.b_coder.encode(fresh, num_threads=1)
-        same = [self.a.spelt(x) == self.b.spelt(y) == b" " + w.encode() for w, x, y in zip(fresh, a, b)]
-        self.a.add(a)
-        self.b.add(b)
-        self.good = np.append(self.good, np.array(same, bool))
-        self.chars += sum(map(len, fresh))
+        for low in range(0, len(fresh), _AT_ONCE):
+            words = fresh[low : low + _AT_ONCE]
+            a = [e.ids for e in self.a_coder.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+            b = self.b_coder.encode(words, num_threads=1)
+            same = [self.a.spelt(x) == self.b.spelt(y) == b" " + w.encode() for w, x, y in zip(words, a, b)]
+            self.a.add(a)
+            self.b.add(b)
+            self.good = np.append(self.good, np.array(same, bool))
+            self.chars += sum(map(len, words))
         fresh.clear()
 
     def align(self, texts: list[str | None]) -> Aligned:
