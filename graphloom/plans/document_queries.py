@@ -49,6 +49,38 @@ def widest_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.widest_sentence(_scan(spark, sf_dir))
 
 
+_WORDS_SQL = r"""gazetteer AS (SELECT DISTINCT w AS name FROM (SELECT unnest(regexp_extract_all(text, '\p{L}{4,}')) AS w FROM benchmark) UNION SELECT s_name FROM supplier UNION SELECT c_name FROM customer)"""
+
+
+def _gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_id, name): every word of four letters or more of the passages, and the names of suppliers and customers."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{4,}"), 0)).alias("name"))
+    named = words.union(table(spark, sf_dir, "supplier").select("s_name")).union(table(spark, sf_dir, "customer").select("c_name"))
+    return named.distinct().select(F.col("name").alias("entity_id"), "name")
+
+
+@query(f"WITH {_WORDS_SQL}, {_TOKENS_SQL} SELECT name AS entity_id, count(DISTINCT doc_id) AS sections, count(*) AS occurrences FROM tokens JOIN gazetteer ON w = name GROUP BY name")
+def gazetteer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of a gazetteer that the tables give: thousands of names."""
+    return mentions.mention_counts(mentions.scan(_sections(spark, sf_dir), _gazetteer(spark, sf_dir)))
+
+
+@query(f"WITH {_WORDS_SQL}, {_TOKENS_SQL} SELECT name AS entity_id, count(DISTINCT doc_id) AS sections, count(*) AS occurrences FROM tokens JOIN gazetteer ON w = name GROUP BY name")
+def gazetteer_counts_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without an automaton of all names: each text meets the names whose rarest word it holds."""
+    return mentions.mention_counts(mentions.scan(_sections(spark, sf_dir), _gazetteer(spark, sf_dir), most=0))
+
+
+@query()
+def gazetteer_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.together(mentions.same_sentence(mentions.scan(_sections(spark, sf_dir), _gazetteer(spark, sf_dir))))
+
+
+@query()
+def sentence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.sentence_table(_sections(spark, sf_dir))
+
+
 _LINES_SQL = r"""lines AS (SELECT doc_id, i, t.line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), LATERAL (SELECT unnest(a) AS line, generate_subscripts(a, 1) AS i) t)"""
 
 
