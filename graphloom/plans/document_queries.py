@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import fuzzy, text
-from graphloom.operators import mentions, retrieval, vector
+from graphloom.operators import mentions, retrieval, vector, vector_index
 from graphloom.operators.plan import durable, small
 from graphloom.plans.fixtures import table
 from graphloom.plans.registry import query
@@ -187,6 +187,39 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.nearest(asked, rows.where(F.col("label") % 2 == 0), 5).select("query_id", "id", "rank")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+_EXACT_SQL = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(e, CAST(embedding AS DOUBLE[])), 6) AS score FROM q CROSS JOIN embeddings),
+x AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10)"""
+
+
+@query(f"WITH {_EXACT_SQL} SELECT query_id, id, rank FROM x")
+def indexed_neighbors_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours by the index, with the round that searches every list that could still hold a better one."""
+    rows = _vectors(spark, sf_dir)
+    return vector_index.search(rows.where(F.col("id") % 50 == 0), vector_index.build(rows), 10, exact=True).select("query_id", "id", "rank")
+
+
+@query()
+def indexed_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours from each query's nearest lists only; ``indexed_recall`` holds them against the exact ones."""
+    rows = _vectors(spark, sf_dir)
+    return vector_index.search(rows.where(F.col("id") % 50 == 0), vector_index.build(rows), 10).select("query_id", "id", "score", "rank")
+
+
+@query()
+def indexed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(wanted, found, recall): how many of the exact ten neighbours of every fiftieth row its nearest lists hold."""
+    rows = _vectors(spark, sf_dir)
+    asked = rows.where(F.col("id") % 50 == 0)
+    found = vector_index.search(asked, vector_index.build(rows), 10).select("query_id", "id", F.lit(1).alias("hit"))
+    wanted = vector.nearest(asked, rows, 10).select("query_id", "id").join(found, ["query_id", "id"], "left")
+    return wanted.agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
 @query("""SELECT doc_id, digest FROM (SELECT doc_id, sha256(text) AS digest, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS nth FROM documents) WHERE nth = 1""")
 def page_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
