@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import fuzzy
+from graphloom.operators.fuzzy_join import alike
 from graphloom.operators.graph import first_by
 
 
@@ -85,15 +86,13 @@ def resolved(entities: DataFrame, least: float = 0.85) -> DataFrame:
 def linked(found: DataFrame, known: DataFrame, least: float = 85.0) -> DataFrame:
     """(name, entity_type, id, score): the known entity (id, name, entity_type, aliases) of one type most like each name.
 
-    Different names are scored once, whatever number of rows hold them, and only against lengths that can reach the score:
-    a ratio of ``least`` needs lengths within that share of their sum. An alias that is equal scores 95.
+    Different names are scored once, whatever number of rows hold them, and only against those that share their rarest grams. An
+    alias that is equal scores 95.
     """
     asked = found.select("name", "entity_type").distinct()
-    size = F.length("name")
-    low, high = F.ceil(size * least / (200 - least)).cast("int"), F.floor(size * (200 - least) / least).cast("int")
-    spread = asked.where(size > 0).select("name", "entity_type", F.explode(F.sequence(low, high)).alias("size"))
-    sized = known.select("id", F.col("name").alias("known"), "entity_type", F.length("name").alias("size"))
-    scored = spread.join(sized, ["entity_type", "size"]).select("name", "entity_type", "id", fuzzy.ratio_of(F.lower("name"), F.lower("known")).alias("score"))
+    folded = lambda df: df.select(F.lower("name").alias("name"), "entity_type")
+    near = alike(folded(asked.where(F.length("name") > 0)), folded(known), least, "entity_type").withColumnsRenamed({"name": "low", "known": "other"})
+    scored = asked.withColumn("low", F.lower("name")).join(near, ["entity_type", "low"]).join(known.select("id", "entity_type", F.lower("name").alias("other")), ["entity_type", "other"]).select("name", "entity_type", "id", "score")
     alias = known.select("id", "entity_type", F.explode("aliases").alias("a")).join(asked, "entity_type").where(F.lower("a") == F.lower("name")).select("name", "entity_type", "id", F.lit(95.0).alias("score"))
     return first_by(scored.unionByName(alias).where(F.col("score") >= least), ["name", "entity_type"], F.desc("score"), "id")
 

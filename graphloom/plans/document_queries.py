@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import fuzzy, text
+from graphloom.functions import text
 from graphloom.operators import mentions, retrieval, vector, vector_index
+from graphloom.operators.fuzzy_join import alike
 from graphloom.operators.plan import durable, small
 from graphloom.plans.fixtures import table
 from graphloom.plans.registry import query
@@ -245,12 +246,12 @@ def rerank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names against supplier-like spellings that differ by a letter: the best of each block of names with one first word."""
+    """Part names with their last letter changed, every fiftieth, against all part names: the best of each."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"))
     asked = parts.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat(F.expr("substring(name, 1, length(name) - 1)"), F.lit("x")).alias("spelling"))
-    word = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
-    scored = asked.join(parts, word("spelling") == word("name")).withColumn("score", F.round(fuzzy.ratio_of("spelling", "name"), 4))
-    return retrieval.top(scored.where("score >= 85"), ["query_id"], 1, F.desc("score"), F.col("id")).select("query_id", "id", "score")
+    near = alike(asked.select(F.col("spelling").alias("name")), parts, 85.0).withColumnRenamed("name", "spelling")
+    scored = asked.join(near, "spelling").join(parts, parts.name == near.known).withColumn("score", F.round("score", 4))
+    return retrieval.top(scored, ["query_id"], 1, F.desc("score"), F.col("id")).select("query_id", "id", "score")
 
 
 @query("""WITH r AS (SELECT conv_id, turn, role, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS cut, text FROM conversations),
