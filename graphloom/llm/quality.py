@@ -11,7 +11,7 @@ fixed sequence from the most lenient cutoff to stricter ones within each. The st
 rejects more labelled bad than good documents. A stratum with too few labels for a guarantee gets no cutoff.
 
 Edge cases: a null text has no words and fails the base rule. A null language is the stratum ``und``. Documents without a
-label are judged but do not count in thresholds; labels that repeat count as often as they occur; null labels are left out.
+label are judged but do not count in thresholds; a document has one label, good only if all of its labels are, and copies of a text are one trial; null labels are left out.
 Rows that repeat an id are judged each on its own text. No labels: the base rule alone decides. Columns that are called like
 a measure are no matter: measures live in one struct with a reserved name. Empty tables give empty results.
 """
@@ -127,9 +127,9 @@ def _stratum() -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, stratum, m): the counts of each document, without its text."""
+    """(doc_id, stratum, mark, m): the counts of each document, without its text, and a hash of it that tells copies."""
     return docs.select(F.col("doc_id").cast("long"), _stratum().alias("stratum"), text_of().alias("__text")).select(
-        "doc_id", "stratum", measures(F.col("__text")).alias("m")
+        "doc_id", "stratum", F.md5("__text").alias("mark"), measures(F.col("__text")).alias("m")
     )
 
 
@@ -147,10 +147,15 @@ def _chance(n: Column, k: Column, rate: Column) -> Column:
 
 
 def thresholds(found: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff, n, k, chance): the cutoffs that the labelled holdout allows, from ``measured`` and labels."""
+    """(stratum, rule, cutoff, n, k, chance): the cutoffs that the labelled holdout allows, from ``measured`` and labels.
+
+    The bound is of independent trials, so a document has one label (good only if all of its labels are) and a text of a stratum is
+    one trial, however many documents are copies of it (good only if all of them are).
+    """
     rates = _rates(F.col("m"))
-    labelled = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long"), (F.col("quality") == 1).alias("good"))
-    rows = found.where(~base_failed(F.col("m"))).join(labelled, "doc_id").select("stratum", "good", *(v.alias(k) for k, v in rates.items()))
+    labelled = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality") == 1).alias("good"))
+    held = found.where(~base_failed(F.col("m"))).join(labelled, "doc_id").select("stratum", "mark", "good", *(v.alias(k) for k, v in rates.items()))
+    rows = held.groupBy("stratum", "mark").agg(F.min("good").alias("good"), *(F.max(k).alias(k) for k in rates)).drop("mark")
     grid = [(rule, cut) for rule, cuts in RULES.items() for cut in cuts]
     # One row a stratum: the whole grid is counted in one pass, summed up before the shuffle.
     count = lambda which, rule, cut: F.count(F.when(which & (F.col(rule) > cut), 1))
@@ -198,6 +203,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     given = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _stratum().alias("stratum"), text_of().alias("text"))
-    found = durable(given.select("row", "doc_id", "stratum", measures(F.col("text")).alias("m")))
-    chosen = thresholds(found.select("doc_id", "stratum", "m"), labels).collect()
+    found = durable(given.select("row", "doc_id", "stratum", F.md5("text").alias("mark"), measures(F.col("text")).alias("m")))
+    chosen = thresholds(found.select("doc_id", "stratum", "mark", "m"), labels).collect()
     return found.where(~base_failed(F.col("m")) & ~_rejected(F.col("stratum"), F.col("m"), chosen)).select("row.*")

@@ -47,19 +47,21 @@ _RATES = {
     "long_words": "word_chars / n_words",
     "short_words": "-(word_chars / n_words)",
 }
-_GRID = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, {_RATES[r]} AS rate, {c!r} AS cutoff FROM m" for r, cuts in quality.RULES.items() for c in cuts)
+_GRID = " UNION ALL ".join(f"SELECT doc_id, stratum, mark, base_failed, '{r}' AS rule, {_RATES[r]} AS rate, {c!r} AS cutoff FROM m" for r, cuts in quality.RULES.items() for c in cuts)
 _ALPHA = quality.ALPHA / len(quality.RULES)
 ORACLES["op7_quality"] = f"""WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
 p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5),
 s AS (SELECT doc_id, i, list_aggregate(list_slice(w, i, i + 4), 'string_agg', ' ') AS s FROM p),
 t AS (SELECT doc_id, s FROM s GROUP BY doc_id, s HAVING count(*) > 1),
 g AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT s.doc_id, unnest(generate_series(i, i + 4)) AS k FROM s JOIN t ON s.doc_id = t.doc_id AND s.s = t.s) GROUP BY doc_id),
-b AS (SELECT d.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(length(list_aggregate(w, 'string_agg', '')), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+b AS (SELECT d.doc_id, stratum, md5(text) AS mark, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(length(list_aggregate(w, 'string_agg', '')), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
 CAST(len(regexp_extract_all(text, '!')) AS BIGINT) AS n_ex, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN g ON g.doc_id = d.doc_id),
 m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
 grid AS ({_GRID}),
-c AS (SELECT stratum, rule, cutoff, count(CASE WHEN quality = 1 THEN 1 END) AS n, count(CASE WHEN quality = 1 AND rate > cutoff THEN 1 END) AS k, count(CASE WHEN quality <> 1 AND rate > cutoff THEN 1 END) AS bad
-FROM grid JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND NOT base_failed GROUP BY stratum, rule, cutoff),
+e AS (SELECT doc_id, bool_and(quality = 1) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+a AS (SELECT stratum, rule, cutoff, mark, any_value(rate) AS rate, bool_and(good) AS good FROM grid JOIN e USING (doc_id) WHERE NOT base_failed GROUP BY stratum, rule, cutoff, mark),
+c AS (SELECT stratum, rule, cutoff, count(CASE WHEN good THEN 1 END) AS n, count(CASE WHEN good AND rate > cutoff THEN 1 END) AS k, count(CASE WHEN NOT good AND rate > cutoff THEN 1 END) AS bad
+FROM a GROUP BY stratum, rule, cutoff),
 q AS (SELECT *, (SELECT count(DISTINCT stratum) FROM c) * {len(quality.RULES)} AS tests FROM c WHERE n > 0 AND k <= n * {_ALPHA!r}),
 u AS (SELECT stratum, rule, cutoff, any_value(bad) AS bad, any_value(k) AS k, any_value(tests) AS tests, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_ALPHA!r}) + (n - j) * ln(1 - {_ALPHA!r}))) AS chance
 FROM (SELECT *, unnest(generate_series(0, k)) AS j FROM q) GROUP BY stratum, rule, cutoff),
@@ -100,7 +102,8 @@ _INNER = " UNION ALL ".join(
     f"SELECT lang, p[{i} : {i + j - 1}] AS p, a FROM f WHERE len(p) = {m}" for m in range(3, phrases.LONGEST + 1) for j in range(2, m) for i in range(1, m - j + 2)
 )
 ORACLES["op12_phrases"] = rf"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_FOLD}), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 w AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS w FROM d),
 n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
 f AS (SELECT lang, p, count(*) AS a FROM ({_GRAMS}) GROUP BY lang, p HAVING count(*) >= {phrases.LEAST}),
