@@ -15,6 +15,8 @@ Three exact savings keep the shuffle below a few times the input:
   then the salts' smallest ids, one a salt and window, are compared. The sample only chooses the route; windows of all routes
   are compared.
 
+* A super-k-mer holds at most MOST_WINDOWS windows, and equal ones of a document travel once with all their places, so a text that
+  repeats one word without end costs what a short one does but for its places.
 * Later copies of a whole text are known by its MD5: all their windows start in the first copy, so they are left out of the
   search and lose every word (of 13 or more). Only the first id of each text is sent back, however many copies there are.
 
@@ -43,6 +45,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import durable, hash_sampled, sample_rate, text_of
 
 WINDOW, MER = 13, 4
+#: Windows of a packed super-k-mer at most; a run of one word is one minimiser over any length, and is cut into equal pieces.
+MOST_WINDOWS = 64
 SAMPLE_ROWS, FREQUENT, SPREAD = 20_000, 40, 200
 _LAST = (1 << 63) - 1
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -154,6 +158,11 @@ def _packed(frequent: dict[int, int]):  # noqa: ANN202
                     starts, stops = edges[wanted], np.append(edges[1:], len(found))[wanted]
                     # What a document repeats travels once, with all its places.
                     places: dict[tuple[int, int, bytes], list[int]] = {}
+                    if len(starts) and (stops - starts).max() > MOST_WINDOWS:
+                        pieces = -(-(stops - starts) // MOST_WINDOWS)
+                        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                        starts, stops = np.repeat(starts, pieces) + nth * MOST_WINDOWS, np.repeat(stops, pieces)
+                        stops = np.minimum(starts + MOST_WINDOWS, stops)
                     runs = zip(found[starts].tolist(), starts.tolist(), stops.tolist(), words.starts[starts].tolist(), words.ends[stops + WINDOW - 2].tolist())
                     for bucket, a, b, low, high in runs:
                         if bucket in frequent:
