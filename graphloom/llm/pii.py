@@ -101,41 +101,51 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 FAMILIES = ("address", "number", "secret")
-_NAMED = re.compile(r"(?i)(?:\b|(?<=_))(?:api[_-]?key|token|secret|passw(?:or)?d|pwd|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{8,}+)")
+_NAMED = re.compile(r"(?i)(?:\b|(?<=_))(?:api[_-]?key|token|secret|passw(?:or)?d|pwd|access[_-]?key)[\"']?(?:\s{0,3}[=:]|\s{1,3}is\b:?)\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{6,}+)")
 #: Generators of numbers and of tokens that no name announces; bounded repeats and possessive runs keep them linear.
 _NUMBERS = (
     re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,24}"),
     re.compile(r"[+(]?[0-9](?:[ ().:/,-]{0,2}[0-9]){6,}+"),
     re.compile(r"[0-9]{1,3}(?: ?[.:] ?[0-9]{1,3}){3}"),
+    re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{2}([:-])[0-9A-Fa-f]{2}(?:\1[0-9A-Fa-f]{2}){4}(?![0-9A-Fa-f])"),
 )
 _TOKENS = (
     re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"),
     re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*+[0-9])[A-Za-z0-9+/_.=-]{12,}+"),
 )
 _SPELT = re.compile(r"(?i)(?<=[\w%+-])(?: ?[(\[] ?at ?[)\]] ?| at )(?=\w)")
-_DOTS = re.compile(r"(?i)[\w-]{1,63}+(?: ?(?:\.|[(\[] ?dot ?[)\]]| dot ) ?[\w-]{1,63}+){0,5}")
-_FIRST = re.compile(r"[\w-]{1,63}(?:\.[\w-]{1,63})?")
-_NAME = re.compile(r"[\w.%+-]{1,64}$")
+_DOTS = re.compile(r"(?i)[\w-]++(?: ?(?:\.|[(\[] ?dot ?[)\]]| dot ) ?[\w-]++)*+")
+_FIRST = re.compile(r"[\w-]++(?:\.[\w-]++)?")
+_NAME = re.compile(r"[\w.%+-]++")
+_BLANK = re.compile(r"[ \n\t]")
+#: A stretch between blanks is proposed up to this length; longer ones would be read again for each of their at signs.
+STRETCH = 512
 
 
 def _addresses(text: str) -> Iterator[tuple[int, int]]:
-    """About each at sign or spelt "at": the name and the host with its dots, the host's first part only, and up to the blanks."""
+    """About each at sign or spelt "at": the name and the host with its dots, the host's first part only, and up to the blanks.
+
+    Names and hosts are runs of any length: all runs are found once, and each sign takes the one that ends where it begins.
+    """
     found = [(m.start(), m.end()) for m in _SPELT.finditer(text)]
     at = text.find("@")
     while at >= 0:
         found.append((at, at + 1))
         at = text.find("@", at + 1)
+    names = {m.end(): m.start() for m in _NAME.finditer(text)}
+    blanks = [m.start() for m in _BLANK.finditer(text)]
     for low, high in found:
-        name = _NAME.search(text, max(0, low - 64), low)
+        name = names.get(low)
         host = _DOTS.match(text, high)
-        if name and host:
-            yield name.start(), host.end()
+        if name is not None and host:
+            yield name, host.end()
             first = _FIRST.match(text, high)
             if first:
-                yield name.start(), first.end()
-            left = text[max(0, low - 80) : low]
-            right = text[host.end() : host.end() + 80]
-            yield low - len(left) + max(left.rfind(c) for c in " \n\t") + 1, host.end() + len(re.split(r"[ \n\t]", right, maxsplit=1)[0])
+                yield name, first.end()
+            before, after = bisect.bisect_left(blanks, low), bisect.bisect_left(blanks, host.end())
+            left, right = blanks[before - 1] + 1 if before else 0, blanks[after] if after < len(blanks) else len(text)
+            if right - left <= STRETCH:
+                yield left, right
 
 
 _DIGIT = re.compile("[0-9]")
@@ -187,14 +197,17 @@ POSITIVES = {
     "address": (
         "{<w>.<w>@<w>.com}", "mail {<w><d2>@<w>.example.org}.", "<{<w>_<w>@<w>.net}>", "mailto:{<w>@<w>-<w>.de}", "({<w>@mail.<w>.co.uk})", "{<w>@<w>.io},",
         "{<w> (at) <w>.com}", "{<w>.<w> [at] <w>.org}", "{<w>(at)<w>(dot)com}", "{<w> [at] <w> [dot] net}", "contact {<w> at <w> dot com}", "write to {<w>.<w> at <w> dot org}.",
+        "{<b60><b30> (at) <w>.com}", "{<w>@<w>.<w>.<w>.<w>.<w>.<w>.org}", "{<w><b70>@<w>.net}",
     ),
     "number": (
         "{+<d2> <d3> <d3> <d4>}", "tel {<d3>-<d3>-<d4>}", "call ({<d3>) <d3>-<d4>}", "{(<d3>) <d3>-<d4>}", "phone: {<d3>.<d3>.<d4>}", "{<d3>-<d3>-<d4>},", "fax 00{<d2> <d2> <d7>}", "mobile {0<d3> <d6>}",
         "{<card>}", "card {<card4>}", "visa {<card4>}.", "ssn {<d3>-<d2>-<d4>}", "{<d3>-<d2>-<d4>}", "ip {<i>.<i>.<i>.<i>}", "server {<i>.<i>.<i>.<i>}:8080", "{<i> . <i> . <i> . <i>}",
+        "mac {<x2>:<x2>:<x2>:<x2>:<x2>:<x2>}", "{<x2>-<x2>-<x2>-<x2>-<x2>-<x2>},",
     ),
     "secret": (
         'token = "{<x40>}"', "password={<x18>}", "api_key: {<b32>}", "{AKIA<u16>}", "key {AKIA<u16>}.", "AWS_SECRET_ACCESS_KEY={<b40>}", "Authorization: Bearer {<b36>}", "{ghp_<b36>}", "{sk-<b48>}", "secret: '{<b24>}'",
         "access_token={eyJ<b20>.eyJ<b60>.<b43>}", "pwd: {<b12>}", 'auth_token = "{<x32>}"', "db_password = {<b16>}", "client_secret={<b240>}", "passwd={<w><d4>}", "token: {<x64>}", "{xoxb-<d12>-<b24>}",
+        "token = {<b240>}", "auth_token: {<b160>}", "password is {<w><d3><b4>}", "pwd={<w><d4>}", "the secret is: {<b16>}", "the token is {<x24>}",
     ),
 }
 NEGATIVES = {
@@ -211,6 +224,7 @@ NEGATIVES = {
         "id <x8>-<x4>-<x4>-<x4>-<x12>", "commit <x40>", "sha256: <x64>", "md5 <x32>", "checksum <x32>", "file <w>_<w>_<d8>.txt", "/<w>/<w>/<w>-<d4>/<w>", "https://<w>.com/<w>/<w>-<w>-<d5>.html", "<w>-<w>-<d2>-<w>-<w>",
         "<w><w><w><w><d1>", "doi 10.<d4>/<w>.<y>.<d6>", "<y>-<m>-<m>T<h>:<h>:<h>", "<d20>", "<w>_<w>_<w>_v<d1>", "img-<d4>-<d2>-<d2>-<w>", "version-<d1>.<d2>.<d3>-<w>", "token = <w>_<w>_value", "password: <w><w>", "secret = <w>-<w>",
         "<W><W><W><d2>", "<w>+<w>+<d4>=<w>", "item-<d4>-<d4>-<d4>", "(<w>/<w>/<d4>)", "<u5>-<u4>-<d8>", "tokens <w>_<w>_<d6>", "<w>.<w>.<w>.<d4>.<w>", "<x8><w>-<w>-<w>",
+        "the password is <w><w>", "the secret is <w><w>", "pwd=<w><w>", "the token is <w>-<w><w>", "a key is <w><w>",
     ),
 }
 _FIELD = re.compile(r"<([a-zA-Z]+)([0-9]*)>")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from graphloom.llm import bpe, chat, ctph, langid, mixing, pii, quality, simhash, substrings, toxicity
 
+from .conftest import SCHEMA, prose, row
+
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -136,3 +138,22 @@ def test_substrings_of_ids_with_several_texts(spark):
     docs = spark.createDataFrame([row(1, prose(1, 30)), row(2, prose(1, 30)), row(2, prose(2, 30)), row(3, prose(2, 30)), row(None, prose(3, 20)), row(None, prose(3, 20)), row(4, prose(3, 20))], SCHEMA)
     found = sorted(((r.doc_id is None, r.doc_id, r.n_removed) for r in substrings.remove_repeats(docs).collect()), key=str)
     assert found == sorted([(False, 1, 0), (False, 2, 30), (False, 2, 0), (False, 3, 30), (True, None, 20), (True, None, 20), (False, 4, 0)], key=str)
+
+
+def test_copies_and_repeated_labels_prove_no_cutoff(spark):
+    """Forty good texts and ten bad ones, each fifty times over, are forty and ten trials."""
+    good = [row(i * 100 + k, f"{prose(i, 30)}", "x") for i in range(40) for k in range(50)]
+    bad = [row(9_000 + i * 100 + k, "#### " * 30 + prose(900 + i, 20), "x") for i in range(10) for k in range(50)]
+    docs = spark.createDataFrame(good + bad, SCHEMA)
+    labels = spark.createDataFrame([(r[0], int(r[0] < 9_000)) for r in good + bad] * 2, "doc_id long, quality int")
+    assert quality.thresholds(quality.measured(docs), labels).collect() == []
+    apart = [row(i, prose(i, 30), "x") for i in range(2_000)] + [row(9_000 + i, prose(5_000 + i, 60).replace(" ", "## "), "x") for i in range(100)]
+    known = spark.createDataFrame([(r[0], int(r[0] < 9_000)) for r in apart], "doc_id long, quality int")
+    found = quality.thresholds(quality.measured(spark.createDataFrame(apart, SCHEMA)), known).collect()
+    assert {r.n for r in found} == {2_000} and "symbols_per_word" in {r.rule for r in found}
+
+
+def test_a_word_without_end_is_cut_into_equal_pieces(spark):
+    texts = ["a " * 200_000, "b " + "a " * 150_000 + "c", prose(5, 20) + " " + "a " * 40]
+    found = {r.doc_id: r for r in substrings.remove_repeats(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert [found[i].n_removed for i in range(3)] == [0, 150_000, 40] and found[1].kept == "b c"

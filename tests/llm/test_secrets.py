@@ -40,3 +40,25 @@ def test_nothing_of_a_long_value_stays(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     clean = {x.doc_id: x.text for x in pii.redact(docs, pii.fit(docs)).collect()}
     assert all(clean[i] == f"{prose(i, 10)} {'access_token' if i % 2 else 'token'} = [SECRET] {prose(i + 1, 5)}" for i in clean)
+
+
+def test_names_and_hosts_of_any_length_are_proposed_whole():
+    long = "x" * 90 + " (at) example.com"
+    assert ("address", 0, len(long)) in pii.candidates(long)
+    deep = "me@" + ".".join("abcdefghi") + ".org"
+    assert ("address", 0, len(deep)) in pii.candidates(f"{deep} here")
+    label = "me@" + "l" * 80 + ".org"
+    assert ("address", 0, len(label)) in pii.candidates(label)
+
+
+def test_spoken_and_short_secrets_and_hardware_addresses_are_proposed():
+    assert ("secret", 12, 22) in pii.candidates("password is hunter2abc")
+    assert ("secret", 4, 11) in pii.candidates("pwd=abc1234")
+    assert ("number", 4, 21) in pii.candidates("mac 0a:1B:2c:3d:4e:5f.")
+
+
+def test_generators_stay_linear():
+    for text in ("a@" * 200_000, "x" * 400_000 + "@" + "y." * 200_000, "a at b " * 60_000, "password is " * 40_000, "0a:" * 150_000):
+        began = time.time()
+        pii.candidates(text)
+        assert time.time() - began < 10
