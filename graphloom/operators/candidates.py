@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.plan import small
+
 
 def consensus(samples: DataFrame, keys: list[str], record: list[str], least: int) -> DataFrame:
     """Keys seen in at least so many different samples, with their votes and the first record seen (by ``seq``)."""
@@ -26,7 +28,7 @@ def _fits(types: Column, allowed: Column) -> Column:
 
 def constraint_report(edges: DataFrame, types: DataFrame, relations: DataFrame) -> DataFrame:
     """Edges that a relation's domain or range forbids: reason, and whether the reverse edge would pass."""
-    rules = F.broadcast(relations.select("rel_type", "domain", "range"))
+    rules = small(relations.select("rel_type", "domain", "range"))
     typed = edges.join(types.toDF("src", "src_type"), "src", "left").join(types.toDF("dst", "dst_type"), "dst", "left").join(rules, "rel_type", "left")
     source, target = _fits(F.col("src_type"), F.col("domain")), _fits(F.col("dst_type"), F.col("range"))
     reason = F.when(~source & ~target, "both").when(~source, "domain").when(~target, "range")
@@ -97,7 +99,7 @@ def accounting(staged: DataFrame) -> DataFrame:
 
 def legal_options(pairs: DataFrame, relations: DataFrame) -> DataFrame:
     """(a, b, rel_type, direction): what a pair's types (a_type, b_type) allow; nothing between a node and itself."""
-    rules = F.broadcast(relations.where(F.col("domain").isNotNull()))
+    rules = small(relations.where(F.col("domain").isNotNull()))
     fits = lambda s, t: F.array_contains("domain", F.col(s)) & F.array_contains("range", F.col(t))
     either = pairs.where("a <> b").join(rules, fits("a_type", "b_type") | fits("b_type", "a_type"))
     options = F.array_compact(F.array(F.when(fits("a_type", "b_type"), F.lit("out")), F.when(fits("b_type", "a_type"), F.lit("in"))))

@@ -87,7 +87,7 @@ def revealed(edges: DataFrame, nodes: DataFrame, session: int) -> DataFrame:
 
 def layer_intersections(edges: DataFrame, layers: DataFrame, least: int) -> DataFrame:
     """(id, layers, n_layers): nodes that edges of at least so many layers touch, at either end."""
-    typed = edges.join(F.broadcast(layers.select("rel_type", "layer")), "rel_type")
+    typed = edges.join(small(layers.select("rel_type", "layer")), "rel_type")
     ends = typed.select(F.explode(F.array("src", "dst")).alias("id"), "layer")
     found = ends.groupBy("id").agg(F.array_sort(F.collect_set("layer")).alias("layers"))
     return found.where(F.size("layers") >= least).withColumn("n_layers", F.size("layers"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.plan import small
+
 
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Insert or update by key: a null in ``changes`` leaves the old value."""
@@ -26,7 +28,7 @@ def add_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame, layers: DataFr
     ids = nodes.select("id")
     sound = new.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     triples = edges.select("src", "rel_type", "dst").unionByName(sound.select("src", "rel_type", "dst")).distinct()
-    return triples.join(F.broadcast(layers.select("rel_type", "layer")), "rel_type", "left").select("src", "rel_type", "dst", "layer")
+    return triples.join(small(layers.select("rel_type", "layer")), "rel_type", "left").select("src", "rel_type", "dst", "layer")
 
 
 def require_endpoints(rows: DataFrame, column: str, nodes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import ontology, text
 from graphloom.operators import candidates
+from graphloom.operators.plan import small
 
 
 class WritePlan(NamedTuple):
@@ -36,7 +37,7 @@ def write_plan(nodes: DataFrame, edges: DataFrame, relations: DataFrame, gazette
     # A spelling that was merged away still names its node.
     names = staged.where(F.coalesce("drop_reason", F.lit("")) != "gazetteer").groupBy("folded").agg(F.collect_set("id").alias("ids"), F.first("entity_type").alias("type"))
     end = lambda c: names.select(F.col("folded").alias(f"{c}_key"), F.col("ids").alias(f"{c}_ids"), F.col("type").alias(f"{c}_type"))
-    rules = F.broadcast(relations.select("rel_type", "domain", "range"))
+    rules = small(relations.select("rel_type", "domain", "range"))
     joined = edges.withColumn("source_key", key("source")).withColumn("target_key", key("target")).join(end("source"), "source_key", "left").join(end("target"), "target_key", "left").join(rules, "rel_type", "left")
     fits = candidates._fits(F.col("source_type"), F.col("domain")) & candidates._fits(F.col("target_type"), F.col("range"))
     count = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import chapters, encounters, publish
 from graphloom.plans import registry
@@ -125,3 +126,12 @@ def test_spans_kept_match_their_definition(spark):
                 want.add((user, a, b))
                 end = b
     assert kept == want
+
+
+def test_cells_have_as_many_letters_as_they_need(spark):
+    def letters(n):
+        return ("" if n < 26 else letters(n // 26 - 1)) + chr(65 + n % 26)
+
+    xs = [0, 1, 25, 26, 27, 701, 702, 703, 18_277, 18_278, 475_253, 475_254, 2_147_483_647]
+    found = spark.createDataFrame([(x, 4) for x in xs], "x int, y int").select("x", encounters.cell(F.col("x"), F.col("y")).alias("c")).collect()
+    assert {r.x: r.c for r in found} == {x: letters(x) + "5" for x in xs}
