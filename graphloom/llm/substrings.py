@@ -9,8 +9,9 @@ Three exact savings keep the shuffle below a few times the input:
 
 * Only minimisers that occur in two documents or more can hold a repeated window, so (minimiser, document) pairs are matched
   first and only super-k-mers of shared minimisers are packed.
-* Minimisers that are frequent in a sample of documents are taken as shared without a match. Their windows travel one by one
-  to a bucket of the window's own hash, so no bucket has to hold a frequent passage's surroundings. Those of the most frequent
+* Minimisers that are frequent in a sample of documents are taken as shared without a match. Their windows are parted by a second
+  minimiser, the next smallest hash inside them: consecutive windows that share both travel as one, to a bucket of both, so no
+  bucket has to hold all that surrounds a frequent run of words. Those of the most frequent
   are also spread by document over as many salts as their count in the sample asks for: within a salt the smallest id decides;
   then the salts' smallest ids, one a salt and window, are compared. The sample only chooses the route; windows of all routes
   are compared.
@@ -38,7 +39,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,15 +91,22 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def minimisers(words: Words) -> np.ndarray:
-    """The minimiser of each window, as a signed long."""
+def _mers(words: Words) -> np.ndarray:
+    """A mixed hash of each run of MER words; none if the text has no window."""
     if words.count < WINDOW:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     size = words.count - MER + 1
     mers = words.hashes[:size].copy()
     for k in range(1, MER):
         mers = mers * _MULTIPLIER + words.hashes[k : k + size]
-    least, span, whole = _mix(mers), 1, WINDOW - MER + 1
+    return _mix(mers)
+
+
+def minimisers(mers: np.ndarray) -> np.ndarray:
+    """The minimiser of each window, as a signed long."""
+    if not len(mers):
+        return np.zeros(0, np.int64)
+    least, span, whole = mers, 1, WINDOW - MER + 1
     while span < whole:  # minima over twice the span, then over the whole
         step = min(span, whole - span)
         least = np.minimum(least[:-step], least[step:])
@@ -107,6 +114,16 @@ def minimisers(words: Words) -> np.ndarray:
     return least.view(np.int64)
 
 
+def second_buckets(mers: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """A bucket for each window from its minimiser and the next smallest hash inside it."""
+    least = found.view(np.uint64)
+    second = np.full(len(least), np.iinfo(np.uint64).max)
+    for k in range(WINDOW - MER + 1):
+        here = mers[k : k + len(least)]
+        np.minimum(second, here, out=second, where=here != least)
+    return _mix(least ^ (second * _MULTIPLIER)).view(np.int64)
+
+
 def _lists(column: pa.ListArray) -> list[np.ndarray]:
     """The rows of a list column as arrays; null is empty."""
     offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
@@ -130,7 +147,7 @@ def _pairs(left_out: frozenset[int] | dict[int, int]):  # noqa: ANN202
         for batch in source:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = [np.unique(minimisers(Words(t))) for t in part.column(1).to_pylist()]
+                found = [np.unique(minimisers(_mers(Words(t)))) for t in part.column(1).to_pylist()]
                 minimiser = np.concatenate(found)
                 wanted = ~_among(minimiser, held)
                 key, tie = (np.repeat(part.column(i).to_numpy(), [len(x) for x in found])[wanted] for i in (0, 2))
@@ -150,11 +167,14 @@ def _packed(frequent: dict[int, int]):  # noqa: ANN202
                 rows: list[tuple[int, int, int, list[int], bytes, int]] = []
                 for key, text, shared, tie in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _lists(part.column(2)), part.column(3).to_pylist()):
                     words = Words(text)
-                    found = minimisers(words)
-                    edges = np.append(0, np.flatnonzero(np.diff(found)) + 1)
+                    mers = _mers(words)
+                    found = minimisers(mers)
                     if not len(found):
                         continue
-                    wanted = np.isin(found[edges], shared) | _among(found[edges], often)
+                    hot = _among(found, often)
+                    buckets = np.where(hot, second_buckets(mers, found), found) if hot.any() else found
+                    edges = np.append(0, np.flatnonzero((np.diff(found) != 0) | (np.diff(buckets) != 0)) + 1)
+                    wanted = hot[edges] | np.isin(found[edges], shared)
                     starts, stops = edges[wanted], np.append(edges[1:], len(found))[wanted]
                     # What a document repeats travels once, with all its places.
                     places: dict[tuple[int, int, bytes], list[int]] = {}
@@ -163,15 +183,11 @@ def _packed(frequent: dict[int, int]):  # noqa: ANN202
                         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                         starts, stops = np.repeat(starts, pieces) + nth * MOST_WINDOWS, np.repeat(stops, pieces)
                         stops = np.minimum(starts + MOST_WINDOWS, stops)
-                    runs = zip(found[starts].tolist(), starts.tolist(), stops.tolist(), words.starts[starts].tolist(), words.ends[stops + WINDOW - 2].tolist())
-                    for bucket, a, b, low, high in runs:
-                        if bucket in frequent:
-                            salt = 1 + (key ^ tie) % frequent[bucket] if frequent[bucket] > 1 else 0
-                            for i in range(a, b):
-                                window = words.line[words.starts[i] : words.ends[i + WINDOW - 1]]
-                                places.setdefault((xxhash.xxh64_intdigest(window) - (1 << 63), salt, window), []).append(i)
-                        else:
-                            places.setdefault((bucket, 0, words.line[low:high]), []).append(a)
+                    runs = zip(found[starts].tolist(), buckets[starts].tolist(), starts.tolist(), words.starts[starts].tolist(), words.ends[stops + WINDOW - 2].tolist())
+                    for minimiser, bucket, a, low, high in runs:
+                        salts = frequent.get(minimiser, 1)
+                        salt = 1 + (key ^ tie) % salts if salts > 1 else 0
+                        places.setdefault((bucket, salt, words.line[low:high]), []).append(a)
                     rows += [(bucket, salt, key, at_, packed, tie) for (bucket, salt, packed), at_ in places.items()]
                 if rows:
                     columns = list(zip(*rows))
