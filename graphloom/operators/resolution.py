@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import fuzzy
+from graphloom.operators import greedy
 from graphloom.operators.fuzzy_join import alike
 from graphloom.operators.graph import first_by
+from graphloom.operators.plan import durable
 
 
 def lookup_tiers(asked: DataFrame, entries: DataFrame) -> DataFrame:
@@ -30,34 +36,118 @@ def earliest_first(spans: list[tuple[int, int, float]]) -> list[int]:
     return kept
 
 
-def without_overlaps(matches: DataFrame) -> DataFrame:
-    """Matches (doc_id, start, end, confidence, ...) without overlaps; the running end is a fold a document.
+def _order() -> list:
+    return [F.col("__doc"), F.col("start"), F.desc("confidence"), F.col("end"), F.col("__row")]
 
-    A document's matches are one task's rows, so a document has to fit a task; documents are spread over all tasks.
-    """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.reset_index(drop=True)
-        return group.loc[earliest_first(list(zip(group.start, group.end, group.confidence)))]
+def exits(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(upto, exit): what a stretch of spans in order makes of the last end before it, by steps.
+
+    An end up to ``upto`` (and beyond the step before) leaves as ``exit``; one beyond all steps leaves as it came. From each span the
+    next that fits is found by bisection, and the last of its chain by pointer doubling.
+    """
+    n = len(starts)
+    ahead = np.append(np.maximum(np.arange(1, n + 1), np.searchsorted(starts, ends, "left")), n)
+    last = np.arange(n + 1)
+    while (ahead < n).any():
+        last, ahead = np.where(ahead < n, last[ahead], last), ahead[ahead]
+    out = ends[last[:-1]]
+    firsts = np.flatnonzero(np.append(True, np.diff(starts) > 0))
+    upto, out = starts[firsts], out[firsts]
+    steps = np.append(np.diff(out) != 0, True)
+    return upto[steps], out[steps]
+
+
+def _last_spans(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's (document, start, end) the last document's steps; a document that began in it enters without an end."""
+    doc, held, alone = None, [], True
+    for batch in source:
+        docs = batch.column(0).to_pylist()
+        if not docs:
+            continue
+        if doc is not None:
+            alone = alone and docs[0] == doc
+        at = len(docs) - 1
+        while at and docs[at - 1] == docs[-1]:
+            at -= 1
+        alone = alone and at == 0
+        if at or docs[0] != doc:
+            held = []
+        doc = docs[-1]
+        held.append((batch.column(1).to_numpy()[at:], batch.column(2).to_numpy()[at:]))
+    if held:
+        upto, out = exits(*(np.concatenate(x) for x in zip(*held)))
+        upto, out = (upto, out) if alone else (upto[:1], out[:1])
+        n = len(upto)
+        columns = [pa.array([doc] * n, pa.string()), pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array([alone] * n, pa.bool_()), pa.array(upto, pa.int64()), pa.array(out, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "part", "alone", "upto", "exit"])
+
+
+def _strung(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Steps by document, partition and upto to the end that each partition leaves; one row is held at a time."""
+    doc = part = end = found = None
+    for batch in source:
+        rows = []
+        for d, p, alone, upto, out in zip(*(c.to_pylist() for c in batch.columns)):
+            if (d, p) != (doc, part):
+                if part is not None:
+                    end = end if found is None else found
+                    rows.append((doc, part, end))
+                if d != doc:
+                    end = None
+                doc, part, found = d, p, None
+            if found is None and (end is None or not alone or end <= upto):
+                found = out
+        yield _ends(rows)
+    if part is not None:
+        yield _ends([(doc, part, end if found is None else found)])
+
+
+def _ends(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64()))], names=["doc", "part", "exit"])
 
-    return matches.groupBy("doc_id").applyInPandas(fold, matches.schema)
 
+def without_overlaps(matches: DataFrame) -> DataFrame:
+    """Matches (doc_id, start, end, confidence, ...) without overlaps, as ``earliest_first`` keeps them.
 
-def similarity(a: str, b: str) -> float:
-    a, b = a.lower(), b.lower()
-    if (a in b or b in a) and min(len(a), len(b)) >= 3:
-        return 0.95
-    return max(fuzzy.ratio(a, b), 0.95 * fuzzy.partial_ratio(a, b)) / 100.0
+    The matches are ranged by document, start and confidence, so a document may span any number of partitions. Each partition gives
+    what its last document's spans make of the end before them, by steps; the steps of a document are strung together in order, one
+    row held at a time; and the partitions are walked once more from the ends so found, of which the driver sees one a partition.
+    Matches without a start or an end are left out; those without a document are one document; ties go by end, then by a hash.
+    """
+    doc = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    rows = matches.where(F.col("start").isNotNull() & F.col("end").isNotNull()).withColumns({"__doc": doc, "__row": F.xxhash64(*matches.columns)})
+    laid = durable(rows.repartitionByRange(*_order()).sortWithinPartitions(*_order()))
+    spans = ("__doc", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    steps = laid.select(*spans).mapInArrow(_last_spans, "doc string, part int, alone boolean, upto long, exit long")
+    strung = steps.repartition("doc").sortWithinPartitions("doc", "part", "upto").mapInArrow(_strung, "doc string, part int, exit long")
+    columns, left = matches.columns, {r["part"]: (r["doc"], r["exit"]) for r in strung.collect()}
+    begins: dict[int, tuple[str, int] | None] = {}
+    for part in range(max(left, default=-1) + 1):
+        begins[part + 1] = left.get(part) or begins.get(part)
+
+    def walked(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, end = begins.get(TaskContext.get().partitionId()) or (None, 0)
+        for batch in source:
+            kept = []
+            for d, a, b in zip(*(batch.column(c).to_pylist() for c in ("__doc", "start", "end"))):
+                kept.append(d != doc or a >= end)
+                if kept[-1]:
+                    doc, end = d, b
+            yield batch.filter(pa.array(kept, pa.bool_())).select(columns)
+
+    return laid.mapInArrow(walked, matches.schema)
 
 
 def clusters(names: list[str], least: float) -> list[int]:
-    """For names in order of confidence, the place of the seed that takes each: a seed takes all that are like it, not in turn theirs."""
+    """The definition: for names in order, the place of the seed that takes each; a seed takes all that are like it, not in turn theirs."""
     seed = [-1] * len(names)
     for i, name in enumerate(names):
         if seed[i] < 0:
             seed[i] = i
             for j in range(i + 1, len(names)):
-                if seed[j] < 0 and similarity(name, names[j]) >= least:
+                if seed[j] < 0 and greedy.similarity(name, names[j]) >= least:
                     seed[j] = i
     return seed
 
@@ -65,22 +155,20 @@ def clusters(names: list[str], least: float) -> list[int]:
 def resolved(entities: DataFrame, least: float = 0.85) -> DataFrame:
     """(doc_id, entity_type, name, confidence, source, merged): clusters of a document's entities of one type.
 
-    A gazetteer member gives the name, and more sources raise the confidence by 0.1 each, 0.2 at most. Seeds take others in
-    order, so a document's entities of one type are folded in one task, in time of their square at worst.
+    Seeds take what is like them in order of confidence, then start, then name (``greedy.seeds``), as ``clusters`` gives them. A gazetteer member gives the
+    name, and more sources raise the confidence by 0.1 each, 0.2 at most. No document is folded in one task.
     """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["confidence", "start"], ascending=[False, True]).reset_index(drop=True)
-        group["seed"] = clusters(group["name"].tolist(), least)
-        rows = []
-        for _, c in group.groupby("seed", sort=True):
-            base = next((r for r in c.itertuples() if r.source == "gazetteer"), next(c.itertuples()))
-            sources = set(c.source)
-            rows.append((base.doc_id, base.entity_type, base.name, min(1.0, base.confidence + min(0.2, 0.1 * (len(sources) - 1))), base.source if len(sources) == 1 else "hybrid", len(c)))
-        return pd.DataFrame(rows, columns=["doc_id", "entity_type", "name", "confidence", "source", "merged"])
-
-    columns = ("doc_id", "entity_type", "name", "confidence", "source", "start")
-    return entities.select(*columns).groupBy("doc_id", "entity_type").applyInPandas(fold, "doc_id long, entity_type string, name string, confidence double, source string, merged long")
+    keys = ["doc_id", "entity_type"]
+    order = F.struct((-F.coalesce("confidence", F.lit(float("-inf")))).alias("c"), F.col("start").alias("s"))
+    rows = durable(greedy.grouped(entities.select(*keys, "name", "confidence", "source", "start"), keys, "name").where(F.col("low").isNotNull()))
+    taken = rows.join(greedy.seeds(rows.select(*keys, "name", "confidence", "start"), keys, "name", order, least), ["of", "low"])
+    base = F.struct((F.col("source") != "gazetteer").alias("g"), order.alias("o"), F.col("name").alias("n"))
+    found = taken.groupBy("of", "seed").agg(F.min_by(F.struct(*keys, "name", "confidence", "source"), base).alias("b"), F.countDistinct("source").alias("sources"), F.count("*").alias("merged"))
+    more = F.least(F.lit(0.2), F.lit(0.1) * (F.col("sources") - 1))
+    return found.select(
+        F.col("b.doc_id").cast("long").alias("doc_id"), "b.entity_type", "b.name", F.least(F.lit(1.0), F.col("b.confidence") + more).alias("confidence"),
+        F.when(F.col("sources") <= 1, F.col("b.source")).otherwise("hybrid").alias("source"), "merged",
+    )
 
 
 def linked(found: DataFrame, known: DataFrame, least: float = 85.0) -> DataFrame:
