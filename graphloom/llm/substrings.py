@@ -210,10 +210,12 @@ def frequent_minimisers(docs: DataFrame) -> dict[int, int]:
 def repeated_windows(texts: DataFrame, frequent: dict[int, int]) -> DataFrame:
     """(key, tie, start): the windows whose words also start in a document of a smaller key, from (key, tie, text)."""
     # One exchange serves the count and what it is joined to: both read all of its columns and rows that
-    # are not null, as the join asks, so that it is the same for both.
+    # are not null, as the join asks, so that it is the same for both. Key and tie are never null; that is said again after the
+    # sum, else the join with the texts would ask it of one side of the exchange alone.
     pairs = texts.select("key", "text", "tie").mapInArrow(_pairs(frequent), "minimiser long, key long, tie int").where(F.col("minimiser").isNotNull()).repartition("minimiser")
     met = pairs.groupBy("minimiser").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("tie").alias("tie")).where("low < high and tie >= 0").select("minimiser")
     shared = pairs.join(met, "minimiser").groupBy("key", "tie").agg(F.collect_list("minimiser").alias("shared"))
+    shared = shared.select(F.coalesce("key", F.lit(_LAST)).alias("key"), F.coalesce("tie", F.lit(0)).alias("tie"), "shared")
     rows = _of_text(texts, shared, "left").select("key", "text", "shared", "tie")
     packed = rows.mapInArrow(_packed(frequent), "bucket long, salt int, key long, starts array<int>, words string, tie int")
     windows = F.transform(F.sequence(F.lit(1), F.size("list") - (WINDOW - 1)), lambda i: F.array_join(F.slice("list", i, WINDOW), " "))
