@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import ancestors
+from graphloom.operators.forest import nearest
 
 FIT, BUDGET, PREAMBLE = 0.75, 1_000, "(preamble)"
 #: A heading's line, the key and name at its head, and how a chapter refers to its keys.
@@ -112,14 +112,13 @@ def place_of_title(title: Column) -> Column:
 def ancestor_places(sections: DataFrame, links: DataFrame) -> DataFrame:
     """(chapter, section, place): the nearest enclosing section's place, walking outwards; none where no ancestor has one.
 
-    Sections (chapter, section, place) and links (chapter, section, parent; -1 at the top). The walk is ``graph.ancestors``.
+    Sections (chapter, section, place) and links (chapter, section, parent; -1 at the top). The walk is ``forest.nearest``.
     """
     mark = lambda c: F.concat_ws("#", "chapter", F.col(c).cast("string"))
-    parents_ = links.where("parent >= 0").select(mark("section").alias("id"), mark("parent").alias("parent"))
-    chain = ancestors(parents_, sections.select(mark("section").alias("id")))
-    named = sections.where(F.col("place").isNotNull()).select(mark("section").alias("id"), "place")
-    near = chain.join(named, "id").groupBy("start").agg(F.min_by("place", "depth").alias("near"))
-    return sections.select("chapter", "section").withColumn("start", mark("section")).join(near, "start", "left").select("chapter", "section", F.col("near").alias("place"))
+    up = links.where("parent >= 0").select(mark("section").alias("id"), mark("parent").alias("parent"))
+    named = sections.where(F.col("place").isNotNull()).select(mark("section").alias("near"), "place")
+    near = nearest(up, named.select(F.col("near").alias("id"))).where("near IS NOT NULL").join(named, "near").select("id", "place")
+    return sections.select("chapter", "section").withColumn("id", mark("section")).join(near, "id", "left").select("chapter", "section", "place")
 
 
 def split(chapters: DataFrame, depths: DataFrame, spanned: DataFrame) -> DataFrame:

@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from graphloom.plans import chapter_queries, document_queries, fight_queries, graph_queries, lookup_queries, pipeline_queries, play_queries, record_queries, state_queries, text_queries, view_queries  # noqa: F401
+    from graphloom.plans import chapter_queries, document_queries, fight_queries, forest_queries, graph_queries, lookup_queries, pipeline_queries, play_queries, record_queries, state_queries, text_queries, view_queries  # noqa: F401
