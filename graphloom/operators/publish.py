@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import alias_key
+from graphloom.operators import versions
 from graphloom.operators.upserts import missing_aliases, require_endpoints, sole_owned
 
 Tables = dict[str, DataFrame]
@@ -106,28 +107,28 @@ def with_chapter(tables: Tables, new: Tables, chapter: str, replace: bool = Fals
     return merged | {k: tables[k].unionByName(new[k]).dropDuplicates(keys) for k, keys in (("sections", ["section_id"]), ("describes", ["section_id", "entity_id"]), ("edges", ["src", "rel_type", "dst", "chapter"]), ("mentions", ["entity_id", "section_id"]))}
 
 
-def publish(tables: Tables, folder: str) -> str:
-    """Write a whole version of the tables beside the old one, then name it the current one in one small write; its folder."""
+def publish(tables: Tables, folder: str, base: int | None = None) -> str:
+    """Write a whole version of the tables beside the old ones, then name it in the log of versions; its folder.
+
+    ``base`` is the number of the version that the tables were made from (``versions.last`` before they were read; the last one now
+    if not given). Where another writer has published on that base meanwhile, ``FileExistsError``: nothing is lost silently. A
+    write that fails halfway has no number and is never seen.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    number = (versions.last(spark, folder) if base is None else base) + 1
     version = f"{folder}/version-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{version}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    # The log of versions is only ever appended to; a reader takes the last, so a failed write above is never seen.
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{folder}/versions")
+    versions.take(spark, folder, number, version)
     return version
 
 
 def current(spark: SparkSession, folder: str) -> Tables:
     """The tables of the last published version; empty ones where there is none."""
-    try:
-        last = spark.read.schema("version string, at timestamp").json(f"{folder}/versions").orderBy(F.desc("at")).first()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        last = None
-    if last is None:
+    found = versions.entries(spark, folder)
+    if not found:
         return {name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
-    return {name: spark.read.parquet(f"{last.version}/{name}") for name in SCHEMAS}
+    return {name: spark.read.parquet(f"{found[-1][1]}/{name}") for name in SCHEMAS}
 
 
 #: What may be changed of a shop and of an item.

@@ -57,6 +57,11 @@ def test_a_chapter_is_written_once_and_read_as_a_version(spark, tmp_path):
     with pytest.raises(ValueError, match="no node"):
         publish.with_chapter(empty, new | {"nodes": held["nodes"].where("id = 'a'")}, "one")
     assert rows(publish.current(spark, str(tmp_path))["nodes"], "id") == [("a",), ("b",)]  # a failed write is not seen
+    # Two writers start from version 1: the second is refused, and what the first wrote stays.
+    publish.publish(empty, str(tmp_path), base=1)
+    with pytest.raises(FileExistsError):
+        publish.publish(new, str(tmp_path), base=1)
+    assert publish.current(spark, str(tmp_path))["nodes"].isEmpty()
 
 
 def test_seeds(spark):
