@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import ontology, text
 from graphloom.operators import candidates, graph, upserts
+from graphloom.operators.plan import shared_folder
 from graphloom.plans.fixtures import EDGES_SQL, ENTITIES_SQL, GRAPH_SQL, edges, entities, table
 from graphloom.plans.registry import query
+from graphloom.sources import paged
 
 _SAMPLES_SQL = "s AS (SELECT event_type || ':' || CAST(user_id % 10 AS VARCHAR) AS name, user_id % 7 AS sample_id, event_id AS seq, value FROM events)"
 
@@ -162,3 +166,15 @@ def best_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One node a name: the record of the highest rank, the earliest among equals."""
     first = graph.first_by(table(spark, sf_dir, "part"), ["p_brand"], F.desc("p_retailprice"), F.col("p_partkey"))
     return first.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("name"))
+
+
+@query("SELECT doc_id AS chapter, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, greatest(1, CAST(ceil(length(coalesce(text, '')) / 2000.0) AS INTEGER)) AS slices, sha256(coalesce(text, '')) AS digest FROM documents")
+def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stored as a paged reader's responses of 2000 characters, in two deliveries, and read back whole by the data source."""
+    folder, docs = f"{shared_folder(spark)}/paged-{uuid.uuid4().hex}", table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter"), "text")
+    late = F.pmod(F.xxhash64("chapter"), F.lit(4)) == 0
+    for delivery, part in ((1, docs.where(~late)), (2, docs.where(late))):
+        paged.write(paged.sliced(part, 2000), folder, delivery)
+    spark.dataSource.register(paged.PagedResponses)
+    read = spark.read.format("paged_responses").load(folder)
+    return read.select(F.col("chapter").cast("long").alias("chapter"), F.char_length("text").cast("long").alias("n_chars"), "slices", F.sha2("text", 256).alias("digest"))
