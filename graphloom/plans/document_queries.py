@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import mentions, retrieval, vector, vector_index
+from graphloom.operators import maintained, mentions, retrieval, vector, vector_index
 from graphloom.operators.fuzzy_join import alike
-from graphloom.operators.plan import durable, small
+from graphloom.operators.plan import durable, shared_folder, small
 from graphloom.plans.fixtures import table
 from graphloom.plans.registry import query
 
@@ -77,6 +79,20 @@ def gazetteer_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.together(mentions.same_sentence(mentions.scan(_sections(spark, sf_dir), _gazetteer(spark, sf_dir))))
 
 
+@query(f"WITH {_WORDS_SQL}, {_TOKENS_SQL} SELECT name AS entity_id, count(DISTINCT doc_id) AS sections, count(*) AS occurrences FROM tokens JOIN gazetteer ON w = name GROUP BY name")
+def gazetteer_counts_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts kept from changes: odd documents come with their text twice and are corrected, thirds go and come back, and the
+    first batch comes once more, late."""
+    folder, names, docs = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}", _gazetteer(spark, sf_dir), _sections(spark, sf_dir)
+    odd, third = F.col("section_id") % 2 == 1, F.col("section_id") % 3 == 0
+    first = docs.select("section_id", F.lit(1).alias("seq"), F.when(odd, F.concat_ws("\n", "text", "text")).otherwise(F.col("text")).alias("text"))
+    second = docs.where(odd | third).select("section_id", F.lit(2).alias("seq"), F.when(~third, F.col("text")).alias("text"))
+    back = docs.where(third).select("section_id", F.lit(3).alias("seq"), "text")
+    for changes in (first, second, back.union(first)):
+        maintained.apply(spark, folder, changes, names)
+    return maintained.entity_counts(spark, folder)
+
+
 @query()
 def sentence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.sentence_table(_sections(spark, sf_dir))
