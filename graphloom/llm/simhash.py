@@ -18,7 +18,9 @@ id has its fingerprint, a null component and no part in the links of others. Oth
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,10 @@ ORDER_SAMPLE, SHARE = 4_000, 0.005
 #: Bits of the wide SimHash. At a similarity of 0.8 two texts differ in 39 of its 256 bits, give or take 6, and in 10 of the first
 #: 64, give or take 3: the bounds lose such a pair with a chance under one in a million.
 WIDE, MOST_APART, MOST_APART_FIRST = 4, 68, 26
-#: Ends of candidate pairs that are sent to every task at most: four longs each.
-MOST_SENT = 400_000
+#: Ends of candidate pairs that are sent to every task at most, four longs each, and how often texts are read for more of them.
+MOST_SENT, MOST_PASSES = 400_000, 12
+#: Bits of the map by which tasks know the texts of candidates where these are more still: 16 MB, whatever their number.
+MAP_BITS = 1 << 27
 _SLICE = 1 << 16
 
 
@@ -227,24 +231,68 @@ def _sketched(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return durable(rows.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "fp", "wide", "heads", "salts"))))
 
 
-def _alike(similarity: float) -> Column:
-    """Whether two texts (n, at) and (o_n, o_at) that share a shingle there can be so similar, by the sizes of their sets."""
+def _alike(similarity: float, other: Column | None = None) -> Column:
+    """Whether two texts (n, at) and (o_n, o_at), or ``other``, that share a shingle there can be so similar, by the sizes of their sets."""
+    o_n, o_at = (F.col("o_n"), F.col("o_at")) if other is None else (other.n, other.at)
     # What follows the first shingle that two texts share has to hold the rest of what they need to share.
-    most = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))
-    least, greatest = F.least("n", "o_n"), F.greatest("n", "o_n")
-    return (least >= greatest * similarity - 1e-6) & (most >= (F.col("n") + F.col("o_n")) * (similarity / (1 + similarity)) - 1e-6)
+    most = F.least(F.col("n") - F.col("at"), o_n - o_at)
+    least, greatest = F.least(F.col("n"), o_n), F.greatest(F.col("n"), o_n)
+    return (least >= greatest * similarity - 1e-6) & (most >= (F.col("n") + o_n) * (similarity / (1 + similarity)) - 1e-6)
 
 
 def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _neighbours(groups: DataFrame, by: list[str], similarity: float) -> DataFrame:
-    """(a, b): in each group, a text with the one before it by size, and with the first."""
-    order = Window.partitionBy(*by).orderBy("n", "mark")
-    me = F.struct(F.col("mark").alias("o_mark"), F.col("n").alias("o_n"), F.col("at").alias("o_at"))
-    met = groups.select("mark", "n", "at", F.array_distinct(F.array_compact(F.array(F.lag(me).over(order), F.first(me).over(order)))).alias("others"))
-    return met.select("mark", "n", "at", F.inline("others")).where((F.col("mark") != F.col("o_mark")) & _alike(similarity)).select(*_pair("mark", "o_mark"))
+def _central() -> list[Column]:
+    """Orders a group: first the texts with the fewest shingles of their own before the shared one, which most others are alike to."""
+    return [F.col("own"), F.col("at"), F.col("mark")]
+
+
+def _others(by: list[str], similarity: float) -> Column:
+    """What a text meets in its group: the text before it and the first, (mark, n, at) each, where they can be alike."""
+    order = Window.partitionBy(*by).orderBy(*_central())
+    # Plain columns, since a struct would be made before the shuffle and travel with it.
+    met = F.array_distinct(F.array(*(F.struct(*(f(c).over(order).alias(c) for c in ("mark", "n", "at"))) for f in (F.lag, F.first))))
+    return F.filter(met, lambda o: (o.mark != F.col("mark")) & _alike(similarity, o))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    return rows.select("mark", F.explode("others.mark").alias("o_mark")).select(*_pair("mark", "o_mark"))
+
+
+def _with_first(groups: DataFrame, tops: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): a text of a spread shingle with the first of all its salts."""
+    first = tops.where("salt > 0").groupBy("h").agg(F.min_by(F.struct("mark", "n", "at"), F.struct(*_central())).alias("o"))
+    first = first.select("h", *(F.col(f"o.{c}").alias(f"o_{c}") for c in ("mark", "n", "at")))
+    few = first.limit(MOST_SENT + 1).count() <= MOST_SENT
+    met = groups.where("salt > 0").join(F.broadcast(first) if few else first, "h")
+    return met.where((F.col("mark") != F.col("o_mark")) & _alike(similarity)).select(*_pair("mark", "o_mark"))
+
+
+def _packed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column of texts compressed; what stands before it stays."""
+    for batch in source:
+        for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+            packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in part.column(part.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(packed, pa.binary())], names=part.schema.names)
+
+
+def _asked(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """(doc_id, mark, text), packed, of the texts whose mark may be among the ends, by a map of bits of a fixed size."""
+    place = F.col("mark").bitwiseAND(F.lit(MAP_BITS - 1))
+    found = ends.select(place.alias("place")).groupBy(F.shiftright("place", 15).alias("part")).agg(F.expr("bitmap_construct_agg(place & 32767)").alias("bits"))
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in found.collect():
+        bits[4096 * r["part"] : 4096 * (r["part"] + 1)] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            at = batch.column(1).to_numpy() & (MAP_BITS - 1)
+            yield from _packed(iter([batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))]))
+
+    return docs.select("doc_id", "mark", "text").mapInArrow(batches, "doc_id long, mark long, text binary")
 
 
 def _verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -253,36 +301,47 @@ def _verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, shingle: i
     apart = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = pairs.join(side("a"), "a").join(side("b"), "b").where((F.least("a_n", "b_n") < 20) | (apart <= MOST_APART))
     near = durable(near.select("a", "b", "a_id", "b_id"))
-    ends = near.select("a", "b", F.inline(F.array(F.struct(F.col("a").alias("mark"), F.col("a_id").alias("doc_id")), F.struct(F.col("b").alias("mark"), F.col("b_id").alias("doc_id")))))
-
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = shingle_hashes(x, shingle), shingle_hashes(y, shingle)
+                p, q = (shingle_hashes(zlib.decompress(t).decode("utf-8", "surrogatepass"), shingle) for t in (x, y))
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    # Up to a counted number of ends the texts stay where they lie and only those asked for move; beyond it both sides are shuffled.
-    few = ends.limit(MOST_SENT + 1).count() <= MOST_SENT
-    texts = docs.join(F.broadcast(ends) if few else ends, ["doc_id", "mark"]).groupBy("a", "b").agg(F.min("text").alias("x"), F.max("text").alias("y"))
-    return durable(texts.mapInArrow(batches, "a long, b long"))
+    # Only texts that are asked for move, compressed and once a pair, in passes over all of them with a counted number of ends; if
+    # that would take too many passes they move once more, to their ends.
+    passes = max(1, math.ceil(2 * near.count() / MOST_SENT))
+    deal, found = passes if passes <= MOST_PASSES else 1, []
+    for nth in range(deal):
+        dealt = near.where(F.pmod(F.xxhash64("a", "b"), F.lit(deal)) == nth)
+        ends = dealt.select("a", "b", F.inline(F.array(F.struct(F.col("a").alias("mark"), F.col("a_id").alias("doc_id")), F.struct(F.col("b").alias("mark"), F.col("b_id").alias("doc_id")))))
+        if passes <= MOST_PASSES:
+            met = docs.join(F.broadcast(ends), ["doc_id", "mark"]).select("a", "b", "text").mapInArrow(_packed, "a long, b long, text binary")
+        else:
+            met = _asked(docs, ends).join(ends, ["doc_id", "mark"])
+        texts = met.groupBy("a", "b").agg(F.min("text").alias("x"), F.max("text").alias("y"))
+        found.append(durable(texts.mapInArrow(batches, "a long, b long")))
+    return reduce(DataFrame.union, found)
 
 
 def similar(docs: DataFrame, sketches: DataFrame, linked: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, label): the components of texts whose shingle sets have that Jaccard similarity or more, joined with links (a, b).
 
     Two such texts share a shingle of their prefixes. First a text meets the one before it and the first in each shingle's
-    group; that joins most of a large group of near copies. Then every pair of the same group in different components is tried,
+    group, which has the fewest shingles of its own; that joins nearly all that can be joined of a large group of near copies. Then every pair of the same group in different components is tried,
     so none is left out; texts of a group's largest component do not meet one another.
     """
-    heads = sketches.select("mark", "n", F.posexplode(F.arrays_zip("heads", "salts")).alias("at", "head")).select("mark", "n", "at", F.col("head.heads").alias("h"), F.col("head.salts").alias("salt"))
-    order = Window.partitionBy("h", "salt").orderBy("n", "mark")
+    own = F.size(F.filter("salts", lambda s: s == 0)).alias("own")
+    heads = sketches.select("mark", "n", own, F.posexplode(F.arrays_zip("heads", "salts")).alias("at", "head"))
+    heads = heads.select("mark", "n", F.when(F.col("head.salts") > 0, F.col("own")).otherwise(0).alias("own"), "at", F.col("head.heads").alias("h"), F.col("head.salts").alias("salt"))
+    order = Window.partitionBy("h", "salt").orderBy(*_central())
     several = (F.col("salt") > 0) | F.lag("mark").over(order).isNotNull() | F.lead("mark").over(order).isNotNull()
-    groups = durable(heads.withColumn("several", several).withColumn("nth", F.row_number().over(order)).where("several").drop("several"))
+    placed = heads.select("*", several.alias("several"), F.row_number().over(order).alias("nth"), _others(["h", "salt"], similarity).alias("others"))
+    groups = durable(placed.where("several").drop("several"))
     tops = groups.where("nth = 1")  # a spread shingle has one first text a salt, any other shingle only one
-    near = _neighbours(groups, ["h", "salt"], similarity).union(_neighbours(tops, ["h"], similarity)).distinct()
+    near = _met(groups).union(_met(tops.select("mark", _others(["h"], similarity).alias("others")))).union(_with_first(groups, tops, similarity)).distinct()
     sure = durable(linked.select("a", "b").union(_verified(docs, sketches, near, shingle, similarity)))
     labels = components(sure).withColumnRenamed("node", "mark")
     known = durable(sketches.select("mark", "fp").join(labels, "mark", "left").select("mark", "fp", F.coalesce("label", "mark").alias("label")))
