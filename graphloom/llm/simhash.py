@@ -91,7 +91,7 @@ def links(distinct: DataFrame) -> DataFrame:
     """(a, b): every pair of different fingerprints at most MAX_DISTANCE bits apart, from a table of distinct ``fp``."""
     segments = _segments(distinct)
     exact = segments.select("segment", "value", "fp")
-    same = exact.join(exact.withColumnRenamed("fp", "other"), ["segment", "value"]).where(F.col("fp") < F.col("other"))
+    same = exact.join(_shuffled(exact.withColumnRenamed("fp", "other")), ["segment", "value"]).where(F.col("fp") < F.col("other"))
     # One row a segment and wildcard place: the value without that bit is the signature, the bit says which side it is on.
     variants = segments.select(
         "fp", "segment", "value", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("place")
@@ -102,7 +102,7 @@ def links(distinct: DataFrame) -> DataFrame:
     )
     zero = variants.where(~F.col("bit")).select("signature", "fp")
     one = variants.where("bit").select("signature", F.col("fp").alias("other"))
-    near = zero.join(one, "signature")
+    near = zero.join(_shuffled(one), "signature")
     return (
         same.select("fp", "other")
         .union(near.select("fp", "other"))
@@ -112,6 +112,11 @@ def links(distinct: DataFrame) -> DataFrame:
     )
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """Joined by a shuffle: what grows with the input is not gathered in the driver to be broadcast, of which rounds would hold many."""
+    return df.hint("merge")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): for the nodes of ``edges`` (a, b), the smallest node that is reachable.
 
@@ -121,10 +126,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = durable(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))))
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")))
     while True:
-        offered = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
-        lower = labels.join(offered, "node").select("node", F.col("label").alias("old"), F.least("label", "offer").alias("mid"))
+        offered = both.join(_shuffled(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
+        lower = labels.join(_shuffled(offered), "node").select("node", F.col("label").alias("old"), F.least("label", "offer").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        step = durable(lower.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("label")))
+        step = durable(lower.join(_shuffled(jump), "mid").select("node", "old", F.least("mid", "far").alias("label")))
         labels = step.select("node", "label")
         if step.where("label < old").isEmpty():
             return labels
@@ -137,12 +142,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     marked = durable(links(distinct.select("fp")))
     first = distinct.select("fp", "first_id")
-    by_id = marked.join(first.toDF("a", "a_id"), "a").join(first.toDF("b", "b_id"), "b")
+    by_id = marked.join(_shuffled(first.toDF("a", "a_id")), "a").join(_shuffled(first.toDF("b", "b_id")), "b")
     found = components(by_id.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
     # Written, so that both sides of the last join are plain exchanges, which AQE splits where one fingerprint is hot.
-    classes = durable(first.join(found, first.first_id == found.node, "left").select("fp", F.coalesce("label", "first_id").alias("component_id")))
+    classes = durable(first.join(_shuffled(found), first.first_id == found.node, "left").select("fp", F.coalesce("label", "first_id").alias("component_id")))
     unnamed = every.where(F.col("doc_id").isNull()).select("doc_id", "fp", F.lit(None).cast("long").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id").union(unnamed)
+    return prints.join(_shuffled(classes), "fp").select("doc_id", "fp", "component_id").union(unnamed)
 
 
 def hex_fingerprint(fp: Column) -> Column:
