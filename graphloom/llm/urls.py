@@ -9,8 +9,9 @@ Matching is an inverted index: a rule lies under its rarest token, a URL asks fo
 against its whole set. The rules are sent to every task if they are few; else the join shuffles. Each different URL is matched once,
 however many pages have it.
 
-A URL of more than ``MOST_ITEMS`` frequent tokens proposes combinations of its rarest only (each frequent token alone is always
-proposed), since a set of n tokens has 2^n combinations; counting and matching use all tokens.
+A set of n tokens has 2^n combinations, so FP-growth takes the bad URLs of at most ``MOST_ITEMS`` tokens that may combine. Combinations
+that a longer one holds are found level by level instead, counted over all URLs, and only those are extended that may become a rule: a
+token that spares no good URL is in no smallest rule of several tokens (see ``_of_long``). Both together propose every smallest rule.
 
 Edge cases: a URL that is null or has no ``://`` has an empty host and path and no tokens, and is allowed; URLs without a label
 teach nothing; of labels that conflict, bad wins; a URL counts once however often it is labelled; with no bad URLs there are no
@@ -19,6 +20,8 @@ rules. Null and repeated page ids keep their rows; other columns are not read; a
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,7 @@ from graphloom.llm.common import durable
 
 #: A rule holds at least this share of labelled URLs, and so many, as bad ones, and is bad in so many per cent of those it matches.
 LEAST_SHARE, LEAST_COUNT, CONFIDENCE = 0.002, 5, 60
+#: Tokens of a URL that FP-growth takes (the SQL, which lists all sets, stops there), and rules that are sent to every task.
 MOST_ITEMS, MOST_SENT = 12, 100_000
 #: Host and path to verdict; a rule fits the host and its subdomains where the path begins like the rule's.
 RULES: tuple[tuple[str, str], ...] = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -76,27 +80,68 @@ def labelled(urls: DataFrame) -> DataFrame:
     return durable(once.select(tokens_of(F.col("url")).alias("tokens"), "bad").where(F.size("tokens") > 0))
 
 
-def _proposed(rows: DataFrame, least: int) -> DataFrame:
-    """(items): frequent tokens of bad URLs and what FP-growth finds among them. Their number is bounded by tokens over ``least``."""
-    bad = rows.where("bad = 1")
-    n = bad.count()
-    counts = bad.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    single = durable(counts)
-    held = bad.select(F.monotonically_increasing_id().alias("row"), "tokens")
-    rarest = held.select("row", F.explode("tokens").alias("token")).join(_sent(single), "token").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("found"))
-    sets = durable(rarest.select(F.slice("found.token", 1, MOST_ITEMS).alias("items")))
+def _confident(confidence: int) -> Column:
+    return F.col("bad") * 100 >= (F.col("bad") + F.col("good")) * confidence
+
+
+def _sets(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(items, bad): of each row the given tokens, in order; rows without one are left out."""
+    held = rows.select(F.monotonically_increasing_id().alias("row"), "bad", "tokens").select("row", "bad", F.explode("tokens").alias("token")).join(_sent(tokens), "token")
+    return held.groupBy("row").agg(F.array_sort(F.collect_list("token")).alias("items"), F.max("bad").alias("bad")).drop("row")
+
+
+def _of_long(rows: DataFrame, single: DataFrame, least: int, confidence: int) -> DataFrame:
+    """(items): the smallest rules of two tokens or more that a bad URL of more than ``MOST_ITEMS`` of the tokens ``single`` holds.
+
+    No part of a smallest rule is a rule, though as many bad URLs hold it, so more good ones do: each token of the rule spares some. Then
+    each token of each part spares some too. So sets grow by a token at a time from those that hold no rule, are in enough bad URLs and
+    in fewer good ones than each of their parts; what a set of all tokens has in common is dropped at once.
+    """
+    sets = _sets(rows, single.select("token")).groupBy("items").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good"))
+    long = (F.col("bad") > 0) & (F.size("items") > MOST_ITEMS)
+    sets = durable(sets.select(F.monotonically_increasing_id().alias("set"), "items", "bad", "good", long.alias("long")))
+    asked = sets.where("long").select(F.explode("items").alias("last")).distinct()
+    held = sets.select("set", "bad", "good", "long", F.array().cast("array<string>").alias("start"), F.explode("items").alias("last")).join(_sent(asked), "last", "left_semi")
+    parts, found, size = single.select(F.array("token").alias("part"), F.col("good").alias("most")), [], 2
+    while True:
+        other = held.select("set", "start", F.col("last").alias("next"))
+        met = held.join(other, ["set", "start"]).where("last < next")
+        held = durable(met.select("set", "bad", "good", "long", F.concat("start", F.array("last")).alias("start"), F.col("next").alias("last")))
+        counted = held.groupBy("start", "last").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.max("long").alias("long"))
+        counted = durable(counted.where((F.col("bad") >= least) & F.col("long")).withColumn("items", F.concat("start", F.array("last"))))
+        less = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.filter("items", lambda _, i: i != k))
+        known = counted.select("items", F.explode(less).alias("part")).join(parts, "part").groupBy("items").agg(F.count("*").alias("n"), F.min("most").alias("most"))
+        known = durable(counted.join(known.where(F.col("n") == size), "items").where(F.col("good") < F.col("most")))
+        found.append(known.where(_confident(confidence)).select("items"))
+        open_ = known.where(~_confident(confidence))
+        if open_.count() <= size:  # one larger set has so many parts
+            return functools.reduce(DataFrame.union, found)
+        parts, size = open_.select(F.col("items").alias("part"), F.col("good").alias("most")), size + 1
+        held = held.join(open_.select("start", "last"), ["start", "last"], "left_semi")
+
+
+def _proposed(rows: DataFrame, least: int, confidence: int) -> DataFrame:
+    """(items): frequent tokens of bad URLs, and every smallest rule of several: what FP-growth finds among them in short URLs, and levels in longer ones."""
+    counts = rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good"))
+    single = durable(counts.where(F.col("bad") >= least))
     alone = single.select(F.array("token").alias("items"))
-    if n < least:
-        return alone
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, sets.count())), minConfidence=1.0).fit(sets).freqItemsets
-    return alone.union(found.where(F.size("items") > 1).select(F.array_sort("items").alias("items")))
+    open_ = single.where(~_confident(confidence) & (F.col("good") < rows.where("bad = 0").count()))  # others are in no smallest rule of several
+    sets = durable(_sets(rows.where("bad = 1"), open_.select("token")))
+    short = sets.where(F.size("items") <= MOST_ITEMS)
+    n = short.count()
+    if n >= least:
+        found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=1.0).fit(short).freqItemsets
+        alone = alone.union(found.where(F.size("items") > 1).select(F.array_sort("items").alias("items")))
+    if sets.count() > n:
+        alone = alone.union(_of_long(rows, open_, least, confidence))
+    return alone
 
 
 def mine(urls: DataFrame, share: float = LEAST_SHARE, count: int = LEAST_COUNT, confidence: int = CONFIDENCE) -> DataFrame:
     """(rule, lead, items, bad, total): the smallest combinations of tokens that are bad often enough, from (url, bad)."""
     rows = labelled(urls)
     least = max(count, -int(-rows.count() * share // 1))
-    proposed = _proposed(rows, least)
+    proposed = _proposed(rows, least, confidence)
     frequency = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     placed = proposed.select("items", F.explode("items").alias("token")).join(frequency, "token").groupBy("items").agg(F.min_by("token", F.struct("n", "token")).alias("lead"))
     placed = durable(placed.select("lead", "items"))

@@ -91,6 +91,30 @@ def test_long_urls_do_not_multiply(spark):
     assert {x.rule for x in found} >= {"h:com", "t:waa", "t:wza"} and all(x.bad == x.total for x in found)
 
 
+def test_rules_of_long_urls_against_all_sets(spark):
+    """Of fifteen tokens in a URL the most frequent make rules as well as the rarest."""
+    r = random.Random(11)
+    pool = [f"w{chr(97 + i)}" for i in range(13)]
+    known = []
+    for i in range(80):
+        words = [w for k, w in enumerate(pool) if r.random() < (0.75 if k < 3 else 0.97 if i % 3 else 0.3)]
+        likely = 0.9 if {"wa", "wb", "wc"} <= set(words) else 0.04
+        known.append((f"http://h/{'/'.join(words)}?{i}", r.random() < likely))
+    expected = by_all_sets(known, 5, 60)
+    assert max(len([t for t in tokens(u) if {t} not in expected]) for u, bad in known if bad) > urls.MOST_ITEMS and max(map(len, expected)) > 4
+    found = urls.mine(spark.createDataFrame(known, "url string, bad boolean"))
+    assert {frozenset(x["items"]) for x in found.collect()} == expected
+
+
+def test_tokens_that_all_long_urls_share_do_not_multiply(spark):
+    """Two hundred tokens in good and bad URLs alike: only the two that lie apart make a rule, though each is in as many good URLs as bad."""
+    long = "/".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))
+    ends = [("left/right", True), ("left", False), ("right", False), ("", False)]
+    known = [(f"http://h/{long}/{end}?{'x' * i}", bad) for i, (end, bad) in enumerate(ends * 10)]
+    found = urls.mine(spark.createDataFrame(known, "url string, bad boolean")).collect()
+    assert [(x.rule, x.bad, x.total) for x in found] == [("t:left t:right", 10, 10)]
+
+
 def test_empty_tables_and_repeats(spark):
     none = urls.mine(spark.createDataFrame([], "url string, bad boolean"))
     assert none.collect() == []
