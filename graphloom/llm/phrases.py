@@ -4,6 +4,7 @@ Words of at least LEAST occurrences in their language get numbers, the most freq
 another word, so pieces are broken there. At every place the numbers of up to four words are packed into a key of 16 bytes, four
 big-endian bytes a word and zeros where the piece ends. A task sorts its keys by radix, 16 bits at a time, and counts runs; the
 keys go to ranges, are sorted there, and a run of equal beginnings is the count of a phrase of two, three or four words at once.
+Where ranges begin is read off the keys of a sample of the texts, so that all texts are packed once; it says only which task counts a key.
 Only phrases at the edge of a batch can be counted in parts, so those and the frequent ones are all that is summed up afterwards.
 
 The dictionary is counted: up to ``most_words`` it is sent to the tasks; a larger one is joined to the words of pieces, which are
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ LEAST, MOST_RANK, LONGEST, SHARE = 30, 2000, 4, 80
 #: Words of a dictionary that is sent to Python tasks, rows of a table that is sent to joins, keys and words that a task holds at once.
 MOST_WORDS, MOST_SENT, HELD = 1_000_000, 200_000, 2_000_000
 SEGMENT = 512
+#: Places that a range has at least, and for each range: places of the sample, and keys of it that are sent to the driver.
+LEAST_RANGE, SAMPLED, BOUNDS = 20_000, 10_000, 100
 _NONE = "und"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A-Z to lower case, the characters between pieces to a line feed, tab to a space.
@@ -49,36 +53,37 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
     """A batch's texts by language, about a million characters or one text at a time."""
     held: dict[str, list[str]] = {}
     sizes: Counter = Counter()
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        held.setdefault(lang, []).append(text)
-        sizes[lang] += len(text)
-        if sizes[lang] > 1_000_000:
-            yield lang, held.pop(lang)
-            del sizes[lang]
+    for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+        for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            held.setdefault(lang, []).append(text)
+            sizes[lang] += len(text)
+            if sizes[lang] > 1_000_000:
+                yield lang, held.pop(lang)
+                del sizes[lang]
     yield from held.items()
 
 
 def _counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n): counts of words, and under a null word how many there are."""
 
-    def rows(counts: dict[str, Counter]) -> pa.RecordBatch:
-        langs, words, n = [], [], []
+    def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, found in counts.items():
             found.pop(b".", None)
-            langs += [lang] * (len(found) + 1)
-            words += [*(w.decode() for w in found), None]
-            n += [*found.values(), sum(found.values())]
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+            total, left = sum(found.values()), iter(found.items())
+            while some := list(islice(left, 50_000)):
+                columns = [lang] * len(some), [w.decode() for w, _ in some], [n for _, n in some]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([None], pa.string()), pa.array([total], pa.int64())], names=["lang", "word", "n"])
 
     counts: dict[str, Counter] = {}
     for batch in source:
         for lang, texts in _by_language(batch):
             counts.setdefault(lang, Counter()).update(words_of(texts))
         if sum(map(len, counts.values())) > HELD // 4:
-            yield rows(counts)
+            yield from rows(counts)
             counts = {}
     if counts:
-        yield rows(counts)
+        yield from rows(counts)
 
 
 def word_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -108,14 +113,16 @@ def radix_sorted(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.n
             digits = ((low if half else high) >> np.uint64(shift)).astype(np.uint16)
             if len(digits) and digits.min() != digits.max():
                 order = np.argsort(digits, kind="stable")
-                high, low, n = high[order], low[order], n[order]
+                high = high[order]  # one after another, so that each takes the place of the last
+                low = low[order]
+                n = n[order]
     return high, low, n
 
 
-def _summed(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    high, low, n = radix_sorted(high, low, n)
-    starts = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))) if len(n) else np.zeros(0, np.int64)
-    return high[starts], low[starts], np.add.reduceat(n, starts) if len(n) else n
+def _taken(parts: list[np.ndarray]) -> np.ndarray:
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
 
 
 def keys_of(ids: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -131,9 +138,10 @@ def keys_of(ids: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray,
 
 
 class _Keys:
-    """Gathers keys and gives them as counted, sorted rows (key, n)."""
+    """Gathers keys and gives them as counted, sorted rows (key, n, part), the part being the range between ``bounds``."""
 
-    def __init__(self) -> None:
+    def __init__(self, bounds: list[bytes] | None = None) -> None:
+        self.bounds = np.array(bounds or [], "S16")
         self.clear()
 
     def clear(self) -> None:
@@ -148,24 +156,33 @@ class _Keys:
         self.n.append(np.ones(len(high), np.int64))
         self.size, self.unsummed = self.size + len(high), self.unsummed + len(high)
         if self.unsummed > HELD // 2:
-            high, low, n = _summed(*(np.concatenate(x) for x in (self.high, self.low, self.n)))
-            self.high, self.low, self.n, self.size, self.unsummed = [high], [low], [n], len(high), 0
+            self._sum()
             if self.size > HELD:
                 yield from self.rows()
 
+    def _sum(self) -> None:
+        """Sorts and counts what is held; nothing is held twice meanwhile, as a task's memory is mostly this."""
+        high, low, n = radix_sorted(_taken(self.high), _taken(self.low), _taken(self.n))
+        starts = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))) if len(n) else np.zeros(0, np.int64)
+        self.high, self.low, self.n = [high[starts]], [low[starts]], [np.add.reduceat(n, starts) if len(n) else n]
+        self.size, self.unsummed = len(starts), 0
+
     def rows(self) -> Iterator[pa.RecordBatch]:
         if self.size:
-            high, low, n = _summed(*(np.concatenate(x) for x in (self.high, self.low, self.n)))
-            packed = np.stack([high, low], axis=1).astype(">u8")
-            offsets = np.arange(0, 16 * len(n) + 1, 16, dtype=np.int32)
-            keys = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())])
-            whole = pa.RecordBatch.from_arrays([keys, pa.array(n)], names=["key", "n"])
-            yield from (whole.slice(i, 50_000) for i in range(0, len(n), 50_000))
-        self.clear()
-
-
-def _packed_sent(docs: DataFrame, numbered: DataFrame) -> DataFrame:
-    """(key, n), the dictionary sent to every task."""
+            self._sum()
+            high, low, counts = self.high[0], self.low[0], self.n[0]
+            self.clear()
+            for i in range(0, len(counts), 50_000):
+                packed, n = np.stack([high[i : i + 50_000], low[i : i + 50_000]], axis=1).astype(">u8"), counts[i : i + 50_000]
+                offsets = np.arange(0, 16 * len(n) + 1, 16, dtype=np.int32)
+                keys = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())])
+                edges = np.searchsorted(packed.view("S16").ravel(), self.bounds)
+                part = np.repeat(np.arange(len(edges) + 1, dtype=np.int32), np.diff(edges, prepend=0, append=len(n)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(part)], names=["key", "n", "part"])
+
+
+def _packed_sent(docs: DataFrame, numbered: DataFrame, bounds: list[bytes]) -> DataFrame:
+    """(key, n, part), the dictionary sent to every task."""
     table = numbered.select("lang", "word", "id").toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -173,15 +190,15 @@ def _packed_sent(docs: DataFrame, numbered: DataFrame) -> DataFrame:
         known: dict[str, dict[bytes, int]] = {}
         for lang, word, number in zip(*(c.to_pylist() for c in shared.value.columns)):
             known.setdefault(lang, {})[word.encode()] = number
-        keys = _Keys()
+        keys = _Keys(bounds)
         for batch in source:
             for lang, texts in _by_language(batch):
                 words = words_of(texts)
                 get = known.get(lang, {}).get
-                yield from keys.add(*keys_of(np.fromiter((get(w, 0) for w in words), np.int64, len(words))))
+                yield from keys.add(*keys_of(np.fromiter(map(get, words, repeat(0)), np.int64, len(words))))
         yield from keys.rows()
 
-    return _pieces(docs).mapInArrow(batches, "key binary, n long")
+    return _pieces(docs).mapInArrow(batches, "key binary, n long, part int")
 
 
 def _segments(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +215,8 @@ def _segments(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.list_(pa.string()))], names=["lang", "words"])
 
 
-def _packed_joined(docs: DataFrame, numbered: DataFrame) -> DataFrame:
-    """(key, n), the dictionary joined to the words of segments."""
+def _packed_joined(docs: DataFrame, numbered: DataFrame, bounds: list[bytes]) -> DataFrame:
+    """(key, n, part), the dictionary joined to the words of segments."""
     cut = _pieces(docs).mapInArrow(_segments, "lang string, words array<string>")
     cut = durable(cut.select(F.monotonically_increasing_id().alias("segment"), "lang", "words"))
     placed = cut.select("segment", "lang", F.posexplode("words").alias("at", "word"))
@@ -207,7 +224,7 @@ def _packed_joined(docs: DataFrame, numbered: DataFrame) -> DataFrame:
     lists = met.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("found")).select(F.col("found.at").alias("at"), F.col("found.id").alias("ids"))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, span = _Keys(), SEGMENT + 2 * LONGEST  # segments lie apart on one line, so that no key spans two
+        keys, span = _Keys(bounds), SEGMENT + 2 * LONGEST  # segments lie apart on one line, so that no key spans two
         for batch in source:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 offsets = part.column(0).offsets.to_numpy()
@@ -218,7 +235,7 @@ def _packed_joined(docs: DataFrame, numbered: DataFrame) -> DataFrame:
                 yield from keys.add(*keys_of(line, np.arange(len(line)) % span < SEGMENT))
         yield from keys.rows()
 
-    return lists.mapInArrow(batches, "key binary, n long")
+    return lists.mapInArrow(batches, "key binary, n long, part int")
 
 
 def _runs(least: int):  # noqa: ANN202
@@ -251,11 +268,27 @@ def _runs(least: int):  # noqa: ANN202
     return batches
 
 
+def _bounds(sampled: DataFrame, ranges: int) -> list[bytes]:
+    """Keys that cut the sampled ones into ranges of about equal numbers of different keys; none if there are too few."""
+    keys = durable(sampled.select("key").distinct())
+    size = keys.count()
+    thin = keys.where(F.pmod(F.xxhash64("key"), F.lit(max(1, size // (BOUNDS * ranges)))) == 0)
+    found = sorted(thin.toArrow().column(0).to_pylist()) if size >= BOUNDS * ranges else []
+    return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
+
+
 def phrase_counts(docs: DataFrame, numbered: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS) -> DataFrame:
     """(key, m, a): how often each phrase of two to four dictionary words occurs, if so often."""
-    packed = (_packed_sent if numbered.count() <= most_words else _packed_joined)(docs, numbered)
-    ranged = packed.repartitionByRange("key").sortWithinPartitions("key")
-    summed = ranged.mapInArrow(_runs(least), "key binary, m int, n long").groupBy("key", "m").agg(F.sum("n").alias("a"))
+    words, places = numbered.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    packed = _packed_sent if words <= most_words else _packed_joined
+    ranges = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + places // LEAST_RANGE)
+    bounds = _bounds(packed(docs.sample(min(1.0, SAMPLED * ranges / max(1, places)), 1), numbered, []), ranges) if ranges > 1 else []
+    keys = packed(docs, numbered, bounds)
+    if ranges == 1 or bounds:
+        ranged = keys.repartitionById(ranges, "part")
+    else:  # a few long texts, of which none may be sampled
+        ranged = keys.repartitionByRange("key")
+    summed = ranged.select("key", "n").sortWithinPartitions("key").mapInArrow(_runs(least), "key binary, m int, n long").groupBy("key", "m").agg(F.sum("n").alias("a"))
     return durable(summed.where(F.col("a") >= least))
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import phrases
 
@@ -66,6 +67,27 @@ def test_many_batches_and_small_memory_give_the_same(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("most_words", [phrases.MOST_WORDS, 0])
+def test_texts_are_packed_once_and_in_ranges(spark, monkeypatch, most_words):
+    """Ranges begin at keys of a sample, however common one pair is, so that not all texts are packed again to find where they begin."""
+    monkeypatch.setattr(phrases, "SAMPLED", 2_000)
+    monkeypatch.setattr(phrases, "BOUNDS", 20)
+    monkeypatch.setattr(phrases, "LEAST_RANGE", 1_000)
+    rows = [*made(5, 400), *(("en", f"of the {w} {x} ") for w in "bcdfghjklm" for x in "aeiou" for _ in range(40))]
+    docs = spark.createDataFrame([row(i, t, lang) for i, (lang, t) in enumerate(rows)], SCHEMA).repartition(3)
+    packed = {n: getattr(phrases, n) for n in ("_packed_sent", "_packed_joined")}
+    asked = []
+    for n, f in packed.items():
+        monkeypatch.setattr(phrases, n, lambda d, numbered, bounds, f=f: asked.append((d.count(), bounds, f(d, numbered, bounds))) or asked[-1][2])
+    found = phrases.collocations(docs, 30, 2000, most_words)
+    assert sorted(tuple(r) for r in found.collect()) == by_count(rows, 30, 2000)
+    (sampled, _, _), (whole, bounds, keys) = asked
+    assert sampled < whole / 2 and whole == len(rows) and len(bounds) == 3
+    parts = {r.part: (r.a, r.b, r.n) for r in keys.groupBy("part").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).collect()}
+    assert sorted(parts) == [0, 1, 2, 3] and all(parts[i][1] < bounds[i] <= parts[i + 1][0] for i in range(3))
+    assert max(n for _, _, n in parts.values()) < sum(n for _, _, n in parts.values()) / 2
+
+
 def test_radix_sort_is_a_sort():
     r = np.random.default_rng(3)
     high, low = (r.integers(0, 1 << 62, 5000).astype(np.uint64) % np.uint64(m) for m in (97, 1 << 40))
