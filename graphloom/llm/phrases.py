@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import durable, text_of
 
 LEAST, MOST_RANK, LONGEST, SHARE = 30, 2000, 4, 80
-#: Words of a dictionary that is sent to Python tasks, rows of a table that is sent to joins, keys and words that a task holds at once.
-MOST_WORDS, MOST_SENT, HELD = 1_000_000, 200_000, 2_000_000
-SEGMENT = 512
+#: Words of a dictionary that is sent to Python tasks, rows of a table that is sent to joins, keys and different words that a task holds at
+#: once. Few keys come again within a task (holding eight times as many makes 5.3 million rows of 5.7), so it holds few.
+MOST_WORDS, MOST_SENT, HELD, HELD_WORDS = 1_000_000, 200_000, 250_000, 500_000
+SEGMENT, CHARACTERS = 512, 250_000
 #: Places that a range has at least, and for each range: places of the sample, and keys of it that are sent to the driver.
 LEAST_RANGE, SAMPLED, BOUNDS = 20_000, 10_000, 100
 _NONE = "und"
@@ -50,14 +51,14 @@ def _pieces(docs: DataFrame) -> DataFrame:
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
-    """A batch's texts by language, about a million characters or one text at a time."""
+    """A batch's texts by language, about CHARACTERS or one text at a time."""
     held: dict[str, list[str]] = {}
     sizes: Counter = Counter()
     for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
         for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             held.setdefault(lang, []).append(text)
             sizes[lang] += len(text)
-            if sizes[lang] > 1_000_000:
+            if sizes[lang] > CHARACTERS:
                 yield lang, held.pop(lang)
                 del sizes[lang]
     yield from held.items()
@@ -79,7 +80,7 @@ def _counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in source:
         for lang, texts in _by_language(batch):
             counts.setdefault(lang, Counter()).update(words_of(texts))
-        if sum(map(len, counts.values())) > HELD // 4:
+        if sum(map(len, counts.values())) > HELD_WORDS:
             yield from rows(counts)
             counts = {}
     if counts:
@@ -101,7 +102,8 @@ def dictionary(counts: DataFrame) -> DataFrame:
         first[r["part"]], before = before, before + r["count"]
     if before > 1 << 31:
         raise ValueError("a dictionary holds at most 2^31 words")
-    starts = ordered.sparkSession.createDataFrame(list(first.items()), "part int, first long")
+    starts = pa.table({"part": pa.array(first.keys(), pa.int32()), "first": pa.array(first.values(), pa.int64())})  # rows would start Python workers
+    starts = ordered.sparkSession.createDataFrame(starts)
     placed = ordered.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("within"), "lang", "word", "n")
     return durable(placed.join(F.broadcast(starts), "part").select((F.col("first") + F.col("within")).alias("id"), "lang", "word", "n"))
 
@@ -181,16 +183,22 @@ class _Keys:
                 yield pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(part)], names=["key", "n", "part"])
 
 
+def _numbers(table: pa.Table) -> dict[str, dict[bytes, int]]:
+    """By language the number of each word; a slice at a time, so that a large dictionary is not held as lists besides."""
+    known: dict[str, dict[bytes, int]] = {}
+    for part in table.to_batches(max_chunksize=10_000):
+        for lang, word, number in zip(*(c.to_pylist() for c in part.columns)):
+            known.setdefault(lang, {})[word.encode()] = number
+    return known
+
+
 def _packed_sent(docs: DataFrame, numbered: DataFrame, bounds: list[bytes]) -> DataFrame:
     """(key, n, part), the dictionary sent to every task."""
     table = numbered.select("lang", "word", "id").toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[bytes, int]] = {}
-        for lang, word, number in zip(*(c.to_pylist() for c in shared.value.columns)):
-            known.setdefault(lang, {})[word.encode()] = number
-        keys = _Keys(bounds)
+        known, keys = _numbers(shared.value), _Keys(bounds)
         for batch in source:
             for lang, texts in _by_language(batch):
                 words = words_of(texts)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,5 +114,40 @@ def test_memory_is_given_back_when_it_is_full(monkeypatch):
     assert found == every
 
 
+def peak_mb(make):
+    """The most that is held while what is made is gone through, in MB, and its length."""
+    tracemalloc.start()
+    try:
+        made = sum(1 if isinstance(x, bytes) else x.num_rows for x in make())
+        return tracemalloc.get_traced_memory()[1] / 1e6, made
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_with_many_different_keys_holds_few():
+    """Keys that hardly come again are passed on, not gathered: an executor's tasks share what its heap leaves of its memory."""
+    r = np.random.default_rng(2)
+
+    def batches():
+        keys = phrases._Keys([bytes([i]) + bytes(15) for i in range(1, 50)])
+        for _ in range(40):
+            yield from keys.add(*(r.integers(0, 1 << 62, 100_000).astype(np.uint64) for _ in range(2)))
+        yield from keys.rows()
+
+    most, rows = peak_mb(batches)
+    assert rows == 4_000_000 and most < 80  # of which pandas, loaded meanwhile, is 25
+
+
+def test_a_task_holds_the_sent_dictionary_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(150_000)]
+    numbered = spark.createDataFrame(pa.table({"lang": ["en"] * len(words), "word": words, "id": range(1, len(words) + 1)}))
+    tasks = []
+    monkeypatch.setattr(phrases, "_pieces", lambda docs: SimpleNamespace(mapInArrow=lambda task, _: tasks.append(task)))
+    phrases._packed_sent(SimpleNamespace(sparkSession=spark), numbered, [])
+    dictionary, size = peak_mb(lambda: {w.encode(): int(str(i)) for i, w in enumerate(words)})
+    most, rows = peak_mb(lambda: tasks[0](iter([])))
+    assert size == len(words) and rows == 0 and most < 1.7 * dictionary
+
+
 def test_empty_table(spark, none):
     assert phrases.collocations(none).collect() == []
