@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from graphloom.operators.forest import nearest
 
 FIT, BUDGET, PREAMBLE = 0.75, 1_000, "(preamble)"
-#: A heading's line, the key and name at its head, and how a chapter refers to its keys.
+#: A heading's line, the key and name at its head, and how a chapter refers to its keys. A key has four signs at most,
+#: of which a run of digits is one, so that a chapter's areas from a hundred on are keys as the first ones are (``E100b``).
 HEADING = r"^(#{1,6})[ \t]+(?!#)(.+?)[ \t]*$"
-KEYED = r"^([^\s.]{1,4})\.\s+(\S.*)$"
-REFERENCE = r"\b(?:area|areas|room|rooms)\s+([A-Za-z][0-9]{0,2}[a-z]?|[0-9]{1,3}[A-Za-z]?)\b"
+KEYED = r"^((?:\p{Nd}++|[^\s.\p{Nd}]){1,4})\.\s+(\S.*)$"
+REFERENCE = r"\b(?:area|areas|room|rooms)\s+([A-Za-z][0-9]*[a-z]?|[0-9]+[A-Za-z]?)\b"
 CHAPTER_PREFIX = r"(?i)^(chapter\s+\d+|appendix\s+[a-z])\s*[:.]\s*"
 
 

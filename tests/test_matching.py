@@ -6,9 +6,13 @@ import random
 import re
 import time
 
+import duckdb
 import pytest
 
 from graphloom.operators import answers, chapters, mentions, sections
+from graphloom.plans import registry
+
+registry.load()
 
 WORD = r"[^\W_]"
 
@@ -125,6 +129,41 @@ def test_key_mode_sections(spark):
     assert [r.s for r in shape.collect()] == ["A#", "A#a", "A", "#", "Aa", "a#"]
 
 
+def test_keys_of_many_digits(spark):
+    """A run of digits is one sign of a key, however long; words of more than four letters are still no keys."""
+    text = "See area E1b and area E2.\n## E99b. Nook\n## E100b. Attic\n## E1234. Vault\n## Eabcb. Word\n## E100bcd. Far\n## E2. Hall"
+    held = spark.createDataFrame([("c", text), ("d", "area E100\n# E100. One\n# E7. Two"), ("e", "room 1200\n# 1200. Hut\n# 12000.Cut")], "chapter string, text string")
+    keyed = chapters.keyed_headings(held).where("key is not null")
+    assert rows(keyed, "chapter", "key", "stem", "suffix", "name") == [
+        ("c", "e100b", "E100", "b", "Attic"), ("c", "e1234", "E1234", "", "Vault"), ("c", "e2", "E2", "", "Hall"), ("c", "e99b", "E99", "b", "Nook"),
+        ("d", "e100", "E100", "", "One"), ("d", "e7", "E7", "", "Two"), ("e", "1200", "1200", "", "Hut"),
+    ]
+    assert [r.heading for r in sections.key_split(held.where("chapter = 'd'"), sections.key_shapes(held)).orderBy("section").collect()] == ["(preamble)", "E100. One", "E7. Two"]
+
+
+LONG_KEYED = ("heading_keys", "key_sections", "first_keys", "book_headings", "containment_report", "structure_report", "keys_of_names")
+
+
+@pytest.fixture(scope="module")
+def long_documents(tmp_path_factory):
+    """A document of 1000 lines, whose keys have up to three digits, and a short one."""
+    folder = tmp_path_factory.mktemp("long")
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT CAST(i AS BIGINT) AS doc_id, array_to_string(list_transform(generate_series(1, n), lambda x: 'line ' || x), chr(10)) AS text, 's' AS source FROM (VALUES (1, 1000), (2, 30)) t(i, n)) TO '{folder}/documents.parquet'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", LONG_KEYED)
+def test_long_documents_have_their_keys(spark, long_documents, name):
+    folder, con = long_documents
+    found = registry.QUERIES[name](spark, str(folder))
+    columns = sorted(found.columns)
+    answer = con.sql(registry.ORACLES[name])
+    places = [[d[0] for d in answer.description].index(c) for c in columns]
+    assert sorted(tuple(str(r[c]) for c in columns) for r in found.collect()) == sorted(tuple(str(r[i]) for i in places) for r in answer.fetchall())
+
+
 def test_places(spark):
     titles = spark.createDataFrame([("Chapter 3: The Village of Karth",), ("Appendix B. ",), ("chapter 12.Amber",), ("Introduction",)], "t string").select(sections.place_of_title(sections.F.col("t")).alias("p"))
     assert [r.p for r in titles.collect()] == ["The Village of Karth", None, "Amber", "Introduction"]
