@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import TimestampNTZType, TimestampType
 
 
 def stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:  # noqa: ANN001
@@ -16,26 +17,48 @@ def stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def tumbling(events: DataFrame, length: str, late: str | None = None) -> DataFrame:
-    """(start, event_type, n, total): counts and sums of windows; with ``late``, windows close that long after their end."""
+def wall_times(events: DataFrame) -> DataFrame:
+    """Events with ``ts`` as the wall time of UTC, without a zone. Where it has none it is that already."""
+    if events.schema["ts"].dataType != TimestampType():
+        return events
+    return events.withColumn("ts", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(unix_micros(ts) AS DECIMAL(20, 0)) / 1000000)"))
+
+
+def _timed(events: DataFrame, late: str | None) -> DataFrame:
+    """Only a watermark asks for instants. Wall times without a zone stay: as instants they would follow the session's zone, where
+    an hour of spring is missing and one of autumn comes twice."""
+    if late is None and events.schema["ts"].dataType == TimestampNTZType():
+        return events
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    timed = timed.withWatermark("ts", late) if late else timed
-    found = timed.groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return found.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return timed.withWatermark("ts", late) if late else timed
+
+
+def _without_time(events: DataFrame, late: str | None) -> DataFrame | None:
+    """Events of a batch that have no time: windows leave them out, so they are counted beside them."""
+    return None if late or events.isStreaming else events.where(F.col("ts").isNull())
+
+
+def tumbling(events: DataFrame, length: str, late: str | None = None) -> DataFrame:
+    """(start, event_type, n, total): counts and sums of windows; with ``late``, windows close that long after their end.
+
+    In a batch, events without a time are counted under a start that is null.
+    """
+    timed, rest = _timed(events, late), _without_time(events, late)
+    counts = F.count("*").alias("n"), F.sum("value").alias("total")
+    found = timed.groupBy(F.window("ts", length), "event_type").agg(*counts).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return found if rest is None else found.unionByName(rest.groupBy("event_type").agg(*counts).withColumn("start", F.lit(None).cast(found.schema["start"].dataType)))
 
 
 def sliding(events: DataFrame, length: str, step: str, late: str | None = None) -> DataFrame:
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    timed = timed.withWatermark("ts", late) if late else timed
+    timed = _timed(events, late)
     return timed.groupBy(F.window("ts", length, step)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
 def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
-    """(user_id, start, n): runs of a user's events with no gap of that length."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    timed = timed.withWatermark("ts", late) if late else timed
-    found = timed.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
-    return found.select("user_id", F.col("session_window.start").alias("start"), "n")
+    """(user_id, start, n): runs of a user's events with no gap of that length; in a batch, an event without a time is one by itself."""
+    timed, rest = _timed(events, late), _without_time(events, late)
+    found = timed.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+    return found if rest is None else found.unionByName(rest.select("user_id", F.lit(None).cast(found.schema["start"].dataType).alias("start"), F.lit(1).cast("long").alias("n")))
 
 
 def distinct_within(events: DataFrame, keys: list[str], late: str) -> DataFrame:
