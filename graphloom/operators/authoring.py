@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.plan import durable
+
 
 def seed_problems(nodes: DataFrame, edges: DataFrame, types: DataFrame, relations: DataFrame) -> DataFrame:
     """(subject, problem): doubled ids, names claimed twice in a type, unknown types and relations, ends that are not there, self-loops.
@@ -93,15 +96,42 @@ def shop_values(items: DataFrame) -> DataFrame:
     return items.groupBy("shop_id").agg(F.count("*").alias("items"), F.round(F.sum(F.col("price") * F.col("quantity")), 2).alias("value"))
 
 
+#: Pairs of a shop and an item that one task weighs, items that lie in one block of a list, and rounds that have a bound.
+PAIRS, BLOCK, ROUNDS = 20_000_000, 1_000, 6
+
+
 def generated_stock(shops: DataFrame, items: DataFrame, k: int, seed: str) -> DataFrame:
     """(shop_id, item_id, name, price, quantity): k items for each shop from its specialty's list, drawn by a hash of shop, item and seed.
 
     Items (item_id, name, specialty, weight, price) are a catalogue; a shop meets only its specialty's part of it. Weightier items
     are likelier, and a quantity of one to four follows from the same hash.
+
+    Every pair is weighed, as each has a hash of its own, but only pairs above a bound are kept and ranked: of all weights ``much``
+    times the share that one draw takes. Where a shop has k above it, these hold its k best; the others are drawn again with a
+    lower bound, and at last with none. Lists are cut into blocks, so a specialty is spread over tasks.
     """
-    both = shops.join(items.where("weight > 0"), "specialty")
+    shops, items = durable(shops.select("shop_id", "specialty")), items.where("weight > 0").select("item_id", "name", "specialty", "weight", "price")
+    lists = durable(items.groupBy("specialty").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).join(shops.groupBy("specialty").agg(F.count("*").alias("shops")), "specialty"))
+    size = lists.agg(F.max("n").alias("n"), F.sum(F.col("n") * F.col("shops")).alias("pairs")).first()
+    blocks = max(1, math.ceil((size["n"] or 0) / BLOCK))
+    stock = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
     h = F.xxhash64("shop_id", "item_id", F.lit(seed))
     u = (F.pmod(h, F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
     rank = F.row_number().over(Window.partitionBy("shop_id").orderBy(F.desc(F.log(u) / F.col("weight")), "item_id"))
     quantity = (F.pmod(F.shiftrightunsigned(h, 41), F.lit(4)) + 1).cast("int")
-    return both.withColumn("nth", rank).where(F.col("nth") <= k).select("shop_id", "item_id", "name", "price", quantity.alias("quantity"))
+    by_shop, drawn, left, pairs = Window.partitionBy("shop_id"), [], shops, size["pairs"] or 0
+    for much in (*((4.0 * k + 24) * 32**i for i in range(ROUNDS)), None):
+        parts = max(shops.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / PAIRS))
+        own = left.join(lists.select("specialty", "n", "w"), "specialty").withColumn("least", F.least(F.lit(k).cast("long"), F.sum("n").over(by_shop)))
+        asked = own.withColumn("bound", F.lit(much) / F.sum("w").over(by_shop)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("n", "w")
+        both = asked.repartition(parts, "specialty", "block").join(stock.repartition(parts, "specialty", "block"), ["specialty", "block"])
+        if much:  # log(u) is at most u - 1, so the first part loses no pair and spares most logarithms
+            both = both.where((u >= 1 - F.col("bound") * F.col("weight") - 1e-9) & (F.log(u) / F.col("weight") >= -F.col("bound")))
+        best = both.withColumn("nth", rank).where(F.col("nth") <= k).withColumn("got", F.count("*").over(by_shop)).where("got >= least")
+        drawn.append(durable(best.select("shop_id", "item_id", "name", "price", quantity.alias("quantity"))))
+        done = drawn[-1].select(F.col("shop_id").alias("done")).distinct()
+        left = durable(left.join(lists.select("specialty"), "specialty", "left_semi").join(done, F.col("shop_id").eqNullSafe(F.col("done")), "left_anti").select("shop_id", "specialty"))
+        pairs = left.count() * (size["n"] or 0)
+        if not pairs:
+            break
+    return reduce(DataFrame.union, drawn)
