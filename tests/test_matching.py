@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 from graphloom.operators import answers, chapters, mentions, sections
-from graphloom.plans import registry
+from graphloom.plans import chapter_queries, registry
 
 registry.load()
 
@@ -189,3 +189,12 @@ def test_passages_stand_in_their_sections(spark):
     docs = spark.createDataFrame([(1, "### E2. The _Inn_\nThe Inn is old. It burns.\nInn again."), (2, "No name. The Inn.")], "section_id long, text string")
     scanned = mentions.scan(docs, spark.createDataFrame([("i", "Inn")], "entity_id string, name string"))
     assert rows(answers.passages_of(scanned, docs), "section_id", "passage") == [(1, "The Inn is old."), (2, "The Inn.")]
+
+
+def test_anchors_need_no_sections(spark, monkeypatch):
+    """The anchors are those of the whole answer, and no section is searched for them."""
+    folder = "/root/testdata/sf0.001"
+    whole = rows(chapter_queries._retrieved(spark, folder).anchors, "query_id", "surface", "id", "loose")
+    monkeypatch.setattr(chapter_queries, "_scan", None)
+    monkeypatch.setattr(answers, "retrieve", None)
+    assert rows(registry.QUERIES["question_anchors"](spark, folder), "query_id", "surface", "id", "loose") == whole
